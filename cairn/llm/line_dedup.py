@@ -19,10 +19,20 @@ T_NUM, T_DEN = 3, 4
 BUCKETS = 1 << 16
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: a lambda variable is never computed again inside inner lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _shingles(h: Column) -> Column:
+    """Hashes of K neighbouring word hashes, or of the whole sequence if it is shorter."""
+    n = F.size(h)
+    return F.when(n < K, F.array(F.xxhash64(h))).otherwise(F.array_distinct(F.transform(F.slice(h, F.lit(1), F.greatest(n - K + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, K))))))
+
+
 def _tokens(line: Column) -> Column:
     words = F.split(F.trim(F.regexp_replace(F.lower(line), r"[\x09-\x0D ]+", " ")), " ")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) < K, F.array(F.xxhash64(hashes))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(words) - K), lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(K))))))
+    return _bound(F.transform(words, lambda w: F.xxhash64(w)), _shingles)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -45,7 +55,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     counts = dict(token_sets(docs).select(F.explode("toks").alias("t")).groupBy((F.col("t").bitwiseAND(BUCKETS - 1)).cast("int").alias("b")).count().collect())
     spark = docs.sparkSession
     rarity = spark.createDataFrame([([min(counts.get(b, 0), (1 << 20) - 1) for b in range(BUCKETS)],)], "c array<int>").scalar()
-    place = lambda t: F.shiftleft(F.get(rarity, t.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 40).bitwiseOR(F.shiftrightunsigned(t, 24))
+    sets = sets.withColumn("rarity", rarity)
+    place = lambda t: F.shiftleft(F.get("rarity", t.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 40).bitwiseOR(F.shiftrightunsigned(t, 24))
     n = F.size("toks")
     prefix = n - F.ceil(n * T_NUM / T_DEN).cast("int") + 1
     keys = sets.select("doc_id", "line_no", "name", n.alias("n"), F.posexplode(F.slice(F.array_sort(F.transform("toks", place)), F.lit(1), prefix)).alias("pos", "key"))

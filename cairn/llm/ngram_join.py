@@ -1,9 +1,9 @@
 """Exact Jaccard join of documents on word shingles by parity sketches.
 
-In a parity sketch each element of a set flips one bit, so equal parts of two sets cancel out and the Hamming distance of two sketches is
-at most the size D of their symmetric difference. A sketch is cut into P parts; sets that differ in D elements have at least P - D equal
-parts. Ordering the parts of every set by one rule (most set bits first, then by hash), two such sets share one of their first D + 1
-parts; these are the join keys. At Jaccard t, D is at most (1 - t) / t of the smaller set. P depends on the size band of the smaller set;
+A parity sketch has P parts of 64 bits. Each element of a set is XORed, as 64 random bits, into the part that its hash names, so what two
+sets have in common cancels out, and the number of parts in which two sketches differ - their Hamming distance over parts - is at
+most the size D of the symmetric difference. At least P - D parts are equal. Ordering the parts of every set by one rule (most elements
+first, then by hash), two such sets share one of their first D + 1 parts; these are the join keys. At Jaccard t, D is at most (1 - t) / t of the smaller set. P depends on the size band of the smaller set;
 a set joins as the smaller one in its own band and as the larger one in the band below if it can reach it.
 
 Equal sets are one class. Inside a bucket of equal keys, each class is first compared with the bucket's smallest class only; the pairs that
@@ -33,10 +33,14 @@ def parts_of(band: int) -> int:
     return int(np.ceil(1.1 * (((1 << (band + 1)) - 1) * (DEN - NUM) // NUM + 1)))
 
 
-def sketch(x: np.ndarray, parts: int) -> np.ndarray:
-    """(parts, 64) parities of a set's elements."""
+def sketch(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of elements, XOR of their 64-bit hashes) of each part of a sorted set; an element is in the part that the top of its hash names."""
     part = ((x >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    return (np.bincount((part * np.uint64(64) + (x & np.uint64(63))).astype(np.int64), minlength=parts * 64) & 1).astype(np.uint8).reshape(parts, 64)
+    count = np.bincount(part.astype(np.int64), minlength=parts)
+    bits = np.zeros(parts, np.uint64)
+    full = np.flatnonzero(count)
+    bits[full] = np.bitwise_xor.reduceat(mix(x), (np.cumsum(count) - count)[full])
+    return count, bits
 
 
 def keys_of(x: np.ndarray) -> np.ndarray:
@@ -52,10 +56,9 @@ def keys_of(x: np.ndarray) -> np.ndarray:
     for of, most in roles:
         if most:
             parts = parts_of(of)
-            bits = sketch(x, parts)
-            content = np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
-            h = mix(content ^ mix(np.arange(parts, dtype=np.uint64) + np.uint64(of << 40)))
-            key = ((64 - bits.sum(1)).astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+            count, bits = sketch(x, parts)
+            h = mix(bits ^ mix(np.arange(parts, dtype=np.uint64) + np.uint64(of << 40)))
+            key = (np.uint64(255) - np.minimum(count, 255).astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
             out.append(np.partition(key, most)[: most + 1] if most + 1 < parts else key)
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from cairn.plans import core
+
 
 def queries() -> dict:
-    return {}
+    return dict(core.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(core.SQL)

@@ -27,7 +27,7 @@ def filled_months(counts: DataFrame) -> DataFrame:
 
 def climate_months(rows: DataFrame) -> DataFrame:
     """unit, month and mean rain, temperature and soil wetness."""
-    return rows.groupBy("unit", "month").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("rain", "temp", "wet")))
+    return rows.groupBy("unit", "month").agg(*(F.avg(c).alias(c) for c in ("rain", "temp", "wet")))
 
 
 def climate_normals(climate: DataFrame, metrics: tuple[str, ...] = ("rain", "temp", "wet"), years: int = 15) -> DataFrame:
@@ -35,7 +35,7 @@ def climate_normals(climate: DataFrame, metrics: tuple[str, ...] = ("rain", "tem
     w = Window.partitionBy("unit", F.month("month")).orderBy(F.year("month")).rangeBetween(-years, -1)
     out = climate
     for m in metrics:
-        out = out.withColumn(f"{m}_avg", F.round(F.avg(m).over(w), 6)).withColumn(f"{m}_min", F.min(m).over(w)).withColumn(f"{m}_max", F.max(m).over(w))
+        out = out.withColumn(f"{m}_avg", F.avg(m).over(w)).withColumn(f"{m}_min", F.min(m).over(w)).withColumn(f"{m}_max", F.max(m).over(w))
     return out
 
 

@@ -73,7 +73,7 @@ def locate(points: DataFrame, polygons: DataFrame, key: str | None = None) -> Da
 
     Points meet the polygons of their 1-degree cell, and of their ``key`` if one is given; crossings are counted over the edges."""
     flat = polygons.withColumn("_all", F.flatten("rings"))
-    box = {f: F.floor(g(F.transform("_all", lambda p, c=c: p[c]))).cast("int") for f, g, c in (("x0", F.array_min, "x"), ("x1", F.array_max, "x"), ("y0", F.array_min, "y"), ("y1", F.array_max, "y"))}
+    box = {f: F.floor(g(F.col("_all")[c])).cast("int") for f, g, c in (("x0", F.array_min, "x"), ("x1", F.array_max, "x"), ("y0", F.array_min, "y"), ("y1", F.array_max, "y"))}
     own = ["unit"] + ([key] if key else [])
     cells = flat.select(*own, F.explode(F.sequence(box["x0"], box["x1"])).alias("cx"), *(v.alias(k) for k, v in box.items() if k[0] == "y")).select(*own, "cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
     p = points.select("id", "lat", "lon", *([key] if key else []), F.floor("lon").cast("int").alias("cx"), F.floor("lat").cast("int").alias("cy"))
@@ -100,7 +100,7 @@ def ring_measures(polygons: DataFrame) -> DataFrame:
     cross = lambda e: e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"]
     add = lambda f: F.aggregate("z", F.lit(0.0), lambda s, e: s + f(e))
     x = pairs.withColumn("a2", add(cross)).withColumn("cx", add(lambda e: (e["p"]["x"] + e["q"]["x"]) * cross(e))).withColumn("cy", add(lambda e: (e["p"]["y"] + e["q"]["y"]) * cross(e)))
-    ends = lambda g, c: g(F.transform("r", lambda p: p[c]))
+    ends = lambda g, c: g(F.col("r")[c])
     return x.select("unit", F.abs(F.col("a2") / 2).alias("area"), F.try_divide("cx", 3 * F.col("a2")).alias("lon"), F.try_divide("cy", 3 * F.col("a2")).alias("lat"), ends(F.array_min, "x").alias("x0"), ends(F.array_min, "y").alias("y0"), ends(F.array_max, "x").alias("x1"), ends(F.array_max, "y").alias("y1"))
 
 

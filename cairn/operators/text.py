@@ -39,7 +39,7 @@ def guess_language(text: Column | str, hints: dict[str, str] = LANGUAGE_HINTS) -
     """By script first, else by the most stop words, a strict winner; null otherwise."""
     c = col(text)
     words = F.split(F.lower(c), r"[^\p{L}]+")
-    votes = [F.struct(F.size(F.filter(words, lambda w, h=h: w.isin(h.split()))).alias("n"), F.lit(k).alias("lang")) for k, h in hints.items()]
+    votes = [F.struct(F.size(F.filter(words, _in(h.split()))).alias("n"), F.lit(k).alias("lang")) for k, h in hints.items()]
     ranked = F.sort_array(F.array(*votes), asc=False)
     voted = F.when((ranked[0]["n"] > 0) & (ranked[0]["n"] > ranked[1]["n"]), ranked[0]["lang"])
     return reduce(lambda w, s: w.when(c.rlike(s[1]), s[0]), SCRIPTS[1:], F.when(c.rlike(SCRIPTS[0][1]), SCRIPTS[0][0])).otherwise(voted)
@@ -86,10 +86,19 @@ def feed_links(pages: DataFrame) -> DataFrame:
     return x.select("page_id", F.when(href.rlike("^[a-z]+://"), href).otherwise(F.concat(F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1), F.when(href.startswith("/"), "").otherwise("/"), href)).alias("link"))
 
 
+def _in(values: list[str]):
+    return lambda w: w.isin(values)
+
+
+def _grams(n: int) -> Column:
+    at = F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: i + n <= F.size("w"))
+    return F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice("w", i + 1, F.lit(n)), " ").alias("gram")))
+
+
 def ngrams(titles: DataFrame, most: int = 3) -> DataFrame:
     """id, pos, n, gram: folded word n-grams."""
     x = titles.withColumn("w", F.filter(F.split(fold("title"), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
-    grams = [F.transform(F.filter(F.sequence(F.lit(0), F.size("w")), lambda i, n=n: i + n <= F.size("w")), lambda i, n=n: F.struct(i.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice("w", i + 1, F.lit(n)), " ").alias("gram"))) for n in range(1, most + 1)]
+    grams = [_grams(n) for n in range(1, most + 1)]
     return x.select("id", F.explode(F.concat(*grams)).alias("g")).select("id", "g.*")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import analytics, country, early_warning, geo, indices, merging, quality, text
 from cairn.sources import tables
-from cairn.sources.tables import ADVISORY, CALENDAR, HEADLINE, INCIDENT, NOW, SITE, UNIT_MONTH
+from cairn.sources.tables import ADVISORY, CALENDAR, HEADLINE, INCIDENT, MIXED, NOW, SITE, UNIT_MONTH
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -18,6 +18,9 @@ KM = lambda a, b, c, d: f"2 * 6371 * asin(sqrt(least(1e0, pow(sin(radians({c} -
 WITH = f"WITH incident AS ({INCIDENT}), advisory AS ({ADVISORY}), site AS ({SITE})"
 
 
+WITH_MIXED = f"WITH incident AS ({MIXED})"
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -69,8 +72,8 @@ def sparkline(spark, d):
     return indices.sparkline(indices.daily_values(tables.incidents(spark, d)))
 
 
-@query(WITH + DAILY + """, w AS (SELECT *, row_number() OVER o n, max(value) OVER (PARTITION BY country ORDER BY "day" ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) week, round(value - (SELECT arg_max(p.value, p."day") FROM daily p WHERE p.country = t.country AND p."day" <= t."day" - 7), 2) d7 FROM daily t WINDOW o AS (PARTITION BY country ORDER BY "day"))
-SELECT country, "day", value, CASE WHEN value <= 37 AND week >= 40 THEN 'threshold' ELSE 'drop' END reason FROM w WHERE n >= 3 AND ((value <= 37 AND week >= 40) OR coalesce(d7 <= -12, false))""")
+@query(WITH + DAILY + """, w AS (SELECT *, row_number() OVER o n, max(value) OVER (PARTITION BY country ORDER BY "day" ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) wk, round(value - (SELECT arg_max(p.value, p."day") FROM daily p WHERE p.country = t.country AND p."day" <= t."day" - 7), 2) d7 FROM daily t WINDOW o AS (PARTITION BY country ORDER BY "day"))
+SELECT country, "day", value, CASE WHEN value <= 37 AND wk >= 40 THEN 'threshold' ELSE 'drop' END reason FROM w WHERE n >= 3 AND ((value <= 37 AND wk >= 40) OR coalesce(d7 <= -12, false))""")
 def threshold_alerts(spark, d):
     return indices.threshold_alerts(indices.daily_values(tables.incidents(spark, d)))
 
@@ -236,15 +239,15 @@ def crises(spark, d):
     return merging.crises(tables.incidents(spark, d).where("severity >= 3"), NOW)
 
 
-@query(WITH + f""", f AS (SELECT *, CASE category WHEN 'attack' THEN 'violence' ELSE category END fam, CASE category WHEN 'attack' THEN 20 WHEN 'unrest' THEN 15 WHEN 'flood' THEN 150 ELSE 100 END r, CASE category WHEN 'flood' THEN 96 WHEN 'earthquake' THEN 3 ELSE 24 END h FROM incident WHERE category <> 'cyber')
+@query(WITH_MIXED + f""", f AS (SELECT *, CASE category WHEN 'attack' THEN 'violence' ELSE category END fam, CASE category WHEN 'attack' THEN 20 WHEN 'unrest' THEN 15 WHEN 'flood' THEN 150 ELSE 100 END r, CASE category WHEN 'flood' THEN 96 WHEN 'earthquake' THEN 3 ELSE 24 END h FROM incident WHERE category <> 'cyber')
 SELECT a.id a, b.id b, a.fam, round({KM('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 3) dist FROM f a JOIN f b ON a.fam = b.fam AND a.nation_key = b.nation_key AND a.id < b.id AND a.source <> b.source AND abs(epoch_us(a.date) - epoch_us(b.date)) <= a.h * 3600000000 AND {KM('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= a.r""")
 def duplicate_pairs(spark, d):
-    return merging.duplicate_pairs(tables.incidents(spark, d))
+    return merging.duplicate_pairs(tables.mixed_incidents(spark, d))
 
 
 @query()
 def greedy_duplicates(spark, d):
-    return merging.greedy_duplicates(tables.incidents(spark, d))
+    return merging.greedy_duplicates(tables.mixed_incidents(spark, d))
 
 
 SENSOR = f""", r AS (SELECT *, CASE category WHEN 'earthquake' THEN 300 ELSE 150 END most, CASE category WHEN 'earthquake' THEN 6 ELSE 48 END h0, CASE category WHEN 'earthquake' THEN 72 ELSE 336 END h1 FROM incident WHERE category IN ('earthquake', 'flood') AND source NOT IN ('USGS', 'GDACS')),
@@ -253,22 +256,22 @@ x AS (SELECT r.id report, o.id official, round({KM('r.lat', 'r.lon', 'o.lat', 'o
 m AS (SELECT report, official, km FROM (SELECT *, row_number() OVER (PARTITION BY report ORDER BY km, official) n FROM x) WHERE n = 1)"""
 
 
-@query(WITH + SENSOR + " SELECT report, official, round(km, 3) km FROM m")
+@query(WITH_MIXED + SENSOR + " SELECT report, official, round(km, 3) km FROM m")
 def sensor_matches(spark, d):
-    return merging.sensor_matches(tables.incidents(spark, d))
+    return merging.sensor_matches(tables.mixed_incidents(spark, d))
 
 
-@query(WITH + SENSOR + " SELECT official, count(*) reports, greatest(any_value(o.severity), least(max(r.severity), any_value(o.severity) + 1)) severity FROM m JOIN incident r ON r.id = report JOIN incident o ON o.id = official GROUP BY 1")
+@query(WITH_MIXED + SENSOR + " SELECT official, count(*) reports, greatest(any_value(o.severity), least(max(r.severity), any_value(o.severity) + 1)) severity FROM m JOIN incident r ON r.id = report JOIN incident o ON o.id = official GROUP BY 1")
 def attached_reports(spark, d):
-    e = tables.incidents(spark, d)
+    e = tables.mixed_incidents(spark, d)
     return merging.attach_reports(merging.sensor_matches(e), e)
 
 
 MONTHS = f"""WITH um AS ({UNIT_MONTH}), mc AS (SELECT unit, "month", count(*) FILTER (flag = 'R') sec, count(*) FILTER (flag = 'R' AND status = 'O') res, count(*) FILTER (flag = 'A') unrest, count(*) FILTER (flag = 'A' AND status = 'O') pol, count(*) FILTER (flag = 'N') haz, count(*) FILTER (flag = 'N' AND status = 'O') infra, count(*) FILTER (flag = 'N' AND status = 'F') health FROM um GROUP BY 1, 2),
 ax AS (SELECT unit, CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE) "month" FROM (SELECT unit, min("month") a, max("month") b FROM mc GROUP BY 1)),
 fm AS (SELECT unit, "month", coalesce(sec, 0) sec, coalesce(res, 0) res, coalesce(unrest, 0) unrest, coalesce(pol, 0) pol, coalesce(haz, 0) haz, coalesce(infra, 0) infra, coalesce(health, 0) health, coalesce(haz, 0) + coalesce(infra, 0) + coalesce(health, 0) hz FROM ax LEFT JOIN mc USING (unit, "month")),
-cm AS (SELECT unit, "month", round(avg(rain), 6) rain, round(avg(temp), 6) "temp", round(avg(wet), 6) wet FROM um GROUP BY 1, 2),
-cn AS (SELECT *, {', '.join(f'round(avg("{m}") OVER p, 6) {m}_avg, min("{m}") OVER p {m}_min, max("{m}") OVER p {m}_max' for m in ('rain', 'temp', 'wet'))} FROM cm WINDOW p AS (PARTITION BY unit, month("month") ORDER BY year("month") RANGE BETWEEN 15 PRECEDING AND 1 PRECEDING))"""
+cm AS (SELECT unit, "month", avg(rain) rain, avg("temp") "temp", avg(wet) wet FROM um GROUP BY 1, 2),
+cn AS (SELECT *, {', '.join(f'avg("{m}") OVER p {m}_avg, min("{m}") OVER p {m}_min, max("{m}") OVER p {m}_max' for m in ('rain', 'temp', 'wet'))} FROM cm WINDOW p AS (PARTITION BY unit, month("month") ORDER BY year("month") RANGE BETWEEN 15 PRECEDING AND 1 PRECEDING))"""
 TREND = ", ".join(f'CAST(sum({c}) OVER (PARTITION BY unit ORDER BY "month" ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) {c}3, round(coalesce(avg({c}) OVER (PARTITION BY unit ORDER BY "month" ROWS BETWEEN 14 PRECEDING AND 3 PRECEDING) * 3, 0), 6) {c}_base' for c in ("sec", "res", "unrest", "pol", "hz"))
 W3 = '(PARTITION BY unit ORDER BY "month" ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)'
 INDEX = MONTHS + f""", tr AS (SELECT *, {TREND} FROM fm),
@@ -286,9 +289,13 @@ def monthly_counts(spark, d):
     return early_warning.monthly_counts(tables.unit_months(spark, d))
 
 
-@query(MONTHS + " SELECT * FROM cn")
+NORMALS = [f"{m}{e}" for m in ("rain", "temp", "wet") for e in ("", "_avg", "_min", "_max")]
+
+
+@query(MONTHS + ' SELECT unit, "month", ' + ", ".join(f'round("{c}", 9) "{c}"' for c in NORMALS) + " FROM cn")
 def climate_normals(spark, d):
-    return early_warning.climate_normals(early_warning.climate_months(tables.unit_months(spark, d)))
+    n = early_warning.climate_normals(early_warning.climate_months(tables.unit_months(spark, d)))
+    return n.select("unit", "month", *(F.round(c, 9).alias(c) for c in NORMALS))
 
 
 def _index(spark, d):
@@ -412,8 +419,8 @@ def calendar_overlaps(spark, d):
 
 
 #: Head lines of documents: tokens as in ``story_tokens``.
-TOKENS = f"""WITH headline AS ({HEADLINE}), tk AS (SELECT id, title, list_distinct_ordered FROM (SELECT id, title, list_filter(regexp_split_to_array(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžőű', 'aaaaaaceeeeiiiinoooooouuuuyyszou'), '[^a-z]+'), x -> length(x) >= 3 AND x NOT IN ('the','and','for','with','from','after','amid','over','into','near','dans','pour','avec','apres','contre','des','les','une','sur','par'))[1:14] ws,
- list_filter(ws, (x, i) -> list_position(ws, x) = i) list_distinct_ordered FROM headline)), tt AS (SELECT id, unnest(list_distinct_ordered) "token" FROM tk), dfq AS (SELECT "token", count(*) df FROM tt GROUP BY 1)"""
+TOKENS = f"""WITH headline AS ({HEADLINE}), tk AS (SELECT id, title, list_distinct_ordered FROM (SELECT id, title, list_filter(regexp_split_to_array(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžőű', 'aaaaaaceeeeiiiinoooooouuuuyyszou'), '[^a-z]+'), lambda x: length(x) >= 3 AND x NOT IN ('the','and','for','with','from','after','amid','over','into','near','dans','pour','avec','apres','contre','des','les','une','sur','par'))[1:14] ws,
+ list_filter(ws, lambda x, i: list_position(ws, x) = i) list_distinct_ordered FROM headline)), tt AS (SELECT id, unnest(list_distinct_ordered) "token" FROM tk), dfq AS (SELECT "token", count(*) df FROM tt GROUP BY 1)"""
 
 
 @query(TOKENS + ' SELECT "token", df, round(ln(((SELECT count(*) FROM headline) + 1) / (df + 0.5)), 6) idf, df <= 5 rare FROM dfq')

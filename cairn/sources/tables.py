@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 NOW = "2024-01-31 00:00:00"
 
 INCIDENT = """
-SELECT e.event_id AS id, e.ts AS date, n.n_name AS country, r.r_name AS region, n.n_nationkey AS nation_key,
+SELECT e.event_id AS id, CAST(e.ts AS TIMESTAMP) AS date, n.n_name AS country, r.r_name AS region, n.n_nationkey AS nation_key,
        CASE e.user_id % 5 WHEN 0 THEN 'USGS' WHEN 1 THEN 'GDELT' WHEN 2 THEN 'Press' WHEN 3 THEN 'GDACS' ELSE 'WHO' END AS source,
        CASE e.event_type WHEN 'view' THEN 'attack' WHEN 'click' THEN 'unrest' WHEN 'purchase' THEN 'flood' WHEN 'signup' THEN 'earthquake' ELSE 'cyber' END AS category,
        CASE e.event_type WHEN 'view' THEN 'security' WHEN 'click' THEN 'political' WHEN 'error' THEN 'infrastructure' ELSE 'natural' END AS grp,
@@ -20,6 +20,9 @@ SELECT e.event_id AS id, e.ts AS date, n.n_name AS country, r.r_name AS region,
        concat('place-', CAST(e.event_id % 8 AS VARCHAR(10))) AS place, e.value AS value, e.user_id AS user_id
 FROM events e JOIN nation n ON n.n_nationkey = e.user_id % 25 JOIN region r ON r.r_regionkey = n.n_regionkey"""
 
+#: The same with sources dealt by event, so that all sources report on each country.
+MIXED = INCIDENT.replace("CASE e.user_id % 5 WHEN 0", "CASE e.event_id % 5 WHEN 0").replace("e.user_id % 5 IN (1, 2)", "e.event_id % 5 IN (1, 2)")
+
 ADVISORY = """
 SELECT n.n_name AS country, CASE s.s_suppkey % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END AS source, CAST(max(1 + s.s_suppkey % 4) AS INT) AS level, 4 AS scale
 FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey GROUP BY 1, 2"""
@@ -60,6 +63,10 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, INCIDENT)
 
 
+def mixed_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, sf_dir, MIXED)
+
+
 def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, ADVISORY)
 

@@ -67,7 +67,7 @@ def shard_rows(df: DataFrame, key: str, shards: int, vnodes: int = 100, order: t
     if vnodes * shards > 1 << CELL_BITS:
         raise ValueError("more virtual nodes than cells")
     spark, cells = df.sparkSession, 1 << CELL_BITS
-    nodes = spark.range(shards * vnodes).select((F.col("id") % shards).cast("int").alias("shard"), F.pmod(F.shiftright(F.xxhash64(F.lit("node"), "id"), 20), F.lit(cells)).alias("h")).orderBy("id").collect()
+    nodes = spark.range(shards * vnodes).select(F.floor(F.col("id") / vnodes).cast("int").alias("shard"), F.pmod(F.shiftright(F.xxhash64(F.lit("node"), "id"), 20), F.lit(cells)).alias("h")).orderBy("id").collect()
     ring = place_vnodes([(r.shard, r.h) for r in nodes], cells)
     placed = df.withColumn("_pos", F.xxhash64(F.lit("row"), F.col(key))).withColumn("_cell", F.shiftrightunsigned("_pos", 64 - CELL_BITS).cast("int"))
     counts = {r["_cell"]: r["count"] for r in placed.groupBy("_cell").count().collect()}

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import saved
@@ -26,6 +26,8 @@ from cairn.llm.shingles import mix, shingle_sets
 
 #: Jaccard of at least 75 / 100.
 NUM, DEN = 75, 100
+#: 64-bit words of the parity sketch that candidates are held against before their texts are read.
+WORDS = 16
 
 
 def parts_of(band: int) -> int:
@@ -68,15 +70,29 @@ def class_of(x: np.ndarray) -> int:
     return int(mix(mix(x).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(x)))[0].astype(np.int64)) if len(x) else 0
 
 
+def parities(x: np.ndarray) -> np.ndarray:
+    """A sketch of WORDS * 64 bits in which each element flips the bit that its hash names: the Hamming distance of two is at most their symmetric difference."""
+    bits = np.bincount((mix(x + np.uint64(1)) % np.uint64(WORDS * 64)).astype(np.int64), minlength=WORDS * 64) & 1
+    return np.packbits(bits.astype(np.uint8)).view(">i8").astype(np.int64)
+
+
+def may_link(a: str, b: str) -> Column:
+    """Whether sizes and parity sketches of two classes (columns n_shingles and bits with these suffixes) leave room for the threshold: D <= (1 - t) / (1 + t) * (n + m)."""
+    n, m = F.col(f"n_shingles_{a}"), F.col(f"n_shingles_{b}")
+    apart = sum(F.bit_count(F.get(f"bits_{a}", F.lit(i)).bitwiseXOR(F.get(f"bits_{b}", F.lit(i)))) for i in range(WORDS))
+    return (NUM * F.greatest(n, m) <= DEN * F.least(n, m)) & ((DEN + NUM) * apart <= (DEN - NUM) * (n + m))
+
+
 def document_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls of every whole text."""
+    """doc_id, n_shingles, cls, bits of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(x), class_of(x)) for x in shingle_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([c for _, c in sets], pa.int64())], ["doc_id", "n_shingles", "cls"])
+            sets = [(len(x), class_of(x), parities(x)) for x in shingle_sets(batch.column(1))]
+            columns = [batch.column(0), pa.array([n for n, *_ in sets], pa.int64()), pa.array([c for _, c, _ in sets], pa.int64()), pa.array([b for *_, b in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "cls", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls long, bits array<long>")
 
 
 def class_keys(docs: DataFrame) -> DataFrame:
@@ -143,16 +159,18 @@ def near_components(docs: DataFrame) -> DataFrame:
     )
     # each class against the smallest class that it shares most keys with
     first = buckets.where("cls <> low").groupBy("cls", "low").count().groupBy("cls").agg(F.max_by("low", F.struct("count", "low")).alias("low"))
-    tried = saved(first.select(F.col("cls").alias("a"), F.col("low").alias("b")), "pairs")
+    facts = classes.groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
+    fact = {k: facts.select(*(F.col(c).alias(f"{c}_{k}") for c in facts.columns)) for k in "ab"}
+    tried = first.select(F.col("cls").alias("a"), F.col("low").alias("b")).join(fact["a"], F.col("a") == F.col("cls_a")).join(fact["b"], F.col("b") == F.col("cls_b")).where(may_link("a", "b"))
+    tried = saved(tried.select("a", "b"), "pairs")
     links = saved(verified(tried, docs, classes), "links")
     comp = saved(components(links), "components")
     # pairs of one bucket whose classes are in different components
     named = buckets.join(comp, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
     mixed = saved(named.withColumn("lo", F.min("comp").over(in_key)).withColumn("hi", F.max("comp").over(in_key)).where("lo < hi").select("key", "cls", "comp"), "mixed")
-    sizes = classes.select("cls", "n_shingles").distinct()
-    sized = mixed.join(sizes, "cls")
-    a, b = (sized.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "comp", "n_shingles"))) for s in "ab")
-    more = a.join(b, "key").where("comp_a < comp_b").where(f"{NUM} * greatest(n_shingles_a, n_shingles_b) <= {DEN} * least(n_shingles_a, n_shingles_b)")
+    known = mixed.join(facts, "cls")
+    a, b = (known.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "comp", "n_shingles", "bits"))) for k in "ab")
+    more = a.join(b, "key").where((F.col("comp_a") < F.col("comp_b")) & may_link("a", "b"))
     more = more.select(F.greatest("cls_a", "cls_b").alias("a"), F.least("cls_a", "cls_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = saved(verified(saved(more, "pairs"), docs, classes), "links")
     comp = saved(components(links.unionByName(more)), "components")

@@ -9,6 +9,7 @@ The blocks are Parquet rows, so the commit protocol of Spark covers lost executo
 from __future__ import annotations
 
 import functools
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -64,7 +65,21 @@ def library_encoder(path: str) -> ChunkEncoder:
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    return ChunkEncoder(lambda chunks: [e.ids for e in tok.encode_batch([c.decode() for c in chunks], add_special_tokens=False)])
+
+    def encode_chunks(chunks: list[bytes]) -> list[list[int]]:
+        # one call for all: white space never belongs to a token, so offsets tell the chunk of each
+        out: list[list[int]] = []
+        for at in range(0, len(chunks), 4096):
+            parts = [c.decode() for c in chunks[at : at + 4096]]
+            done = tok.encode(" ".join(parts), add_special_tokens=False)
+            ends = np.cumsum([len(p) + 1 for p in parts])
+            owner = np.searchsorted(ends, np.fromiter((o[0] for o in done.offsets), np.int64, len(done.ids)), side="right")
+            cuts = np.searchsorted(owner, np.arange(len(parts) + 1))
+            ids = done.ids
+            out += [ids[a:b] for a, b in itertools.pairwise(cuts.tolist())]
+        return out
+
+    return ChunkEncoder(encode_chunks)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, bits: int) -> Iterator[pa.RecordBatch]:

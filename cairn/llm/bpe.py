@@ -48,6 +48,7 @@ class WordBpe:
         self.special_re = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split_re = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        self.line_re = regex.compile(self.split_re.pattern + r"|\n")
         letters = byte_letters()
         vocab = model["vocab"]
         self.text = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
@@ -158,34 +159,52 @@ class WordBpe:
             before = word
         return out
 
+    def _plain(self, text: str) -> str:
+        """Normalised text: NFC and lower case, letter by letter."""
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text)
+        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+
     def words(self, chunk: str) -> list[str | int]:
         """The words of a chunk without ASCII white space; special tokens as ids."""
         out: list[str | int] = []
-        for part in self.special_re.split(chunk) if "<|" in chunk else (chunk,):
+        for part in self.special_re.split(chunk):
             if part in self.special:
                 out.append(self.special[part])
-            elif part.isalpha() and part.isascii():
-                out.append(part.lower())
             elif part:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part)
-                    part = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
-                else:
-                    part = part.lower()
-                out += self.split_re.findall(part)
+                out += self.split_re.findall(self._plain(part))
+        return out
+
+    def split_chunks(self, chunks: list[bytes]) -> list[list[str | int]]:
+        """``words`` of many chunks in one pass: line ends, which no chunk has, part them."""
+        out: list[list[str | int]] = [[]]
+        for found in self.line_re.findall(self._plain(b"\n".join(chunks).decode())):
+            if found == "\n":
+                out.append([])
+            else:
+                out[-1].append(found)
+        if len(out) != len(chunks):
+            raise ValueError("a chunk holds a line end")
+        for i, c in enumerate(chunks):
+            if b"<|" in c:
+                out[i] = self.words(c.decode())
         return out
 
     def encode_chunks(self, chunks: list[bytes]) -> list[list[int]]:
-        split = [self.words(c.decode()) for c in chunks]
+        """Ids of each chunk; words that are new are encoded together."""
+        split = self.split_chunks(chunks)
         known = self.known
-        new = {w for ws in split for w in ws if isinstance(w, str) and w not in known}
-        for word, ids in self.encode_words([w.encode() for w in new]).items():
-            known[word.decode()] = ids
+        new = {w for ws in split for w in ws if w not in known and isinstance(w, str)}
+        known.update(self.encode_new(new))
         out = [known[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else [i for w in ws for i in (known[w] if isinstance(w, str) else (w,))] for ws in split]
         if len(known) > MEMO_CHUNKS:
             known.clear()
         return out
 
+    def encode_new(self, words: set[str]) -> dict[str, list[int]]:
+        return {word.decode(): ids for word, ids in self.encode_words([w.encode() for w in words]).items()}
+
     def decode_ids(self, ids) -> str:
         """Token strings joined by spaces: what a tokenizer file without a decoder gives."""
         return " ".join([self.text[i] for i in ids])

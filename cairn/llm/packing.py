@@ -9,7 +9,6 @@ The blocks are Parquet rows, so the commit protocol of Spark covers lost executo
 from __future__ import annotations
 
 import functools
-import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.bpe import ChunkEncoder
+from cairn.llm.bpe import ChunkEncoder, WordBpe, byte_letters
 from cairn.llm.common import shared_dir
 
 #: Ids of a block before it is closed; a longer document is a block of its own.
@@ -57,29 +56,25 @@ def unpack(payload: bytes, bits: int, start: int, n: int) -> np.ndarray:
     return (raw[at : at + n * bits].reshape(n, bits).astype(np.uint64) @ weights).astype(np.uint32)
 
 
+class LibraryBpe(WordBpe):
+    """The tokenizers library's own model on words that are new to a worker."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.model = Tokenizer.from_file(path).model
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
+
+    def encode_new(self, words: set[str]) -> dict[str, list[int]]:
+        tokenize, letters = self.model.tokenize, self.letters
+        return {w: [t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in words}
+
+
 @functools.lru_cache(2)
 def library_encoder(path: str) -> ChunkEncoder:
-    """The tokenizers library behind a memo of distinct chunks, one per worker process."""
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-
-    def encode_chunks(chunks: list[bytes]) -> list[list[int]]:
-        # one call for all: white space never belongs to a token, so offsets tell the chunk of each
-        out: list[list[int]] = []
-        for at in range(0, len(chunks), 4096):
-            parts = [c.decode() for c in chunks[at : at + 4096]]
-            done = tok.encode(" ".join(parts), add_special_tokens=False)
-            ends = np.cumsum([len(p) + 1 for p in parts])
-            owner = np.searchsorted(ends, np.fromiter((o[0] for o in done.offsets), np.int64, len(done.ids)), side="right")
-            cuts = np.searchsorted(owner, np.arange(len(parts) + 1))
-            ids = done.ids
-            out += [ids[a:b] for a, b in itertools.pairwise(cuts.tolist())]
-        return out
-
-    return ChunkEncoder(encode_chunks)
+    """One per worker process and vocabulary."""
+    return ChunkEncoder(LibraryBpe(path).encode_chunks)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, bits: int) -> Iterator[pa.RecordBatch]:

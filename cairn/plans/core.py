@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import analytics, country, early_warning, geo, indices, merging, quality, text
+from cairn.operators import analytics, country, early_warning, geo, indices, merging, press, quality, text
 from cairn.sources import tables
 from cairn.sources.tables import ADVISORY, CALENDAR, HEADLINE, INCIDENT, MIXED, NOW, SITE, UNIT_MONTH
 
@@ -466,3 +466,88 @@ def page_domains(spark, d):
 @query()
 def guessed_languages(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").groupBy("lang", text.guess_language("text").alias("guess")).count().withColumnRenamed("count", "n")
+
+
+GROUPS = WITH + """, pg AS (SELECT country, place, category, CAST(date AS DATE) "day", count(*) n, count(DISTINCT source) outlets, max(severity) severity, arg_min(id, (date, id)) first_id, arg_max(id, (date, id)) last_id FROM incident GROUP BY 1, 2, 3, 4)"""
+
+
+@query(GROUPS + " SELECT *, CASE WHEN outlets >= 4 THEN 'high' WHEN outlets >= 2 THEN 'medium' ELSE 'low' END confidence FROM pg")
+def press_groups(spark, d):
+    return press.press_groups(tables.incidents(spark, d).withColumn("outlet", F.col("source")))
+
+
+@query(WITH + f" SELECT id, country, category, severity, date FROM incident WHERE severity >= 3 AND confidence <> 'low' AND date >= {AT} - INTERVAL 48 HOUR AND NOT is_auto AND id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def alert_rows(spark, d):
+    sent = tables.sql(spark, d, "SELECT doc_id AS id FROM labels WHERE quality = 0")
+    return press.alert_rows(tables.incidents(spark, d), sent, NOW, hours=48, include_auto=False)
+
+
+@query(TRIAGE + " SELECT source, status, count(*) n FROM tg GROUP BY 1, 2")
+def triage_counts(spark, d):
+    return press.triage_counts(_triage(spark, d))
+
+
+@query(WITH + RISK + f""", e AS (SELECT country, count(*) "month", count(*) FILTER (severity >= 3) severe, max(CASE WHEN date >= {AT} - INTERVAL 3 DAY THEN severity END) worst_72h FROM incident WHERE date >= {AT} - INTERVAL 30 DAY GROUP BY 1), a AS (SELECT country, max(level) advice FROM advisory GROUP BY 1)
+SELECT country, "level", score, "month", severe, worst_72h, advice FROM risk LEFT JOIN e USING (country) LEFT JOIN a USING (country)""")
+def country_brief(spark, d):
+    e, a = tables.incidents(spark, d), tables.advisories(spark, d)
+    r = indices.country_risk(e, a, NOW)
+    return press.country_brief(r, indices.stability_index(e, r, NOW), e, a, NOW).drop("stability")
+
+
+@query(f"""WITH headline AS ({HEADLINE}), f AS (SELECT id, list_filter(regexp_split_to_array(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžőű', 'aaaaaaceeeeiiiinoooooouuuuyyszou'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') w FROM headline),
+g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) gram FROM f) SELECT gram, count(*) n FROM g GROUP BY 1 HAVING count(*) >= 3""")
+def title_bigrams(spark, d):
+    return text.ngrams(tables.headlines(spark, d), 2).where("n = 2").groupBy("gram").agg(F.count("*").alias("n")).where("n >= 3")
+
+
+@query("""WITH s AS (SELECT n.n_name country, CASE p.p_partkey % 4 WHEN 0 THEN 'Road to school' WHEN 1 THEN 'Rural water supply' WHEN 2 THEN 'Solar power plant' ELSE 'District hospital' END title, CAST(p.p_partkey AS DOUBLE) amount FROM part p JOIN nation n ON n.n_nationkey = p.p_partkey % 25),
+g AS (SELECT country, CASE WHEN title LIKE '%hospital' THEN 'health' WHEN title LIKE '%school' THEN 'education' WHEN title LIKE '%water%' THEN 'water' ELSE 'energy' END sector, count(*) n, sum(amount) amount FROM s GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY country ORDER BY amount DESC, sector) AS INT) "rank" FROM g) SELECT * FROM r WHERE "rank" <= 6""")
+def project_totals(spark, d):
+    return country.project_totals(tables.sql(spark, d, "SELECT n.n_name AS country, CASE p.p_partkey % 4 WHEN 0 THEN 'Road to school' WHEN 1 THEN 'Rural water supply' WHEN 2 THEN 'Solar power plant' ELSE 'District hospital' END AS title, CAST(p.p_partkey AS DOUBLE) AS amount FROM part p JOIN nation n ON n.n_nationkey = p.p_partkey % 25"))
+
+
+@query("""WITH m AS (SELECT c.c_custkey mission, CAST(1 + c.c_custkey % 5 AS INT) lv, CAST(c.c_custkey % 7 AS INT) sn, CAST(c.c_custkey % 2 AS INT) en, list_filter(range(1, 10), lambda i: (c.c_custkey // CAST(pow(2, i - 1) AS BIGINT)) % 2 = 0) miss FROM customer c),
+x AS (SELECT mission, least(5, lv + (sn >= 3)::INT + (en > 0)::INT) threat, 1 + CAST(floor(len(miss) / 2) AS INT) vulnerability, array_to_string(list_transform(miss, lambda i: 'a' || i), ',') missing FROM m)
+SELECT mission, threat, vulnerability, threat * vulnerability product, CASE WHEN threat * vulnerability >= 16 THEN 'no-go' WHEN threat * vulnerability >= 9 THEN 'approval' WHEN threat * vulnerability >= 5 THEN 'conditions' ELSE 'go' END code, missing FROM x""")
+def go_no_go(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("mission"), (1 + F.col("c_custkey") % 5).cast("int").alias("level"), (F.col("c_custkey") % 7).cast("int").alias("severe_near"), (F.col("c_custkey") % 2).cast("int").alias("entries"), *((F.floor(F.col("c_custkey") / 2 ** (i - 1)) % 2 == 1).alias(f"a{i}") for i in range(1, 10)))
+    return country.go_no_go(c)
+
+
+@query("""WITH r AS (SELECT n.n_name country, CASE s.s_suppkey % 6 WHEN 0 THEN 'growth' WHEN 1 THEN 'inflation' WHEN 2 THEN 'debt' WHEN 3 THEN 'unemployment' WHEN 4 THEN 'stability' ELSE 'yield' END k, s.s_suppkey y, s.s_acctbal / 50 v FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey),
+l AS (SELECT country, k, arg_max(v, y) v FROM r GROUP BY 1, 2), p AS (SELECT country, max(v) FILTER (k = 'growth') g, max(v) FILTER (k = 'inflation') i, max(v) FILTER (k = 'debt') d, max(v) FILTER (k = 'unemployment') u, max(v) FILTER (k = 'stability') s FROM l GROUP BY 1)
+SELECT country, concat_ws(',', CASE WHEN g < 0 THEN 'recession' END, CASE WHEN i >= 10 THEN 'inflation' END, CASE WHEN d >= 100 THEN 'debt' END, CASE WHEN u >= 15 THEN 'unemployment' END, CASE WHEN s < 20 THEN 'instability' END) flags FROM p""")
+def structural_flags(spark, d):
+    r = tables.sql(spark, d, "SELECT n.n_name AS country, CASE s.s_suppkey % 6 WHEN 0 THEN 'growth' WHEN 1 THEN 'inflation' WHEN 2 THEN 'debt' WHEN 3 THEN 'unemployment' WHEN 4 THEN 'stability' ELSE 'yield' END AS key, s.s_suppkey AS year, s.s_acctbal / 50 AS value FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey")
+    return country.structural_flags(r).select("country", F.array_join("flags", ",").alias("flags"))
+
+
+@query(WITH + f", x AS (SELECT country, date_trunc('day', date) \"day\", {W} w FROM incident) SELECT country, CAST(\"day\" AS DATE) \"day\", count(*) n, round(sum(w), 3) weight FROM x GROUP BY 1, 2")
+def daily_weights(spark, d):
+    from cairn.functions.exprs import event_weight
+
+    return tables.incidents(spark, d).withColumn("w", event_weight()).groupBy("country", F.col("date").cast("date").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("w"), 3).alias("weight"))
+
+
+@query("SELECT conv_id id, turn pos, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) n FROM conversations WHERE role = 'assistant'")
+def context_items(spark, d):
+    return spark.read.parquet(f"{d}/conversations.parquet").where("role = 'assistant'").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), F.length(F.trim(F.regexp_replace("text", r"\s+", " "))).cast("long").alias("n"))
+
+
+@query()
+def denials(spark, d):
+    e = tables.headlines(spark, d).withColumn("date", F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 600))
+    c = tables.sql(spark, d, "SELECT xxhash64(conv_id, turn) AS id, array_join(slice(split(text, ' '), 1, 14), ' ') AS title, timestamp_seconds(1704067200 + pmod(xxhash64(conv_id), 2592000)) AS date FROM conversations WHERE role = 'assistant'")
+    return merging.denials(e, c)
+
+
+@query()
+def judged_titles(spark, d):
+    return press.judged_titles(tables.headlines(spark, d))
+
+
+@query()
+def value_alert_sentences(spark, d):
+    return press.crisis_sentence(merging.crises(tables.incidents(spark, d).where("severity >= 3"), NOW))

@@ -271,3 +271,95 @@ def reports(items: DataFrame, keep_link: str, drop_title: str, now: str, days: i
     x = items.where(F.col("link").rlike(keep_link) & ~F.lower("title").rlike(drop_title) & (F.col("date") >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAY")))
     x = x.withColumn("id", F.substring(F.sha1(F.regexp_replace("link", r"\?.*$", "")), 1, 12))
     return x.withColumn("n", F.row_number().over(Window.partitionBy("feed").orderBy(F.desc("date"), "id"))).where(F.col("n") <= per_feed).drop("n")
+
+
+def european_warnings(spark: SparkSession, path: str, now: str) -> DataFrame:
+    """One row per country, type and level of unexpired warnings: areas united, latest sent and expires, first onset; cancelled, marine-only and orange fog go."""
+    schema = "warnings array<struct<country:string, type:string, level:string, status:string, sent:string, onset:string, expires:string, areas:array<string>>>"
+    x = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("warnings").alias("w")).select("w.*")
+    marine = F.forall("areas", lambda a: F.lower(a).rlike("sea|coast|marine|strait"))
+    x = x.where((F.col("status") != "Cancel") & (F.try_to_timestamp("expires") > F.lit(now).cast("timestamp")) & F.col("level").isin("orange", "red") & ~marine & ~((F.col("level") == "orange") & (F.col("type") == "fog")))
+    g = x.groupBy("country", "type", "level").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("areas")))).alias("areas"), F.max(F.try_to_timestamp("sent")).alias("sent"), F.max(F.try_to_timestamp("expires")).alias("expires"), F.min(F.try_to_timestamp("onset")).alias("onset"))
+    kind = lookup("type", {"rain": "flood", "flood": "flood", "wind": "storm", "thunderstorm": "storm", "snow": "storm", "forestfire": "wildfire", "heat": "extreme_temp", "cold": "extreme_temp"}, "other")
+    return g.withColumn("category", kind).withColumn("severity", lookup("level", {"orange": 3, "red": 4}, 1))
+
+
+def conflict_api(spark: SparkSession, path: str) -> DataFrame:
+    """Licensed conflict rows; ten deaths make them critical."""
+    x = spark.read.schema("data array<struct<event_id_cnty:string, event_date:string, event_type:string, country:string, location:string, latitude:string, longitude:string, fatalities:string, notes:string>>").option("multiLine", True).json(path).select(F.explode("data").alias("d")).select("d.*")
+    kind = lookup("event_type", {"Battles": "armed_conflict", "Explosions/Remote violence": "attack", "Violence against civilians": "attack", "Riots": "unrest", "Protests": "unrest"}, "political")
+    return incident(x, "ACLED", id=F.concat(F.lit("acled-"), "event_id_cnty"), category=kind, severity=F.when(F.col("fatalities").try_cast("int") >= 10, 4).when(F.col("fatalities").try_cast("int") >= 1, 3).otherwise(2), title=F.col("notes"), date=F.try_to_timestamp("event_date"), lat=F.col("latitude").try_cast("double"), lon=F.col("longitude").try_cast("double"), country=F.col("country"))
+
+
+def humanitarian_reports(spark: SparkSession, path: str) -> DataFrame:
+    """title, link, date, country of humanitarian reports, as press items."""
+    x = spark.read.schema("data array<struct<fields:struct<title:string, url:string, date:struct<created:string>, primary_country:struct<iso3:string>>>>").option("multiLine", True).json(path).select(F.explode("data.fields").alias("f"))
+    return x.select("f.title", F.col("f.url").alias("link"), F.try_to_timestamp("f.date.created").alias("date"), F.col("f.primary_country.iso3").alias("country"))
+
+
+def official_bulletins(items: DataFrame, keep: str, drop: str, categories: dict[str, str], group: str | None = None) -> DataFrame:
+    """Bulletins kept by pattern, with category, severity by warning words, position from the text in two spellings (12.5N 45.0W or -12.5, 45.0); the latest per group."""
+    from functools import reduce
+
+    from pyspark.sql import Window
+
+    t = F.lower(F.concat_ws(" ", "title", "snippet"))
+    x = items.where(t.rlike(keep) & ~t.rlike(drop))
+    pairs = list(categories.items())
+    kind = reduce(lambda w, kv: w.when(t.rlike(kv[0]), kv[1]), pairs[1:], F.when(t.rlike(pairs[0][0]), pairs[0][1])).otherwise("other")
+    letters = r"(\d{1,2}(?:\.\d+)?)\s*°?\s*([ns])[, ]+(\d{1,3}(?:\.\d+)?)\s*°?\s*([ew])"
+    plain = r"(-?\d{1,2}\.\d+)\s*,\s*(-?\d{1,3}\.\d+)"
+    number = lambda p, i: F.regexp_extract(t, p, i).try_cast("double")
+    lat = F.coalesce(number(letters, 1) * F.when(F.regexp_extract(t, letters, 2) == "s", -1).otherwise(1), number(plain, 1))
+    lon = F.coalesce(number(letters, 3) * F.when(F.regexp_extract(t, letters, 4) == "w", -1).otherwise(1), number(plain, 2))
+    severity = F.when(t.rlike("major|extreme|red|catastroph"), 4).when(t.rlike("warning|orange|severe"), 3).otherwise(2)
+    x = x.select("*", kind.alias("category"), severity.alias("severity"), lat.alias("lat"), lon.alias("lon"), F.trim(F.element_at(F.split("title", " - "), -1)).alias("tail"))
+    if group:
+        x = x.withColumn("storm", F.regexp_extract(F.lower("title"), group, 1)).withColumn("n", F.row_number().over(Window.partitionBy(F.when(F.col("storm") != "", F.col("storm")).otherwise(F.col("link"))).orderBy(F.desc("date"), "link"))).where("n = 1").drop("n")
+    return x
+
+
+def ca_advisories(spark: SparkSession, path: str) -> DataFrame:
+    """country, level: the advisory state plus one."""
+    x = spark.read.schema("data map<string, struct<`country-iso`:string, `advisory-state`:int>>").option("multiLine", True).json(path).select(F.explode("data").alias("k", "v"))
+    return x.select(F.col("v.country-iso").alias("country"), (F.col("v.advisory-state") + 1).cast("int").alias("level"), F.lit(4).alias("scale"))
+
+
+def advisory_sections(pages: DataFrame) -> DataFrame:
+    """country, pos, heading, depth, body, phones of pages(country, html) cut at headings; skipped headings are boilerplate."""
+    parts = pages.select("country", F.posexplode(F.split(F.regexp_replace("html", r"(?i)<h([23])[^>]*>", "\x1e$1\x1f"), "\x1e")).alias("pos", "p")).where("pos > 0")
+    depth = F.substring("p", 1, 1).try_cast("int")
+    head = F.regexp_extract("p", r"(?s)\x1f(.*?)</h", 1)
+    body = F.regexp_extract("p", r"(?s)</h[23]>(.*)$", 1)
+    x = parts.select("country", "pos", snippet(head, most=200).alias("heading"), depth.alias("depth"), snippet(body, most=100_000).alias("body"))
+    phones = F.array_distinct(F.regexp_extract_all("body", F.lit(r"(\+?\d[\d ()-]{5,}\d)"), 1))
+    return x.where(~F.lower("heading").rlike("cookies|related content|print|sign up")).withColumn("phones", phones)
+
+
+def populated_places(spark: SparkSession, path: str) -> DataFrame:
+    x = spark.read.option("header", True).csv(path)
+    return x.select("name", F.col("iso").alias("country"), F.col("lat").try_cast("double").alias("lat"), F.col("lon").try_cast("double").alias("lon"), F.col("population").try_cast("long").alias("population"), (F.col("capital") == "1").alias("capital")).where("lat IS NOT NULL AND population IS NOT NULL")
+
+
+def airports(spark: SparkSession, path: str) -> DataFrame:
+    """Large and medium airports with a code."""
+    x = spark.read.option("header", True).csv(path).where(F.col("type").isin("large_airport", "medium_airport") & (F.coalesce("iata_code", F.lit("")) != ""))
+    return x.select(F.col("iso_country").alias("country"), F.col("iata_code").alias("airport"), F.col("latitude_deg").try_cast("double").alias("lat"), F.col("longitude_deg").try_cast("double").alias("lon"))
+
+
+def projects(spark: SparkSession, path: str) -> DataFrame:
+    x = spark.read.schema("projects map<string, struct<countryshortname:string, project_name:string, totalamt:string, boardapprovaldate:string>>").option("multiLine", True).json(path).select(F.explode("projects").alias("id", "p"))
+    return x.select("id", F.col("p.countryshortname").alias("country"), F.col("p.project_name").alias("title"), F.regexp_replace("p.totalamt", ",", "").try_cast("double").alias("amount"))
+
+
+def calendar_entries(holidays: DataFrame, elections: DataFrame, own: DataFrame) -> DataFrame:
+    """country, d, title, type: public holidays, elections and own entries; one per country, day and title, own ones first."""
+    from pyspark.sql import Window
+
+    x = own.select("country", "d", "title", F.lit("own").alias("type"), F.lit(0).alias("r")).unionByName(elections.select("country", "d", "title", F.lit("election").alias("type"), F.lit(1).alias("r"))).unionByName(holidays.select("country", "d", "title", F.lit("holiday").alias("type"), F.lit(2).alias("r")))
+    return x.withColumn("n", F.row_number().over(Window.partitionBy("country", "d", F.lower("title")).orderBy("r"))).where("n = 1").drop("n", "r")
+
+
+def country_facts(rows: DataFrame, most: int = 12) -> DataFrame:
+    """country, fact, values: distinct values of knowledge-base rows(country, fact, value), sorted, the first ``most``."""
+    return rows.groupBy("country", "fact").agg(F.slice(F.array_sort(F.collect_set("value")), 1, most).alias("values"))

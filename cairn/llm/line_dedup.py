@@ -3,7 +3,8 @@
 A line's tokens are its distinct 5-word shingles (lower case; with fewer words, the whole word sequence). Tokens are put in one order, rare
 ones first, by counts of the whole corpus in 65,536 hash buckets. Two sets of n and m tokens with Jaccard t or more share one of the
 first n - ceil(t n) + 1 tokens of each (prefix filter), their sizes differ by a factor of at most 1 / t (length filter), and the tokens
-that can still follow a shared one bound the overlap (positional filter). Pairs left over are verified on the whole sets. A line
+that can still follow a shared one bound the overlap (positional filter). Pairs left over are verified on the whole sets: first each set against the earliest
+set of its buckets, then only those without a match against the rest, so many variants of one line cost a pair each. A line
 goes if an earlier line - lower doc_id, then lower line number - reaches the threshold; blank lines stay.
 """
 
@@ -47,40 +48,56 @@ def token_sets(docs: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no of the lines that go."""
-    sets = token_sets(docs).withColumn("name", F.xxhash64(F.array_sort("toks")))
+    spark = docs.sparkSession
+    sets = token_sets(docs)
+    n = F.size("toks")
+    named = saved(sets.select("doc_id", "line_no", F.xxhash64(F.array_sort("toks")).alias("name"), n.alias("n")), "lines")
     # the first line of each set; all others of the set match it
     at = F.struct("doc_id", "line_no")
-    firsts = saved(sets.groupBy("name").agg(F.min(at).alias("at"), F.count("*").alias("n")), "lines")
+    firsts = named.groupBy("name").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.count("*").alias("copies"))
     # tokens by rarity: the count of a token's bucket
-    counts = dict(token_sets(docs).select(F.explode("toks").alias("t")).groupBy((F.col("t").bitwiseAND(BUCKETS - 1)).cast("int").alias("b")).count().collect())
-    spark = docs.sparkSession
+    counts = dict(sets.select(F.explode("toks").alias("t")).groupBy((F.col("t").bitwiseAND(BUCKETS - 1)).cast("int").alias("b")).count().collect())
     rarity = spark.createDataFrame([([min(counts.get(b, 0), (1 << 20) - 1) for b in range(BUCKETS)],)], "c array<int>").scalar()
-    sets = sets.withColumn("rarity", rarity)
     place = lambda t: F.shiftleft(F.get("rarity", t.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 40).bitwiseOR(F.shiftrightunsigned(t, 24))
-    n = F.size("toks")
     prefix = n - F.ceil(n * T_NUM / T_DEN).cast("int") + 1
-    keys = sets.select("doc_id", "line_no", "name", n.alias("n"), F.posexplode(F.slice(F.array_sort(F.transform("toks", place)), F.lit(1), prefix)).alias("pos", "key"))
+    keys = sets.withColumn("rarity", rarity).select(F.xxhash64(F.array_sort("toks")).alias("name"), F.posexplode(F.slice(F.array_sort(F.transform("toks", place)), F.lit(1), prefix)).alias("pos", "key"))
     in_key = Window.partitionBy("key")
-    # one row per set and key; a key that one set has alone links nothing
-    keys = keys.groupBy("key", "name", "n", "pos").agg(F.min(at).alias("at"))
-    shared = saved(keys.withColumn("low", F.min("name").over(in_key)).withColumn("high", F.max("name").over(in_key)).where("low < high").drop("low", "high"), "keys")
-    a = shared.select("key", F.col("name").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("at").alias("at_a"))
-    b = shared.select("key", F.col("name").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("at").alias("at_b"))
+    # a key that one set has alone links nothing; of the others one row per set stays
+    shared = keys.withColumn("low", F.min("name").over(in_key)).withColumn("high", F.max("name").over(in_key)).where("low < high").select("key", "name", "pos").distinct()
+    shared = saved(shared.join(firsts.select("name", "at", "n"), "name"), "keys")
+    wanted = shared.select("name", "at").distinct().select("name", "at.doc_id", "at.line_no")
+    tokens = saved(docs.select("doc_id", "text").join(wanted, "doc_id").select("name", _tokens(F.get(F.split("text", "\n"), F.col("line_no"))).alias("toks")).dropDuplicates(["name"]), "tokens")
+
+    # each set against the earliest set of its buckets; those that match it are decided
+    least = F.min(F.struct("at", "name", "n", "pos")).over(in_key)
+    first = shared.withColumn("b", least).where("b.name <> name").select(*_side("a"), *(F.col(f"b.{c}").alias(f"{c}_b") for c in ("name", "at", "n", "pos")))
+    tried = saved(first.where(_possible()).select("name_a", "name_b").distinct(), "pairs")
+    near = saved(_matching(tried, tokens), "near")
+    # the others against all earlier sets of their buckets
+    left = shared.join(near, "name", "left_anti").select("key", *_side("a"))
+    more = left.join(shared.select("key", *_side("b")), "key").where(_possible()).select("name_a", "name_b").distinct().join(tried, ["name_a", "name_b"], "left_anti")
+    near = near.unionByName(saved(_matching(more, tokens), "near"))
+
+    gone = firsts.join(near.withColumn("near", F.lit(True)), "name", "left").where("copies > 1 OR near").select("name", "at", "near")
+    return named.join(gone, "name").where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("at"))).select("doc_id", "line_no").distinct()
+
+
+def _side(s: str) -> list[Column]:
+    return [F.col(c).alias(f"{c}_{s}") for c in ("name", "at", "n", "pos")]
+
+
+def _possible() -> Column:
+    """b is earlier, and sizes and positions leave room for the threshold: overlap >= t / (1 + t) * (n + m)."""
     need = F.ceil((F.col("n_a") + F.col("n_b")) * T_NUM / (T_NUM + T_DEN))
-    pairs = (
-        a.join(b, "key").where("at_b < at_a")
-        .where(F.greatest("n_a", "n_b") * T_NUM <= F.least("n_a", "n_b") * T_DEN)
-        .where(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) + F.least("pos_a", "pos_b") >= need)
-        .select("a", "b").distinct()
-    )
-    pairs = saved(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(firsts, "name").select("name", "at.doc_id", "at.line_no")
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("name", _tokens(F.get(F.split("text", "\n"), F.col("line_no"))).alias("toks"))
-    left, right = (texts.select(F.col("name").alias(s), F.col("toks").alias(f"toks_{s}")) for s in "ab")
+    rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) + F.least("pos_a", "pos_b")
+    return (F.col("at_b") < F.col("at_a")) & (F.greatest("n_a", "n_b") * T_NUM <= F.least("n_a", "n_b") * T_DEN) & (rest >= need)
+
+
+def _matching(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Names of sets a of the pairs whose whole sets reach the threshold."""
+    left, right = (tokens.select(F.col("name").alias(f"name_{s}"), F.col("toks").alias(f"toks_{s}")) for s in "ab")
     both = F.size(F.array_intersect("toks_a", "toks_b"))
-    matched = pairs.join(left, "a").join(right, "b").where(both * (T_DEN + T_NUM) >= (F.size("toks_a") + F.size("toks_b")) * T_NUM).select(F.col("a").alias("name")).distinct()
-    gone = firsts.join(matched.withColumn("near", F.lit(True)), "name", "left").where("n > 1 OR near")
-    return sets.select("doc_id", "line_no", "name").join(gone, "name").where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("at"))).select("doc_id", "line_no").distinct()
+    return pairs.join(left, "name_a").join(right, "name_b").where(both * (T_DEN + T_NUM) >= (F.size("toks_a") + F.size("toks_b")) * T_NUM).select(F.col("name_a").alias("name")).distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

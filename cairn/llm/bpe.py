@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from cairn.llm.common import Memo, byte_blocks, gather
 
 #: Chunks that a worker keeps; beyond, it starts afresh (encodings stay the same).
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 600_000
 
 
 def byte_letters() -> list[str]:
@@ -225,7 +225,7 @@ class ChunkEncoder:
     def texts(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, bytes]]:
         """(ids, decoded UTF-8) of each row; null is empty."""
         for a, b in byte_blocks(texts):
-            rows = [list(map(self.memo.__getitem__, (t or "").encode().split())) for t in texts.slice(a, b - a).to_pylist()]
+            rows = [list(map(self.memo.__getitem__, (t or b"").split())) for t in texts.slice(a, b - a).cast(pa.binary()).to_pylist()]
             if self.memo.new:
                 lists = self.encode_chunks(self.memo.new)
                 self.memo.new.clear()

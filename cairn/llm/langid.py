@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             pred, lead, best_bits, rejected = [], [], [], []
             for a, b in byte_blocks(batch.column(1)):
-                rows = [list(map(memo.__getitem__, (t or "").encode().split())) for t in batch.column(1).slice(a, b - a).to_pylist()]
+                rows = [list(map(memo.__getitem__, (t or b"").split())) for t in batch.column(1).slice(a, b - a).cast(pa.binary()).to_pylist()]
                 if memo.new:
                     lists = [words_of(c) for c in memo.new]
                     n = np.fromiter(map(len, lists), np.int64, len(lists))

@@ -28,6 +28,10 @@ from cairn.llm.shingles import mix, shingle_sets
 NUM, DEN = 75, 100
 #: 64-bit words of the parity sketch that candidates are held against before their texts are read.
 WORDS = 16
+#: The same for sets of LARGE elements and more.
+WIDE_WORDS, LARGE = 128, 900
+#: Documents whose ids a join broadcasts (16 bytes each); more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
 
 
 def parts_of(band: int) -> int:
@@ -70,29 +74,31 @@ def class_of(x: np.ndarray) -> int:
     return int(mix(mix(x).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(x)))[0].astype(np.int64)) if len(x) else 0
 
 
-def parities(x: np.ndarray) -> np.ndarray:
-    """A sketch of WORDS * 64 bits in which each element flips the bit that its hash names: the Hamming distance of two is at most their symmetric difference."""
-    bits = np.bincount((mix(x + np.uint64(1)) % np.uint64(WORDS * 64)).astype(np.int64), minlength=WORDS * 64) & 1
+def parities(x: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """A sketch of words * 64 bits in which each element flips the bit that its hash names: the Hamming distance of two is at most their symmetric difference."""
+    bits = np.bincount((mix(x + np.uint64(1)) % np.uint64(words * 64)).astype(np.int64), minlength=words * 64) & 1
     return np.packbits(bits.astype(np.uint8)).view(">i8").astype(np.int64)
 
 
 def may_link(a: str, b: str) -> Column:
-    """Whether sizes and parity sketches of two classes (columns n_shingles and bits with these suffixes) leave room for the threshold: D <= (1 - t) / (1 + t) * (n + m)."""
+    """Whether sizes and parity sketches of two classes (columns n_shingles, bits, wide with these suffixes) leave room for the threshold: D <= (1 - t) / (1 + t) * (n + m)."""
     n, m = F.col(f"n_shingles_{a}"), F.col(f"n_shingles_{b}")
     apart = sum(F.bit_count(F.get(f"bits_{a}", F.lit(i)).bitwiseXOR(F.get(f"bits_{b}", F.lit(i)))) for i in range(WORDS))
-    return (NUM * F.greatest(n, m) <= DEN * F.least(n, m)) & ((DEN + NUM) * apart <= (DEN - NUM) * (n + m))
+    wide = F.aggregate(F.zip_with(f"wide_{a}", f"wide_{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    room = (DEN - NUM) * (n + m)
+    return (NUM * F.greatest(n, m) <= DEN * F.least(n, m)) & ((DEN + NUM) * apart <= room) & F.coalesce((DEN + NUM) * wide <= room, F.lit(True))
 
 
 def document_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls, bits of every whole text."""
+    """doc_id, n_shingles, cls, bits of every whole text; wide for large sets only, whose bits would be full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(x), class_of(x), parities(x)) for x in shingle_sets(batch.column(1))]
-            columns = [batch.column(0), pa.array([n for n, *_ in sets], pa.int64()), pa.array([c for _, c, _ in sets], pa.int64()), pa.array([b for *_, b in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "cls", "bits"])
+            sets = [(len(x), class_of(x), parities(x), parities(x, WIDE_WORDS) if len(x) >= LARGE else None) for x in shingle_sets(batch.column(1))]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in sets], k) for i, k in enumerate(kinds))], ["doc_id", "n_shingles", "cls", "bits", "wide"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls long, bits array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls long, bits array<long>, wide array<long>")
 
 
 def class_keys(docs: DataFrame) -> DataFrame:
@@ -120,6 +126,8 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     """The pairs (a, b) of classes whose sets reach the threshold, by exact intersection; the texts of one document per class are read."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     one = classes.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        one = F.broadcast(one)
     # rows that share a doc_id can differ in text: the class is checked again below
     texts = docs.select("doc_id", "text").join(one, "doc_id")
 
@@ -145,6 +153,13 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     return both.sortWithinPartitions("b").mapInArrow(check, "a long, b long, ok boolean").where("ok").select("a", "b").distinct()
 
 
+def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs whose classes are in different components, with comp_a < comp_b."""
+    x, y = (comp.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}")) for s in "ab")
+    z = pairs.join(x, "a", "left").join(y, "b", "left").withColumn("c_a", F.coalesce("c_a", "a")).withColumn("c_b", F.coalesce("c_b", "b")).where("c_a <> c_b")
+    return z.select("a", "b", "keys", F.least("c_a", "c_b").alias("comp_a"), F.greatest("c_a", "c_b").alias("comp_b"))
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
@@ -159,7 +174,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     )
     # each class against the smallest class that it shares most keys with
     first = buckets.where("cls <> low").groupBy("cls", "low").count().groupBy("cls").agg(F.max_by("low", F.struct("count", "low")).alias("low"))
-    facts = classes.groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
+    facts = classes.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n_shingles", "bits", "wide")))
     fact = {k: facts.select(*(F.col(c).alias(f"{c}_{k}") for c in facts.columns)) for k in "ab"}
     tried = first.select(F.col("cls").alias("a"), F.col("low").alias("b")).join(fact["a"], F.col("a") == F.col("cls_a")).join(fact["b"], F.col("b") == F.col("cls_b")).where(may_link("a", "b"))
     tried = saved(tried.select("a", "b"), "pairs")
@@ -169,11 +184,17 @@ def near_components(docs: DataFrame) -> DataFrame:
     named = buckets.join(comp, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
     mixed = saved(named.withColumn("lo", F.min("comp").over(in_key)).withColumn("hi", F.max("comp").over(in_key)).where("lo < hi").select("key", "cls", "comp"), "mixed")
     known = mixed.join(facts, "cls")
-    a, b = (known.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "comp", "n_shingles", "bits"))) for k in "ab")
+    a, b = (known.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "comp", "n_shingles", "bits", "wide"))) for k in "ab")
     more = a.join(b, "key").where((F.col("comp_a") < F.col("comp_b")) & may_link("a", "b"))
-    more = more.select(F.greatest("cls_a", "cls_b").alias("a"), F.least("cls_a", "cls_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = saved(verified(saved(more, "pairs"), docs, classes), "links")
-    comp = saved(components(links.unionByName(more)), "components")
+    more = more.groupBy(F.greatest("cls_a", "cls_b").alias("a"), F.least("cls_a", "cls_b").alias("b")).agg(F.count("*").alias("keys")).join(tried, ["a", "b"], "left_anti")
+    more = saved(more, "pairs")
+    # one pair for each two components first, then what still lies between components
+    between = Window.partitionBy("comp_a", "comp_b").orderBy(F.desc("keys"), "a", "b")
+    best = saved(apart(more, comp).withColumn("r", F.row_number().over(between)).where("r = 1").select("a", "b"), "pairs")
+    links = links.unionByName(saved(verified(best, docs, classes), "links"))
+    comp = saved(components(links), "components")
+    rest = saved(apart(more.join(best, ["a", "b"], "left_anti"), comp).select("a", "b"), "pairs")
+    comp = saved(components(links.unionByName(saved(verified(rest, docs, classes), "links"))), "components")
     # a name per class, then per document; both tables have a row per class at most
     lows = classes.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     lows = lows.join(comp, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("component", "cls").alias("comp"))

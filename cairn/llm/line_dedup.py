@@ -51,7 +51,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sets = token_sets(docs)
     n = F.size("toks")
-    named = saved(sets.select("doc_id", "line_no", F.xxhash64(F.array_sort("toks")).alias("name"), n.alias("n")), "lines")
+    named = saved(sets.select("doc_id", "line_no", F.xxhash64(F.sort_array("toks")).alias("name"), n.alias("n")), "lines")
     # the first line of each set; all others of the set match it
     at = F.struct("doc_id", "line_no")
     firsts = named.groupBy("name").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.count("*").alias("copies"))
@@ -60,7 +60,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     rarity = spark.createDataFrame([([min(counts.get(b, 0), (1 << 20) - 1) for b in range(BUCKETS)],)], "c array<int>").scalar()
     place = lambda t: F.shiftleft(F.get("rarity", t.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 40).bitwiseOR(F.shiftrightunsigned(t, 24))
     prefix = n - F.ceil(n * T_NUM / T_DEN).cast("int") + 1
-    keys = sets.withColumn("rarity", rarity).select(F.xxhash64(F.array_sort("toks")).alias("name"), F.posexplode(F.slice(F.array_sort(F.transform("toks", place)), F.lit(1), prefix)).alias("pos", "key"))
+    keys = sets.withColumn("rarity", rarity).select(F.xxhash64(F.sort_array("toks")).alias("name"), F.posexplode(F.slice(F.sort_array(F.transform("toks", place)), F.lit(1), prefix)).alias("pos", "key"))
     in_key = Window.partitionBy("key")
     # a key that one set has alone links nothing; of the others one row per set stays
     shared = keys.withColumn("low", F.min("name").over(in_key)).withColumn("high", F.max("name").over(in_key)).where("low < high").select("key", "name", "pos").distinct()

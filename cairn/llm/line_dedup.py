@@ -31,9 +31,13 @@ def _shingles(h: Column) -> Column:
     return F.when(n < K, F.array(F.xxhash64(h))).otherwise(F.array_distinct(F.transform(F.slice(h, F.lit(1), F.greatest(n - K + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, K))))))
 
 
-def _tokens(line: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(F.lower(line), r"[\x09-\x0D ]+", " ")), " ")
-    return _bound(F.transform(words, lambda w: F.xxhash64(w)), _shingles)
+def _plain(line: Column) -> Column:
+    """Lower case, one space between words."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x09-\x0D ]+", " "))
+
+
+def _tokens(plain: Column) -> Column:
+    return _bound(F.transform(F.split(plain, " "), lambda w: F.xxhash64(w)), _shingles)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -42,8 +46,9 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def token_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, toks."""
-    return lines(docs).select("doc_id", "line_no", _tokens(F.col("line")).alias("toks"))
+    """doc_id, line_no, name, toks; lines of the same words have one name."""
+    x = lines(docs).select("doc_id", "line_no", _plain(F.col("line")).alias("plain"))
+    return x.select("doc_id", "line_no", F.xxhash64("plain").alias("name"), _tokens(F.col("plain")).alias("toks"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -51,22 +56,22 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sets = token_sets(docs)
     n = F.size("toks")
-    named = saved(sets.select("doc_id", "line_no", F.xxhash64(F.sort_array("toks")).alias("name"), n.alias("n")), "lines")
-    # the first line of each set; all others of the set match it
+    named = saved(lines(docs).select("doc_id", "line_no", F.xxhash64(_plain(F.col("line"))).alias("name")), "lines")
+    # the first line of each name; all others of the name match it
     at = F.struct("doc_id", "line_no")
-    firsts = named.groupBy("name").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    firsts = named.groupBy("name").agg(F.min(at).alias("at"), F.count("*").alias("copies"))
     # tokens by rarity: the count of a token's bucket
     counts = dict(sets.select(F.explode("toks").alias("t")).groupBy((F.col("t").bitwiseAND(BUCKETS - 1)).cast("int").alias("b")).count().collect())
     rarity = spark.createDataFrame([([min(counts.get(b, 0), (1 << 20) - 1) for b in range(BUCKETS)],)], "c array<int>").scalar()
     place = lambda t: F.shiftleft(F.get("rarity", t.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 40).bitwiseOR(F.shiftrightunsigned(t, 24))
     prefix = n - F.ceil(n * T_NUM / T_DEN).cast("int") + 1
-    keys = sets.withColumn("rarity", rarity).select(F.xxhash64(F.sort_array("toks")).alias("name"), F.posexplode(F.slice(F.sort_array(F.transform("toks", place)), F.lit(1), prefix)).alias("pos", "key"))
+    keys = sets.withColumn("rarity", rarity).select("name", n.alias("n"), F.posexplode(F.slice(F.sort_array(F.transform("toks", place)), F.lit(1), prefix)).alias("pos", "key"))
     in_key = Window.partitionBy("key")
     # a key that one set has alone links nothing; of the others one row per set stays
-    shared = keys.withColumn("low", F.min("name").over(in_key)).withColumn("high", F.max("name").over(in_key)).where("low < high").select("key", "name", "pos").distinct()
-    shared = saved(shared.join(firsts.select("name", "at", "n"), "name"), "keys")
+    shared = keys.withColumn("low", F.min("name").over(in_key)).withColumn("high", F.max("name").over(in_key)).where("low < high").select("key", "name", "n", "pos").distinct()
+    shared = saved(shared.join(firsts.select("name", "at"), "name"), "keys")
     wanted = shared.select("name", "at").distinct().select("name", "at.doc_id", "at.line_no")
-    tokens = saved(docs.select("doc_id", "text").join(wanted, "doc_id").select("name", _tokens(F.get(F.split("text", "\n"), F.col("line_no"))).alias("toks")).dropDuplicates(["name"]), "tokens")
+    tokens = saved(docs.select("doc_id", "text").join(wanted, "doc_id").select("name", _tokens(_plain(F.get(F.split("text", "\n"), F.col("line_no")))).alias("toks")).dropDuplicates(["name"]), "tokens")
 
     # each set against the earliest set of its buckets; those that match it are decided
     least = F.min(F.struct("at", "name", "n", "pos")).over(in_key)
@@ -78,7 +83,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     more = left.join(shared.select("key", *_side("b")), "key").where(_possible()).select("name_a", "name_b").distinct().join(tried, ["name_a", "name_b"], "left_anti")
     near = near.unionByName(saved(_matching(more, tokens), "near"))
 
-    gone = firsts.join(near.withColumn("near", F.lit(True)), "name", "left").where("copies > 1 OR near").select("name", "at", "near")
+    gone = firsts.join(near.distinct().withColumn("near", F.lit(True)), "name", "left").where("copies > 1 OR near").select("name", "at", "near")
     return named.join(gone, "name").where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("at"))).select("doc_id", "line_no").distinct()
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import random
 import re
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -252,7 +251,3 @@ def test_sketch_size_is_safe():
     for n in range(1, 3000, 7):
         k, missing = decontam.sketch_size(n), n - int(np.ceil(0.75 * n))
         assert k <= n and (k == n or k - missing >= 32)
-
-
-def test_nfc_is_kept():
-    assert unicodedata.normalize("NFC", "é") == "é"

@@ -6,7 +6,7 @@ most the size D of the symmetric difference. At least P - D parts are equal. Ord
 first, then by hash), two such sets share one of their first D + 1 parts; these are the join keys. At Jaccard t, D is at most (1 - t) / t of the smaller set. P depends on the size band of the smaller set;
 a set joins as the smaller one in its own band and as the larger one in the band below if it can reach it.
 
-Equal sets are one class. Inside a bucket of equal keys, each class is first compared with the bucket's smallest class only; the pairs that
+Equal sets are one class. Inside a bucket of equal keys, each class is first compared with the bucket's smallest class only, if coarse sketches leave room; the pairs that
 are left are those of one bucket whose classes are still in different components, so large groups of near copies cost a pair per
 member, and no link between components is lost. All candidates are verified on the exact shingle sets.
 """
@@ -172,8 +172,8 @@ def near_components(docs: DataFrame) -> DataFrame:
     buckets = saved(
         class_keys(docs).withColumn("low", F.min("cls").over(in_key)).withColumn("high", F.max("cls").over(in_key)).where("low < high").groupBy("key", "cls").agg(F.min("low").alias("low")), "buckets"
     )
-    # each class against the smallest class that it shares most keys with
-    first = buckets.where("cls <> low").groupBy("cls", "low").count().groupBy("cls").agg(F.max_by("low", F.struct("count", "low")).alias("low"))
+    # each class against the smallest class of each of its buckets, if their sketches leave room: pairs in proportion to bucket rows
+    first = buckets.where("cls <> low").select("cls", "low").distinct()
     facts = classes.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n_shingles", "bits", "wide")))
     fact = {k: facts.select(*(F.col(c).alias(f"{c}_{k}") for c in facts.columns)) for k in "ab"}
     tried = first.select(F.col("cls").alias("a"), F.col("low").alias("b")).join(fact["a"], F.col("a") == F.col("cls_a")).join(fact["b"], F.col("b") == F.col("cls_b")).where(may_link("a", "b"))

@@ -236,7 +236,7 @@ def crisis_links(spark, d):
 
 @query()
 def crises(spark, d):
-    return merging.crises(tables.incidents(spark, d).where("severity >= 3"), NOW)
+    return merging.crises(tables.incidents(spark, d), NOW)
 
 
 @query(WITH_MIXED + f""", f AS (SELECT *, CASE category WHEN 'attack' THEN 'violence' ELSE category END fam, CASE category WHEN 'attack' THEN 20 WHEN 'unrest' THEN 15 WHEN 'flood' THEN 150 ELSE 100 END r, CASE category WHEN 'flood' THEN 96 WHEN 'earthquake' THEN 3 ELSE 24 END h FROM incident WHERE category <> 'cyber')
@@ -550,4 +550,4 @@ def judged_titles(spark, d):
 
 @query()
 def value_alert_sentences(spark, d):
-    return press.crisis_sentence(merging.crises(tables.incidents(spark, d).where("severity >= 3"), NOW))
+    return press.crisis_sentence(merging.crises(tables.incidents(spark, d), NOW))

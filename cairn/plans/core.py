@@ -538,14 +538,18 @@ def context_items(spark, d):
 
 @query()
 def denials(spark, d):
-    e = tables.headlines(spark, d).withColumn("date", F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 600))
-    c = tables.sql(spark, d, "SELECT xxhash64(conv_id, turn) AS id, array_join(slice(split(text, ' '), 1, 14), ' ') AS title, timestamp_seconds(1704067200 + pmod(xxhash64(conv_id), 2592000)) AS date FROM conversations WHERE role = 'assistant'")
-    return merging.denials(e, c)
+    """Ids name document or conversation, line and piece, so that all words of both sides take part."""
+    at = lambda *keys: F.struct(*keys, "line_no", "piece")
+    e = tables.pieces(spark, d, "documents", ("doc_id",)).select(at("doc_id").alias("id"), "title", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 600).alias("date"))
+    c = tables.pieces(spark, d, "conversations", ("conv_id", "turn"), "role = 'assistant'").select(at("conv_id", "turn").alias("id"), "title", F.expr("timestamp_seconds(1704067200 + pmod(xxhash64(conv_id), 2592000))").alias("date"))
+    x = merging.denials(e, c)
+    return x.select("event.*", "denial.conv_id", "denial.turn", F.col("denial.line_no").alias("said_line"), F.col("denial.piece").alias("said_piece"))
 
 
 @query()
 def judged_titles(spark, d):
-    return press.judged_titles(tables.headlines(spark, d))
+    t = tables.pieces(spark, d, "documents", ("doc_id",)).withColumn("id", F.struct("doc_id", "line_no", "piece"))
+    return press.judged_titles(t).select("id.*", "category", "reason", "context", "toll", "severity", "event")
 
 
 @query()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The fixed clock of indices over these tables.
 NOW = "2024-01-31 00:00:00"
@@ -83,5 +84,13 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, HEADLINE_SPARK)
 
 
+def pieces(spark: SparkSession, sf_dir: str, name: str, keys: tuple[str, ...], where: str = "true", words: int = 14) -> DataFrame:
+    """keys, line_no, piece, title: the whole text of a table as titles, a line cut into runs of ``words`` words, so that rules on a title's first words reach all."""
+    t = spark.read.parquet(f"{sf_dir}/{name}.parquet").where(where).select(*keys, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    w = F.filter(F.split("line", r"[ \t\r]+"), lambda x: x != "")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / words).cast("int")), lambda i: F.array_join(F.slice("w", i * words + 1, words), " "))
+    return t.withColumn("w", w).where("size(w) > 0").select(*keys, "line_no", F.posexplode(runs).alias("piece", "title"))
+
+
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, CALENDAR)

@@ -98,7 +98,7 @@ def coded_events(rows: DataFrame, advisories: DataFrame, drop_codes: tuple[str,
 def dateline_noise(rows: DataFrame, capitals: DataFrame, km: float = 30) -> DataFrame:
     """Rows without violent ones that only sit where a foreign report was filed: the place is an actor, the country is none, or a foreign actor near the capital."""
     actor = F.array_contains("actors", F.upper("place")) | ((F.size("actor_countries") > 0) & ~F.array_contains("actor_countries", F.col("country")))
-    x = rows.join(F.broadcast(capitals.limit(400)), "country", "left")
+    x = rows.join(capitals, "country", "left")
     near = (F.size("actor_countries") > 0) & ~F.array_contains("actor_countries", F.col("country")) & (haversine_km("lat", "lon", "cap_lat", "cap_lon") < km)
     return x.where(~(F.col("violent") & actor) & ~F.coalesce(near, F.lit(False))).drop("cap_lat", "cap_lon")
 

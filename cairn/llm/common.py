@@ -17,11 +17,13 @@ BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (tests, local runs) a new temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else (local runs only) a new temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-cairn-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -32,7 +34,24 @@ def saved(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairn-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cairn_path = path
+    return out
+
+
+def dropped(*steps: DataFrame) -> None:
+    """Deletes what ``saved`` wrote for these steps; nothing that is still to be computed may read them."""
+    for step in steps:
+        path = step.sparkSession._jvm.org.apache.hadoop.fs.Path(step._cairn_path)
+        path.getFileSystem(step.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

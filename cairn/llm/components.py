@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import saved
+from cairn.llm.common import dropped, saved
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     edges = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     for _ in range(max_rounds):
-        edges = saved(_star(_star(edges, True), False), "edges")
+        before, edges = edges, saved(_star(_star(edges, True), False), "edges")
+        dropped(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             break

@@ -1,11 +1,15 @@
 """Exact set-similarity join of text lines, in DataFrame functions only.
 
 A line's tokens are its distinct 5-word shingles (lower case; with fewer words, the whole word sequence). Tokens are put in one order, rare
-ones first, by counts of the whole corpus in 65,536 hash buckets. Two sets of n and m tokens with Jaccard t or more share one of the
-first n - ceil(t n) + 1 tokens of each (prefix filter), their sizes differ by a factor of at most 1 / t (length filter), and the tokens
-that can still follow a shared one bound the overlap (positional filter). Pairs left over are verified on the whole sets: first each set against the earliest
-set of its buckets, then only those without a match against the rest, so many variants of one line cost a pair each. A line
-goes if an earlier line - lower doc_id, then lower line number - reaches the threshold; blank lines stay.
+ones first: the count of their bucket among 65,536, over the whole corpus, gives the rank. Two sets of n and m tokens with Jaccard t or
+more share one of the first n - ceil(t n) + 1 tokens of each (prefix filter), their sizes differ by a factor of at most 1 / t (length
+filter), and the tokens that can still follow a shared one bound the overlap (positional filter). Pairs left over are verified on the
+whole sets: first each set against the earliest set of its buckets, then only those without a match against the rest, so many variants
+of one line cost a pair each. A line goes if an earlier line - lower doc_id, then lower line number - reaches the threshold; blank lines
+stay.
+
+Tokens are made once, per line, and written. Lines that repeat more than one line in HOT are few (at most HOT names); only their first one
+makes join keys, so no bucket holds a large share of the corpus.
 """
 
 from __future__ import annotations
@@ -13,11 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import saved
+from cairn.llm.common import dropped, fresh, saved
 
 K = 5
 T_NUM, T_DEN = 3, 4
 BUCKETS = 1 << 16
+#: A line is hot if more than one in so many lines are copies of it.
+HOT = 10_000
+#: Line ids that a join broadcasts (8 bytes each); more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
 
 
 def _bound(value: Column, use) -> Column:
@@ -28,67 +36,73 @@ def _bound(value: Column, use) -> Column:
 def _shingles(h: Column) -> Column:
     """Hashes of K neighbouring word hashes, or of the whole sequence if it is shorter."""
     n = F.size(h)
-    return F.when(n < K, F.array(F.xxhash64(h))).otherwise(F.array_distinct(F.transform(F.slice(h, F.lit(1), F.greatest(n - K + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, K))))))
+    return F.when(n < K, F.array(F.xxhash64(h))).otherwise(F.transform(F.slice(h, F.lit(1), F.greatest(n - K + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, K)))))
 
 
 def _plain(line: Column) -> Column:
-    """Lower case, one space between words."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x09-\x0D ]+", " "))
+    """One space between words; most lines have nothing to replace, which a search for other white space tells faster."""
+    odd = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c")
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[\x09-\x0D ]+", " ")).otherwise(line))
 
 
 def _tokens(plain: Column) -> Column:
-    return _bound(F.transform(F.split(plain, " "), lambda w: F.xxhash64(w)), _shingles)
-
-
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line of every line that isn't blank."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"[^\x09-\x0D ]"))
+    return F.array_distinct(_bound(F.transform(F.split(plain, " "), lambda w: F.xxhash64(w)), _shingles))
 
 
 def token_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, name, toks; lines of the same words have one name."""
-    x = lines(docs).select("doc_id", "line_no", _plain(F.col("line")).alias("plain"))
-    return x.select("doc_id", "line_no", F.xxhash64("plain").alias("name"), _tokens(F.col("plain")).alias("toks"))
+    """doc_id, text_key, line_no, plain, name, toks of every line; name and check are a 128-bit name of a line's words.
+
+    Outer explodes: of the others Spark infers filters that compute the exploded arrays again.
+    """
+    x = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode_outer(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
+    x = x.select("doc_id", "text_key", "line_no", _plain(F.col("line")).alias("plain"))
+    return x.select("doc_id", "text_key", "line_no", (F.length("plain") > 0).alias("full"), F.xxhash64("plain").alias("name"), F.xxhash64(F.lit(K), "plain").alias("check"), _tokens(F.col("plain")).alias("toks"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no of the lines that go."""
+    """doc_id, text_key, line_no of the lines that go. Rows of one doc_id are told apart by their text."""
     spark = docs.sparkSession
-    sets = token_sets(docs)
-    n = F.size("toks")
-    named = saved(lines(docs).select("doc_id", "line_no", F.xxhash64(_plain(F.col("line"))).alias("name")), "lines")
+    sets = saved(token_sets(docs).withColumn("n", F.size("toks")).withColumn("id", F.monotonically_increasing_id()), "tokens")
+    lines = sets.where("full")
     # the first line of each name; all others of the name match it
-    at = F.struct("doc_id", "line_no")
-    firsts = named.groupBy("name").agg(F.min(at).alias("at"), F.count("*").alias("copies"))
-    # tokens by rarity: the count of a token's bucket
-    counts = dict(sets.select(F.explode("toks").alias("t")).groupBy((F.col("t").bitwiseAND(BUCKETS - 1)).cast("int").alias("b")).count().collect())
-    rarity = spark.createDataFrame([([min(counts.get(b, 0), (1 << 20) - 1) for b in range(BUCKETS)],)], "c array<int>").scalar()
-    place = lambda t: F.shiftleft(F.get("rarity", t.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 40).bitwiseOR(F.shiftrightunsigned(t, 24))
-    prefix = n - F.ceil(n * T_NUM / T_DEN).cast("int") + 1
-    keys = sets.withColumn("rarity", rarity).select("name", n.alias("n"), F.posexplode(F.slice(F.sort_array(F.transform("toks", place)), F.lit(1), prefix)).alias("pos", "key"))
+    at = F.struct("doc_id", "text_key", "line_no")
+    firsts = saved(lines.groupBy("name", "check").agg(F.min(F.struct(at.alias("at"), "id")).alias("f"), F.count("*").alias("copies")).select("name", "check", "f.at", "f.id", "copies"), "firsts")
+    total = firsts.agg(F.sum("copies")).first()[0] or 0
+    # less than HOT names
+    hot = firsts.where(F.col("copies") * HOT > total).where("copies > 1").select(F.col("name").alias("hot"), F.col("check").alias("hot_check"), F.col("id").alias("first_id"))
+    # tokens by rarity: the rank of the count of a token's bucket
+    bucket = F.col("t").bitwiseAND(BUCKETS - 1).cast("int")
+    counts = dict(lines.select(F.explode_outer("toks").alias("t")).groupBy(bucket.alias("b")).count().collect())
+    rank = {b: i for i, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b)))}
+    rarity = spark.createDataFrame([([rank[b] for b in range(BUCKETS)],)], "c array<int>").scalar()
+    place = lambda t: F.shiftleft(F.get("rarity", t.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 47).bitwiseOR(F.shiftrightunsigned(t, 17))
+    cool = lines.join(F.broadcast(hot), (F.col("name") == F.col("hot")) & (F.col("check") == F.col("hot_check")), "left").where("first_id IS NULL OR first_id = id")
+    placed = cool.withColumn("rarity", rarity).select("name", "n", F.transform("toks", place).alias("places"))
+    prefix = F.slice(F.sort_array("places"), F.lit(1), F.col("n") - F.ceil(F.col("n") * T_NUM / T_DEN).cast("int") + 1)
+    keys = placed.select("name", "n", prefix.alias("prefix")).select("name", "n", F.posexplode_outer("prefix").alias("pos", "key"))
     in_key = Window.partitionBy("key")
     # a key that one set has alone links nothing; of the others one row per set stays
     shared = keys.withColumn("low", F.min("name").over(in_key)).withColumn("high", F.max("name").over(in_key)).where("low < high").select("key", "name", "n", "pos").distinct()
-    shared = saved(shared.join(firsts.select("name", "at"), "name"), "keys")
-    wanted = shared.select("name", "at").distinct().select("name", "at.doc_id", "at.line_no")
-    tokens = saved(docs.select("doc_id", "text").join(wanted, "doc_id").select("name", _tokens(_plain(F.get(F.split("text", "\n"), F.col("line_no")))).alias("toks")).dropDuplicates(["name"]), "tokens")
+    shared = saved(shared.join(firsts.select("name", "id", "at"), "name").select("key", "id", "at", "n", "pos"), "keys")
+    named = saved(lines.select("doc_id", "text_key", "line_no", "name", "check"), "lines")
 
     # each set against the earliest set of its buckets; those that match it are decided
-    least = F.min(F.struct("at", "name", "n", "pos")).over(in_key)
-    first = shared.withColumn("b", least).where("b.name <> name").select(*_side("a"), *(F.col(f"b.{c}").alias(f"{c}_b") for c in ("name", "at", "n", "pos")))
-    tried = saved(first.where(_possible()).select("name_a", "name_b").distinct(), "pairs")
-    near = saved(_matching(tried, tokens), "near")
+    least = F.min(F.struct("at", "id", "n", "pos")).over(in_key)
+    first = shared.withColumn("b", least).where("b.id <> id").select(*_side("a"), *(F.col(f"b.{c}").alias(f"{c}_b") for c in ("id", "at", "n", "pos")))
+    tried = saved(first.where(_possible()).select("id_a", "id_b").distinct(), "pairs")
+    near = saved(_matching(tried, lines), "near")
     # the others against all earlier sets of their buckets
-    left = shared.join(near, "name", "left_anti").select("key", *_side("a"))
-    more = left.join(shared.select("key", *_side("b")), "key").where(_possible()).select("name_a", "name_b").distinct().join(tried, ["name_a", "name_b"], "left_anti")
-    near = near.unionByName(saved(_matching(more, tokens), "near"))
+    left = shared.join(near, "id", "left_anti").select("key", *_side("a"))
+    more = left.join(shared.select("key", *_side("b")), "key").where(_possible()).select("id_a", "id_b").distinct().join(tried, ["id_a", "id_b"], "left_anti")
+    near = near.unionByName(saved(_matching(saved(more, "pairs"), lines), "near"))
+    dropped(sets, shared, tried)
 
-    gone = firsts.join(near.distinct().withColumn("near", F.lit(True)), "name", "left").where("copies > 1 OR near").select("name", "at", "near")
-    return named.join(gone, "name").where(F.col("near") | (F.struct("doc_id", "line_no") != F.col("at"))).select("doc_id", "line_no").distinct()
+    gone = firsts.join(near.distinct().withColumn("near", F.lit(True)), "id", "left").where("copies > 1 OR near").select("name", "check", "at", "near")
+    return named.join(gone, ["name", "check"]).where(F.col("near") | (at != F.col("at"))).select("doc_id", "text_key", "line_no").distinct()
 
 
 def _side(s: str) -> list[Column]:
-    return [F.col(c).alias(f"{c}_{s}") for c in ("name", "at", "n", "pos")]
+    return [F.col(c).alias(f"{c}_{s}") for c in ("id", "at", "n", "pos")]
 
 
 def _possible() -> Column:
@@ -98,21 +112,30 @@ def _possible() -> Column:
     return (F.col("at_b") < F.col("at_a")) & (F.greatest("n_a", "n_b") * T_NUM <= F.least("n_a", "n_b") * T_DEN) & (rest >= need)
 
 
-def _matching(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Names of sets a of the pairs whose whole sets reach the threshold."""
-    left, right = (tokens.select(F.col("name").alias(f"name_{s}"), F.col("toks").alias(f"toks_{s}")) for s in "ab")
+def _matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Ids of sets a of the pairs whose whole sets reach the threshold; sets of no pair are not shuffled while the ids fit a broadcast."""
+    wanted = pairs.select(F.explode_outer(F.array("id_a", "id_b")).alias("id")).distinct()
+    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    tokens = sets.select("id", "toks").join(wanted, "id", "left_semi")
+    left, right = (tokens.select(F.col("id").alias(f"id_{s}"), F.col("toks").alias(f"toks_{s}")) for s in "ab")
     both = F.size(F.array_intersect("toks_a", "toks_b"))
-    return pairs.join(left, "name_a").join(right, "name_b").where(both * (T_DEN + T_NUM) >= (F.size("toks_a") + F.size("toks_b")) * T_NUM).select(F.col("name_a").alias("name")).distinct()
+    return pairs.join(left, "id_a").join(right, "id_b").where(both * (T_DEN + T_NUM) >= (F.size("toks_a") + F.size("toks_b")) * T_NUM).select(F.col("id_a").alias("id")).distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` without the removed lines; n_lines and n_removed are added.
+    """``docs`` without the removed lines; n_lines and n_removed are added (columns of these names are replaced).
 
-    Null texts stay null and have no lines; blank lines stay; a text all of whose lines go is empty. Rows that repeat a doc_id
-    hold the same lines and lose the same ones. Other columns pass through; an empty table gives no rows.
+    Null texts stay null and have no lines; blank lines stay; a text all of whose lines go is empty. Rows equal in doc_id and text lose
+    the same lines; rows of one doc_id, or of none, with different texts are different documents, ordered by a hash of the text. Other
+    columns pass through under any name; an empty table gives no rows.
     """
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
+    id_, key, found = (fresh(docs, c) for c in ("gone_id", "gone_key", "gone_lines"))
+    gone = removed_lines(docs).groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).agg(F.collect_set("line_no").alias(found))
     parts = F.split("text", "\n")
-    kept = F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
-    out = docs.join(gone, "doc_id", "left").withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0))).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)))
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns, "n_lines", "n_removed")
+    kept = F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains(found, i), x)), lambda x: x.isNotNull())
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left")
+    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    others = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    counts = [F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"), F.coalesce(F.size(found), F.lit(0)).alias("n_removed")]
+    return out.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in others), *counts)

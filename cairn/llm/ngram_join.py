@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import saved
+from cairn.llm.common import dropped, fresh, saved
 from cairn.llm.components import components
 from cairn.llm.shingles import mix, shingle_sets
 
@@ -32,6 +32,8 @@ WORDS = 16
 WIDE_WORDS, LARGE = 128, 900
 #: Documents whose ids a join broadcasts (16 bytes each); more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
+#: Smallest keys of a class that tell at which shared key a pair comes out.
+HEADS = 8
 
 
 def parts_of(band: int) -> int:
@@ -69,6 +71,11 @@ def keys_of(x: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+def text_key() -> Column:
+    """Tells rows of one doc_id, or of none, with different texts apart."""
+    return F.xxhash64("text")
+
+
 def class_of(x: np.ndarray) -> int:
     """A 64-bit name of a set: equal sets have one name."""
     return int(mix(mix(x).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(x)))[0].astype(np.int64)) if len(x) else 0
@@ -90,15 +97,15 @@ def may_link(a: str, b: str) -> Column:
 
 
 def document_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls, bits of every whole text; wide for large sets only, whose bits would be full."""
+    """doc_id, text_key, n_shingles, cls, bits of every whole text; wide for large sets only, whose bits would be full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(x), class_of(x), parities(x), parities(x, WIDE_WORDS) if len(x) >= LARGE else None) for x in shingle_sets(batch.column(1))]
+            sets = [(len(x), class_of(x), parities(x), parities(x, WIDE_WORDS) if len(x) >= LARGE else None) for x in shingle_sets(batch.column(2))]
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in sets], k) for i, k in enumerate(kinds))], ["doc_id", "n_shingles", "cls", "bits", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in sets], k) for i, k in enumerate(kinds))], ["doc_id", "text_key", "n_shingles", "cls", "bits", "wide"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls long, bits array<long>, wide array<long>")
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, cls long, bits array<long>, wide array<long>")
 
 
 def class_keys(docs: DataFrame) -> DataFrame:
@@ -123,13 +130,14 @@ def class_keys(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold, by exact intersection; the texts of one document per class are read."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    one = classes.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    """The pairs (a, b) of classes whose sets reach the threshold, by exact intersection; one text per class is read."""
+    wanted = pairs.select(F.explode_outer(F.array("a", "b")).alias("cls")).distinct()
+    one = classes.join(wanted, "cls").groupBy("cls").agg(F.min(F.struct(_id("doc_id").alias("row_id"), "text_key")).alias("of")).select("cls", "of.*")
     if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         one = F.broadcast(one)
-    # rows that share a doc_id can differ in text: the class is checked again below
-    texts = docs.select("doc_id", "text").join(one, "doc_id")
+    found = docs.select(_id("doc_id").alias("row_id"), text_key().alias("text_key"), "text").join(one, ["row_id", "text_key"])
+    # rows that repeat id and text are one
+    texts = found.groupBy("cls").agg(F.first("text").alias("text"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -140,9 +148,6 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
             for i, x in enumerate(shingle_sets(batch.column(2))):
                 if b[i] != last:
                     last, held = b[i], next(shingle_sets(text_b.slice(i, 1)))
-                if class_of(x) != a[i] or class_of(held) != b[i]:
-                    ok.append(False)
-                    continue
                 both = len(np.intersect1d(x, held, assume_unique=True))
                 ok.append(DEN * both >= NUM * (len(x) + len(held) - both))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
@@ -153,6 +158,11 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     return both.sortWithinPartitions("b").mapInArrow(check, "a long, b long, ok boolean").where("ok").select("a", "b").distinct()
 
 
+def _id(column: str) -> Column:
+    """doc_id as a join key: rows without one have the smallest long."""
+    return F.coalesce(F.col(column), F.lit(-(1 << 63)).cast("long"))
+
+
 def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs whose classes are in different components, with comp_a < comp_b."""
     x, y = (comp.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}")) for s in "ab")
@@ -160,10 +170,31 @@ def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return z.select("a", "b", "keys", F.least("c_a", "c_b").alias("comp_a"), F.greatest("c_a", "c_b").alias("comp_b"))
 
 
+def pairs_between(mixed: DataFrame, facts: DataFrame) -> DataFrame:
+    """(a, b, keys): pairs of classes of different components that share a key and may link, from ``mixed(key, cls, comp)``.
+
+    Near copies share most of their keys, so a pair comes out once, at the smallest key that both classes have among their HEADS smallest
+    ones; only pairs without such a key come out at each key that they share. Members of one component are never put together.
+    """
+    heads = mixed.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("key")), 1, HEADS).alias("head"))
+    known = mixed.join(facts.join(heads, "cls"), "cls")
+    a, b = (known.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "comp", "n_shingles", "bits", "wide", "head"))) for k in "ab")
+    common = F.array_intersect("head_a", "head_b")
+    once = (F.size(common) == 0) | (F.array_min(common) == F.col("key"))
+    more = a.join(b, "key").where((F.col("comp_a") < F.col("comp_b")) & (NUM * F.greatest("n_shingles_a", "n_shingles_b") <= DEN * F.least("n_shingles_a", "n_shingles_b")) & once & may_link("a", "b"))
+    return more.groupBy(F.greatest("cls_a", "cls_b").alias("a"), F.least("cls_a", "cls_b").alias("b")).agg(F.count("*").alias("keys"))
+
+
 def near_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``.
+    """doc_id, n_shingles, component_id for every row of ``docs``; see ``components_of_rows``."""
+    return components_of_rows(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def components_of_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles, comp, component_id for every row of ``docs``.
 
-    Null, empty and blank texts have no shingles and are their own component. Rows with equal texts are one class whatever their number.
+    Null, empty and blank texts have no shingles and are their own component. Rows with equal texts are one class whatever their number;
+    rows of one doc_id, or of none, may differ in text. component_id is null where no row of the component has an id.
     Other columns are not read; an empty table gives no rows.
     """
     classes = saved(document_classes(docs), "classes")
@@ -183,26 +214,32 @@ def near_components(docs: DataFrame) -> DataFrame:
     # pairs of one bucket whose classes are in different components
     named = buckets.join(comp, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
     mixed = saved(named.withColumn("lo", F.min("comp").over(in_key)).withColumn("hi", F.max("comp").over(in_key)).where("lo < hi").select("key", "cls", "comp"), "mixed")
-    known = mixed.join(facts, "cls")
-    a, b = (known.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("cls", "comp", "n_shingles", "bits", "wide"))) for k in "ab")
-    more = a.join(b, "key").where((F.col("comp_a") < F.col("comp_b")) & may_link("a", "b"))
-    more = more.groupBy(F.greatest("cls_a", "cls_b").alias("a"), F.least("cls_a", "cls_b").alias("b")).agg(F.count("*").alias("keys")).join(tried, ["a", "b"], "left_anti")
+    more = pairs_between(mixed, facts).join(tried, ["a", "b"], "left_anti")
     more = saved(more, "pairs")
     # one pair for each two components first, then what still lies between components
     between = Window.partitionBy("comp_a", "comp_b").orderBy(F.desc("keys"), "a", "b")
     best = saved(apart(more, comp).withColumn("r", F.row_number().over(between)).where("r = 1").select("a", "b"), "pairs")
-    links = links.unionByName(saved(verified(best, docs, classes), "links"))
-    comp = saved(components(links), "components")
+    linked = saved(verified(best, docs, classes), "links")
+    comp = saved(components(links.unionByName(linked)), "components")
     rest = saved(apart(more.join(best, ["a", "b"], "left_anti"), comp).select("a", "b"), "pairs")
-    comp = saved(components(links.unionByName(saved(verified(rest, docs, classes), "links"))), "components")
+    last = saved(verified(rest, docs, classes), "links")
+    comp = saved(components(links.unionByName(linked).unionByName(last)), "components")
     # a name per class, then per document; both tables have a row per class at most
     lows = classes.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     lows = lows.join(comp, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("component", "cls").alias("comp"))
-    names = lows.select("cls", "comp").join(lows.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("cls", "component_id")
-    return classes.join(names, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    names = lows.select("cls", "comp").join(lows.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("cls", "comp", "component_id")
+    dropped(buckets, tried, mixed, more, best, rest, links, linked, last)
+    return classes.join(names, "cls", "left").select("doc_id", "text_key", "n_shingles", "comp", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near copies: the one whose id names the component."""
-    gone = near_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """``docs`` with one document of each group of near copies: the one with the smallest id (rows with one come first), then by text.
+
+    Rows without shingles all stay. Rows that repeat id and text are copies of each other, so one of them stays. Columns pass through.
+    """
+    id_, text = (fresh(docs, c) for c in ("first_id", "first_text"))
+    rows = components_of_rows(docs).where("n_shingles > 0")
+    kept = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("f")).select(_id("f.doc_id").alias(id_), F.col("f.text_key").alias(text))
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    named = docs.where(~blank).withColumn(id_, _id("doc_id")).withColumn(text, text_key())
+    return named.join(kept, [id_, text], "left_semi").dropDuplicates([id_, text]).select(*docs.columns).unionByName(docs.where(blank))

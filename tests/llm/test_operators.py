@@ -68,6 +68,38 @@ def test_ngram_join(docs, none):
     assert ngram_join.near_components(none).count() == 0
     kept = ngram_join.one_per_component(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute_components(corpus())})
+    assert ngram_join.one_per_component(none).count() == 0
+
+
+def test_ngram_join_of_repeated_and_missing_ids(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(900)}" for _ in range(80)]
+    near, junk = " ".join([*base[:-1], "else"]), " ".join(f"j{i}" for i in range(70))
+    rows = [(1, " ".join(base)), (1, junk), (2, near), (None, junk), (None, "lone words of no other text at all"), (None, None), (7, ""), (7, "")]
+    for _ in range(3):
+        rng.shuffle(rows)
+        frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, first_id int, comp string").repartition(3)
+        got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_components(frame).collect()}
+        assert got == {(1, 76, 1), (1, 66, 1), (2, 76, 1), (None, 66, 1), (None, 4, None), (None, 0, None), (7, 0, 7)}
+        kept = ngram_join.one_per_component(frame)
+        assert kept.columns == frame.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, " ".join(base)), (1, junk), (0, "lone words of no other text at all"), (0, ""), (7, ""), (7, "")])
+
+
+def test_line_dedup_of_repeated_and_missing_ids(spark):
+    rng = random.Random(9)
+    words_ = [f"w{rng.randrange(900)}" for _ in range(60)]
+    line, near = " ".join(words_), " ".join([*words_[:-1], "else"])
+    license_ = "the same license line stands in a third of all the documents here"
+    rows = [(1, line), (1, "other\n" + license_), (2, near + "\nlast"), (None, license_), (None, near), (3, None)] + [(10 + i, f"own line {i} of its text\n{license_}") for i in range(40)]
+    want = None
+    for _ in range(2):
+        rng.shuffle(rows)
+        frame = spark.createDataFrame([(i, t, 9, "x", 1) for i, t in rows], "doc_id long, text string, n_lines int, gone_lines string, toks int").repartition(3)
+        got = sorted(((r.doc_id or 0), r.text or "", r.n_lines, r.n_removed, r.gone_lines) for r in line_dedup.dedup_lines(frame).collect())
+        assert want is None or got == want
+        want = got
+    removed = {(i, t): n for i, t, _, n, _ in want}
+    assert len(want) == len(rows) and sum(removed.values()) == 43 and removed[0, license_] + removed[0, near] == 0 and removed[2, "last"] == 1
 
 
 def brute_lines(rows):
@@ -84,7 +116,7 @@ def brute_lines(rows):
 
 def test_line_dedup(docs, none):
     gone = brute_lines(corpus())
-    assert {tuple(r) for r in line_dedup.removed_lines(docs).collect()} == gone
+    assert {(r.doc_id, r.line_no) for r in line_dedup.removed_lines(docs).collect()} == gone
     got = {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs).collect()}
     want = set()
     for i, t, *_ in corpus():

@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame
 
 from cairn.llm.common import Memo, byte_blocks, gather
 
-#: Chunks that a worker keeps; beyond, it starts afresh (encodings stay the same).
-MEMO_CHUNKS = 600_000
+#: Bytes that a worker's memo of chunks may take, about; beyond, it starts afresh (encodings stay the same).
+MEMO_BYTES = 64 << 20
+#: What a chunk of the memo takes besides its bytes and ids, and the words that an encoder keeps beside the memo.
+CHUNK_BYTES, KNOWN_WORDS = 250, 100_000
 
 
 def byte_letters() -> list[str]:
@@ -199,7 +201,7 @@ class WordBpe:
         new = {w for ws in split for w in ws if w not in known and isinstance(w, str)}
         known.update(self.encode_new(new))
         out = [known[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else [i for w in ws for i in (known[w] if isinstance(w, str) else (w,))] for ws in split]
-        if len(known) > MEMO_CHUNKS:
+        if len(known) > KNOWN_WORDS:
             known.clear()
         return out
 
@@ -221,7 +223,7 @@ class ChunkEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.memo, self.strings = Memo(), []
+        self.memo, self.strings, self.held = Memo(), [], 0
         self.ids, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
 
@@ -231,6 +233,7 @@ class ChunkEncoder:
             rows = [list(map(self.memo.__getitem__, (t or b"").split())) for t in texts.slice(a, b - a).cast(pa.binary()).to_pylist()]
             if self.memo.new:
                 lists = self.encode_chunks(self.memo.new)
+                self.held += sum(map(len, self.memo.new)) + 8 * sum(map(len, lists)) + CHUNK_BYTES * len(lists)
                 self.memo.new.clear()
                 self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(lists), np.int32)])
                 self.lens = np.concatenate([self.lens, np.fromiter(map(len, lists), np.int64, len(lists))])
@@ -243,7 +246,7 @@ class ChunkEncoder:
                 if self.text_of:
                     decoded = b" ".join([s for s in map(self.strings.__getitem__, row) if s])
                 yield gather(self.ids, self.starts, self.lens, idx), decoded
-            if len(self.memo) > MEMO_CHUNKS:
+            if self.held > MEMO_BYTES:
                 self.clear()
 
 
@@ -269,6 +272,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                 ids_hash.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 text_hash.append(hashlib.sha256(text).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.clear()  # the worker may serve other stages next
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

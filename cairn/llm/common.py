@@ -29,11 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def saved(df: DataFrame, name: str = "step") -> DataFrame:
+#: Shuffle files of a finished write are of no more use: what it gave stands in the shared folder.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def saved(df: DataFrame, name: str = "step", compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: the lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairn-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._cairn_path = path
     return out

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Memo, bucket_of, byte_blocks, saved
+from cairn.llm.common import Memo, bucket_of, byte_blocks, dropped, saved
 from cairn.llm.shingles import mix
 
 ORDER = 4
@@ -29,7 +29,9 @@ DISCOUNT = 0.75
 FLOOR = 1e-6
 #: A text is rejected above this quantile of the fitted documents' cross-entropies, times the slack.
 REJECT_QUANTILE, REJECT_SLACK = 0.999, 1.25
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 200_000
+#: Words whose letters are scored at once.
+WORDS_AT_ONCE = 20_000
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 _EDGE = 32
 
@@ -90,6 +92,10 @@ class Model:
 
     def score_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(sum of -log2 p per word and language, letters and closing mark per word)."""
+        parts = [self._score(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)] or [(np.zeros((0, len(self.langs))), np.zeros(0, np.int64))]
+        return np.concatenate([p for p, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         owner, gram, lens = grams(words)
         context = contexts(words)
         p = np.full((len(owner), len(self.langs)), FLOOR)
@@ -131,9 +137,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the n-gram less its first letter, which Kneser-Ney counts go to
         for n in range(ORDER):
             ok = gram[n] > 0
-            rec = np.stack([gram[n][ok], context[n][ok], gram[n - 1][ok] if n else np.zeros(int(ok.sum()), np.uint64)], 1)
-            found, inverse = np.unique(rec, axis=0, return_inverse=True)
-            total = np.bincount(inverse.ravel(), weights=times[owner[ok]], minlength=len(found)).astype(np.int64)
+            # an n-gram names its context and suffix
+            _, first, inverse = np.unique(gram[n][ok], return_index=True, return_inverse=True)
+            found = np.stack([gram[n][ok][first], context[n][ok][first], gram[n - 1][ok][first] if n else np.zeros(len(first), np.uint64)], 1)
+            total = np.bincount(inverse, weights=times[owner[ok]], minlength=len(found)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([n + 1] * len(found), pa.int32()), *(pa.array(found[:, j].view(np.int64)) for j in range(3)), pa.array(total)], ["lang", "n", "gram", "context", "suffix", "times"])
 
 
@@ -185,9 +192,53 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
     got = score(sample, model).where("lang_pred <> 'und'").groupBy("lang_pred").agg(F.percentile_approx("bits", REJECT_QUANTILE, 10000).alias("q")).collect()
     for r in got:
         model.limits[langs.index(r.lang_pred)] = r.q * REJECT_SLACK
+    dropped(sample)
     return model
 
 
+class Judge:
+    """Scores batches of texts, with a memo of chunks of bounded size."""
+
+    def __init__(self, model: Model | None) -> None:
+        self.model, self.langs = model, model.langs if model else []
+        self.clear()
+
+    def clear(self) -> None:
+        self.memo, self.bits, self.letters = Memo(), np.zeros((0, len(self.langs))), np.zeros(0, np.int64)
+
+    def learn(self, chunks: list[bytes]) -> None:
+        lists = [words_of(c) for c in chunks]
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        more, count = np.zeros((len(lists), len(self.langs))), np.zeros(len(lists), np.int64)
+        flat = [w for ws in lists for w in ws]
+        if flat and self.model:
+            of, of_n = self.model.score_words(flat)
+            owner = np.repeat(np.arange(len(lists)), n)
+            np.add.at(more, owner, of)
+            np.add.at(count, owner, of_n)
+        self.bits, self.letters = np.concatenate([self.bits, more]), np.concatenate([self.letters, count])
+        chunks.clear()
+
+    def texts(self, texts: pa.Array) -> Iterator[tuple[str, float, float | None, bool]]:
+        """(lang_pred, score, bits, rejected) of each row."""
+        for a, b in byte_blocks(texts):
+            rows = [list(map(self.memo.__getitem__, (t or b"").split())) for t in texts.slice(a, b - a).cast(pa.binary()).to_pylist()]
+            if self.memo.new:
+                self.learn(self.memo.new)
+            for row in rows:
+                idx = np.fromiter(row, np.int64, len(row))
+                n = int(self.letters[idx].sum())
+                if not n:
+                    yield "und", 0.0, None, True
+                    continue
+                per = np.round(self.bits[idx].sum(0) / n, 9)
+                j = int(per.argmin())
+                gap = float(np.partition(per, 1)[1] - per[j]) if len(per) > 1 else 1.0
+                yield self.langs[j], gap / (gap + 0.1), float(per[j]), bool(per[j] > self.model.limits[j])
+            if len(self.memo) > MEMO_CHUNKS:
+                self.clear()
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, bits, rejected for every whole text.
 
@@ -197,38 +248,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        langs = model.langs if model else []
-        memo, bits, letters = Memo(), np.zeros((0, len(langs))), np.zeros(0, np.int64)
+        judge = Judge(shared.value)
+        kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
         for batch in batches:
-            pred, lead, best_bits, rejected = [], [], [], []
-            for a, b in byte_blocks(batch.column(1)):
-                rows = [list(map(memo.__getitem__, (t or b"").split())) for t in batch.column(1).slice(a, b - a).cast(pa.binary()).to_pylist()]
-                if memo.new:
-                    lists = [words_of(c) for c in memo.new]
-                    n = np.fromiter(map(len, lists), np.int64, len(lists))
-                    more, count = np.zeros((len(lists), len(langs))), np.zeros(len(lists), np.int64)
-                    flat = [w for ws in lists for w in ws]
-                    if flat and model:
-                        of, of_n = model.score_words(flat)
-                        owner = np.repeat(np.arange(len(lists)), n)
-                        np.add.at(more, owner, of)
-                        np.add.at(count, owner, of_n)
-                    bits, letters = np.concatenate([bits, more]), np.concatenate([letters, count])
-                    memo.new.clear()
-                for row in rows:
-                    idx = np.fromiter(row, np.int64, len(row))
-                    n = int(letters[idx].sum())
-                    if not n:
-                        pred.append("und"), lead.append(0.0), best_bits.append(None), rejected.append(True)
-                        continue
-                    per = np.round(bits[idx].sum(0) / n, 9)
-                    j = int(per.argmin())
-                    gap = float(np.partition(per, 1)[1] - per[j]) if len(per) > 1 else 1.0
-                    pred.append(langs[j]), lead.append(gap / (gap + 0.1)), best_bits.append(float(per[j])), rejected.append(bool(per[j] > model.limits[j]))
-                if len(memo) > MEMO_CHUNKS:
-                    memo, bits, letters = Memo(), bits[:0], letters[:0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(lead, pa.float64()), pa.array(best_bits, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "bits", "rejected"])
+            rows = list(judge.texts(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "lang_pred", "score", "bits", "rejected"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, bits double, rejected boolean")
 
@@ -240,6 +264,13 @@ def predict(docs: DataFrame) -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The documents that the model, fitted on all labelled ones, doesn't reject."""
-    verdict = score(docs, fit(docs)).where("rejected").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_anti").select(*docs.columns)
+    """The rows that the model, fitted on all labelled ones, doesn't reject; each row is judged by its own text, and nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([not rejected for *_, rejected in judge.texts(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ whole sets: first each set against the earliest set of its buckets, then only th
 of one line cost a pair each. A line goes if an earlier line - lower doc_id, then lower line number - reaches the threshold; blank lines
 stay.
 
-Tokens are made once, per line, and written. Lines that repeat more than one line in HOT are few (at most HOT names); only their first one
+Tokens are made once, per line, as 48-bit hashes, and written. Lines that repeat more than one line in HOT are few (at most HOT names); only their first one
 makes join keys, so no bucket holds a large share of the corpus.
 """
 
@@ -36,7 +36,7 @@ def _bound(value: Column, use) -> Column:
 def _shingles(h: Column) -> Column:
     """Hashes of K neighbouring word hashes, or of the whole sequence if it is shorter."""
     n = F.size(h)
-    return F.when(n < K, F.array(F.xxhash64(h))).otherwise(F.transform(F.slice(h, F.lit(1), F.greatest(n - K + 1, F.lit(0))), lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, K)))))
+    return F.when(n < K, F.array(F.shiftrightunsigned(F.xxhash64(h), 16))).otherwise(F.transform(F.slice(h, F.lit(1), F.greatest(n - K + 1, F.lit(0))), lambda x, i: F.shiftrightunsigned(F.xxhash64(x, *(F.get(h, i + j) for j in range(1, K))), 16)))
 
 
 def _plain(line: Column) -> Column:
@@ -62,7 +62,7 @@ def token_sets(docs: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, line_no of the lines that go. Rows of one doc_id are told apart by their text."""
     spark = docs.sparkSession
-    sets = saved(token_sets(docs).withColumn("n", F.size("toks")).withColumn("id", F.monotonically_increasing_id()), "tokens")
+    sets = saved(token_sets(docs).withColumn("n", F.size("toks")).withColumn("id", F.monotonically_increasing_id()), "tokens", "zstd")
     lines = sets.where("full")
     # the first line of each name; all others of the name match it
     at = F.struct("doc_id", "text_key", "line_no")
@@ -75,7 +75,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     counts = dict(lines.select(F.explode_outer("toks").alias("t")).groupBy(bucket.alias("b")).count().collect())
     rank = {b: i for i, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b)))}
     rarity = spark.createDataFrame([([rank[b] for b in range(BUCKETS)],)], "c array<int>").scalar()
-    place = lambda t: F.shiftleft(F.get("rarity", t.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 47).bitwiseOR(F.shiftrightunsigned(t, 17))
+    place = lambda t: F.shiftleft(F.get("rarity", t.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 32).bitwiseOR(F.shiftrightunsigned(t, 16))
     cool = lines.join(F.broadcast(hot), (F.col("name") == F.col("hot")) & (F.col("check") == F.col("hot_check")), "left").where("first_id IS NULL OR first_id = id")
     placed = cool.withColumn("rarity", rarity).select("name", "n", F.transform("toks", place).alias("places"))
     prefix = F.slice(F.sort_array("places"), F.lit(1), F.col("n") - F.ceil(F.col("n") * T_NUM / T_DEN).cast("int") + 1)

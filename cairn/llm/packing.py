@@ -9,6 +9,7 @@ The blocks are Parquet rows, so the commit protocol of Spark covers lost executo
 from __future__ import annotations
 
 import functools
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,7 +25,15 @@ from cairn.llm.common import shared_dir
 
 #: Ids of a block before it is closed; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
-BLOCKS = "shard int, block int, n_ids long, bits int, doc_ids array<long>, starts array<long>, payload binary"
+#: Blocks whose positions a join broadcasts (24 bytes each); more are joined by shuffling.
+BROADCAST_BLOCKS = 1_000_000
+BLOCKS = "shard int, block int, first_id long, last_id long, n_ids long, bits int, doc_ids array<long>, starts array<long>, payload binary"
+
+
+def vocabulary_of(tokenizer: str) -> int:
+    """One more than the largest id of a tokenizer file."""
+    spec = json.load(open(tokenizer, encoding="utf-8"))
+    return 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
 
 
 def bits_for(vocabulary: int) -> int:
@@ -86,7 +95,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, bi
 
     def close() -> pa.RecordBatch:
         lens = np.array([len(p) for p in parts], np.int64)
-        columns = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([held], pa.int64()), pa.array([bits], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([(np.cumsum(lens) - lens).tolist()], pa.list_(pa.int64())), pa.array([pack(np.concatenate(parts), bits)], pa.binary())]
+        columns = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array(docs[:1], pa.int64()), pa.array(docs[-1:], pa.int64()), pa.array([held], pa.int64()), pa.array([bits], pa.int32()), pa.array([docs], pa.list_(pa.int64())), pa.array([(np.cumsum(lens) - lens).tolist()], pa.list_(pa.int64())), pa.array([pack(np.concatenate(parts), bits)], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names)
 
     enc = library_encoder(path)
@@ -118,12 +127,18 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.schema(BLOCKS).parquet(path)
     by_shard = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
     heads = blocks.select("shard", "block", (F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids")).alias("in_shard")).join(by_shard, "shard")
-    return blocks.join(heads.select("shard", "block", (F.col("shard_start") + F.col("in_shard")).alias("block_start")), ["shard", "block"])
+    heads = heads.select("shard", "block", (F.col("shard_start") + F.col("in_shard")).alias("block_start"))
+    # payloads are not shuffled while the positions fit a broadcast
+    small = blocks.select("shard").limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+    return blocks.join(F.broadcast(heads) if small else heads, ["shard", "block"])
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
-    """Ids of each row of one document, unpacked from its block alone."""
-    rows = spark.read.schema(BLOCKS).parquet(path).where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).orderBy("shard", "block").collect()
+    """Ids of each row of one document, unpacked from its block alone; the ids at the ends of a block tell which row groups are read."""
+    wanted = F.lit(doc_id).cast("long")
+    # a block that begins with rows without an id has no first id
+    reach = (F.col("first_id").isNull() | (F.col("first_id") <= wanted)) & (F.col("last_id") >= wanted)
+    rows = spark.read.schema(BLOCKS).parquet(path).where(reach & F.array_contains("doc_ids", wanted)).orderBy("shard", "block").collect()
     out = []
     for r in rows:
         ends = [*r.starts[1:], r.n_ids]
@@ -146,9 +161,9 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
     return read_blocks(spark, path).select("doc_ids", "starts", "n_ids", "bits", "block_start", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, vocabulary: int) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, vocabulary: int | None = None) -> DataFrame:
     """Writes the files to the shared folder and returns the digest read back from them."""
     spark = docs.sparkSession
     out = f"{shared_dir(spark)}/cairn-packed-{uuid.uuid4().hex}"
-    write_packed(docs, out, tokenizer, vocabulary, shards=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    write_packed(docs, out, tokenizer, vocabulary or vocabulary_of(tokenizer), shards=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return token_digest(spark, out)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import bpe, decontam, html, langid, line_dedup, media, ngram_join, packing, quality, sharding
 from cairn.llm.common import table
 
-#: The vocabulary file; the folder may be set with CAIRN_TOKENIZERS.
-WORD_BPE = os.path.join(os.environ.get("CAIRN_TOKENIZERS", "/opt/tokenizers"), "word_bpe_49k.json")
-WORD_BPE_IDS = 49_408
+#: The vocabulary file.
+WORD_BPE = str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +31,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, WORD_BPE_IDS)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:

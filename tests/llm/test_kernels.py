@@ -21,9 +21,9 @@ def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
 
 
-def plain_set(t):
+def plain_set(t, k=5):
     w = words(t)
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
 def test_shingle_sets():
@@ -250,4 +250,4 @@ def test_boosting_learns():
 def test_sketch_size_is_safe():
     for n in range(1, 3000, 7):
         k, missing = decontam.sketch_size(n), n - int(np.ceil(0.75 * n))
-        assert k <= n and (k == n or k - missing >= 32)
+        assert k <= n and (k == n or k - missing >= decontam.HITS) and k > missing

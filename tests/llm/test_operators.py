@@ -184,12 +184,13 @@ def test_media(docs, none):
 
 def test_decontamination(spark, docs, none):
     texts = dict((i, t) for i, t, *_ in corpus())
-    items = [(1, " ".join(texts[30].split()[10:40]) if len(texts[30].split()) > 40 else "q"), (2, " ".join(texts[66].split()[25_000:25_060])), (3, "not anywhere in these texts at all"), (4, None), (5, ""), (6, "one two"), (7, texts[0][:200].upper()), (7, texts[0][:200])]
+    items = [(1, " ".join(texts[30].split()[10:40]) if len(texts[30].split()) > 40 else "q"), (2, " ".join(texts[66].split()[25_000:25_060])), (3, "not anywhere in these texts at all"), (4, None), (5, ""), (6, "one two"), (7, texts[0][:200].upper()), (7, texts[0][:200]), (8, " ".join(texts[40].split()[3:6])), (9, " ".join(texts[66].split()[900:904])), (10, "w1"), (11, "w1 nowhere")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = Counter()
     for i, t, *_ in corpus():
         for j, x in items:
-            a, b = plain_set(x), plain_set(t)
+            n = min(5, len((x or "").split()))
+            a, b = plain_set(x, n), plain_set(t, n)
             if a and len(a & b) >= 0.75 * len(a):
                 want[i, j, len(a & b), len(a)] += 1
     got = decontam.contained_items(docs, bench)
@@ -197,6 +198,10 @@ def test_decontamination(spark, docs, none):
     assert decontam.contained_items(none, bench).count() == 0 and decontam.contained_items(docs, bench.limit(0)).count() == 0
     clean = decontam.decontaminate(docs, bench)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == set(texts) - {i for i, *_ in want}
+    # one id on two texts, and no id: each row by its own text
+    rows = [(None, "a b c d e f"), (1, "x y"), (1, "z a b c d e f"), (None, None)]
+    clean = decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, "B c d e F")], "item_id long, text string"))
+    assert sorted(map(str, clean.collect())) == sorted(str(r) for r in spark.createDataFrame([rows[1], rows[3]], "doc_id long, text string").collect())
 
 
 def test_long_items_are_found(spark, docs):

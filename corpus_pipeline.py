@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import bpe, decontam, langid, line_dedup, ngram_join
-from cairn.llm.common import shared_dir, table
+from cairn.llm.common import dropped, saved, table
 from cairn.llm.queries import WORD_BPE
 
 
@@ -43,11 +41,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/cairn-stage-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), "stage")
+        if before:
+            dropped(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

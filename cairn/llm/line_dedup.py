@@ -8,8 +8,8 @@ whole sets: first each set against the earliest set of its buckets, then only th
 of one line cost a pair each. A line goes if an earlier line - lower doc_id, then lower line number - reaches the threshold; blank lines
 stay.
 
-Tokens are made once, per line, as 48-bit hashes, and written. Lines that repeat more than one line in HOT are few (at most HOT names); only their first one
-makes join keys, so no bucket holds a large share of the corpus.
+Tokens are made once, per line, as TOKEN_BITS-bit hashes, and written. Names that more than one line in HOT has are few (less than HOT); only
+their first line makes join keys, so no bucket holds a large share of the corpus.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from cairn.llm.common import dropped, fresh, saved
 K = 5
 T_NUM, T_DEN = 3, 4
 BUCKETS = 1 << 16
-#: A line is hot if more than one in so many lines are copies of it.
-HOT = 10_000
+#: Bits of a token: two lines of 50 tokens have a false common one once in 7 billion pairs.
+TOKEN_BITS = 44
+#: A line is hot if more than one in so many lines are copies of it; less than so many names are broadcast (24 bytes each).
+HOT = 500_000
 #: Line ids that a join broadcasts (8 bytes each); more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -36,7 +38,7 @@ def _bound(value: Column, use) -> Column:
 def _shingles(h: Column) -> Column:
     """Hashes of K neighbouring word hashes, or of the whole sequence if it is shorter."""
     n = F.size(h)
-    return F.when(n < K, F.array(F.shiftrightunsigned(F.xxhash64(h), 16))).otherwise(F.transform(F.slice(h, F.lit(1), F.greatest(n - K + 1, F.lit(0))), lambda x, i: F.shiftrightunsigned(F.xxhash64(x, *(F.get(h, i + j) for j in range(1, K))), 16)))
+    return F.when(n < K, F.array(F.shiftrightunsigned(F.xxhash64(h), 64 - TOKEN_BITS))).otherwise(F.transform(F.slice(h, F.lit(1), F.greatest(n - K + 1, F.lit(0))), lambda x, i: F.shiftrightunsigned(F.xxhash64(x, *(F.get(h, i + j) for j in range(1, K))), 64 - TOKEN_BITS)))
 
 
 def _plain(line: Column) -> Column:
@@ -75,27 +77,36 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     counts = dict(lines.select(F.explode_outer("toks").alias("t")).groupBy(bucket.alias("b")).count().collect())
     rank = {b: i for i, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b)))}
     rarity = spark.createDataFrame([([rank[b] for b in range(BUCKETS)],)], "c array<int>").scalar()
-    place = lambda t: F.shiftleft(F.get("rarity", t.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 32).bitwiseOR(F.shiftrightunsigned(t, 16))
+    place = lambda t: F.shiftleft(F.get("rarity", t.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), TOKEN_BITS - 16).bitwiseOR(F.shiftrightunsigned(t, 16))
     cool = lines.join(F.broadcast(hot), (F.col("name") == F.col("hot")) & (F.col("check") == F.col("hot_check")), "left").where("first_id IS NULL OR first_id = id")
     placed = cool.withColumn("rarity", rarity).select("name", "n", F.transform("toks", place).alias("places"))
     prefix = F.slice(F.sort_array("places"), F.lit(1), F.col("n") - F.ceil(F.col("n") * T_NUM / T_DEN).cast("int") + 1)
+    # size and position share a column: a line has fewer than 2**31 tokens
     keys = placed.select("name", "n", prefix.alias("prefix")).select("name", "n", F.posexplode_outer("prefix").alias("pos", "key"))
+    keys = keys.select("key", "name", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos")).alias("n_pos"))
     in_key = Window.partitionBy("key")
     # a key that one set has alone links nothing; of the others one row per set stays
-    shared = keys.withColumn("low", F.min("name").over(in_key)).withColumn("high", F.max("name").over(in_key)).where("low < high").select("key", "name", "n", "pos").distinct()
-    shared = saved(shared.join(firsts.select("name", "id", "at"), "name").select("key", "id", "at", "n", "pos"), "keys")
+    shared = keys.withColumn("low", F.min("name").over(in_key)).withColumn("high", F.max("name").over(in_key)).where("low < high").select("key", "name", "n_pos").distinct()
+    parts = [F.shiftright("n_pos", 32).cast("int").alias("n"), F.col("n_pos").bitwiseAND(0x7FFFFFFF).cast("int").alias("pos")]
+    shared = saved(shared.join(firsts.select("name", "id", "at"), "name").select("key", "id", "at", *parts), "keys")
     named = saved(lines.select("doc_id", "text_key", "line_no", "name", "check"), "lines")
+    tokens = saved(_of(lines, shared.select("id").distinct()), "tokens", "zstd")
+    dropped(sets)
 
     # each set against the earliest set of its buckets; those that match it are decided
     least = F.min(F.struct("at", "id", "n", "pos")).over(in_key)
     first = shared.withColumn("b", least).where("b.id <> id").select(*_side("a"), *(F.col(f"b.{c}").alias(f"{c}_b") for c in ("id", "at", "n", "pos")))
     tried = saved(first.where(_possible()).select("id_a", "id_b").distinct(), "pairs")
-    near = saved(_matching(tried, lines), "near")
-    # the others against all earlier sets of their buckets
+    near = saved(_matching(tried, tokens), "near")
+    # the others against all earlier sets of their buckets, the one of most shared keys first
     left = shared.join(near, "id", "left_anti").select("key", *_side("a"))
-    more = left.join(shared.select("key", *_side("b")), "key").where(_possible()).select("id_a", "id_b").distinct().join(tried, ["id_a", "id_b"], "left_anti")
-    near = near.unionByName(saved(_matching(saved(more, "pairs"), lines), "near"))
-    dropped(sets, shared, tried)
+    more = left.join(shared.select("key", *_side("b")), "key").where(_possible()).groupBy("id_a", "id_b").agg(F.count("*").alias("keys")).join(tried, ["id_a", "id_b"], "left_anti")
+    more = saved(more, "pairs")
+    best = more.groupBy("id_a").agg(F.max_by("id_b", F.struct("keys", "id_b")).alias("id_b"))
+    likely = saved(_matching(best, tokens), "near")
+    rest = more.join(likely.select(F.col("id").alias("id_a")), "id_a", "left_anti").select("id_a", "id_b")
+    near = near.unionByName(likely).unionByName(saved(_matching(rest, tokens), "near"))
+    dropped(shared, tried, more, tokens)
 
     gone = firsts.join(near.distinct().withColumn("near", F.lit(True)), "id", "left").where("copies > 1 OR near").select("name", "check", "at", "near")
     return named.join(gone, ["name", "check"]).where(F.col("near") | (at != F.col("at"))).select("doc_id", "text_key", "line_no").distinct()
@@ -112,12 +123,14 @@ def _possible() -> Column:
     return (F.col("at_b") < F.col("at_a")) & (F.greatest("n_a", "n_b") * T_NUM <= F.least("n_a", "n_b") * T_DEN) & (rest >= need)
 
 
-def _matching(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Ids of sets a of the pairs whose whole sets reach the threshold; sets of no pair are not shuffled while the ids fit a broadcast."""
-    wanted = pairs.select(F.explode_outer(F.array("id_a", "id_b")).alias("id")).distinct()
-    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    tokens = sets.select("id", "toks").join(wanted, "id", "left_semi")
+def _of(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The tokens of these ids; the others are not shuffled while the ids fit a broadcast."""
+    ids = saved(ids, "ids")
+    return sets.select("id", "toks").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
+def _matching(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Ids of sets a of the pairs whose whole sets reach the threshold."""
     left, right = (tokens.select(F.col("id").alias(f"id_{s}"), F.col("toks").alias(f"toks_{s}")) for s in "ab")
     both = F.size(F.array_intersect("toks_a", "toks_b"))
     return pairs.join(left, "id_a").join(right, "id_b").where(both * (T_DEN + T_NUM) >= (F.size("toks_a") + F.size("toks_b")) * T_NUM).select(F.col("id_a").alias("id")).distinct()

@@ -3,8 +3,9 @@
 A page is read into a tree of elements and text runs. Each element has features of its subtree (text and link density, tags inside),
 its attribute tokens, depth and siblings; boosted trees give the log-odds that it is main content. Decoding is a dynamic programme from
 the leaves up: a kept element keeps or drops each child, a dropped one drops its whole subtree, so no element is kept inside a dropped one.
-The trees learn from pages whose markup names its parts (article, nav, footer, ...), also with these names turned into attribute tokens or
-removed, so that they don't rest on tag names alone.
+The trees learn from pages whose markup names its parts (article, nav, footer, ...), also with these names turned into attribute tokens,
+removed, or removed with all attributes, so that they don't rest on names alone. Where no page of the sample names its main part, blocks
+of running text (many words, few of them links) stand for it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 #: Pages that the trees are fitted on, at most about: a bounded sample drawn by hash of the id.
 FIT_PAGES = 400
 ROUNDS, DEPTH, RATE = 40, 3, 0.3
+#: Words of its own that make a block running text.
+RUNNING_WORDS = 12
 #: Share of the parent's log-odds that counts for a child.
 AGREE = 0.5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,7 +38,7 @@ MAIN = frozenset(("article", "main"))
 FURNITURE = frozenset(("nav", "footer", "header", "aside", "form", "menu"))
 GOOD = ("article", "content", "post", "entry", "story", "main", "body", "text")
 BAD = ("nav", "menu", "footer", "header", "aside", "sidebar", "ad", "ads", "advert", "banner", "cookie", "notice", "promo", "share", "social", "comment", "comments", "related", "form", "subscribe", "breadcrumb", "widget")
-_TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", regex.S)
+_TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)", regex.S)
 _ATTR = regex.compile(r"(?i)\b(id|class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = regex.compile(r"[a-z]+")
 _SPACE = regex.compile(r"\s+")
@@ -54,6 +57,7 @@ def parse(page: str) -> Node:
     """The element tree of a page; unclosed, stray and misnested tags are taken as browsers mostly do, and raw elements hold no text."""
     root = at = Node("#root", "", None)
     pos, end = 0, len(page)
+    opened: Counter = Counter()  # names of the elements that are open
     while pos < end:
         m = _TOKEN.search(page, pos)
         text = page[pos : m.start() if m else end]
@@ -67,21 +71,22 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if close:
-            node = at
-            while node.parent and node.tag != tag:
-                node = node.parent
-            if node.parent:
-                at = node.parent
+            if opened[tag]:
+                while at.tag != tag:
+                    opened[at.tag] -= 1
+                    at = at.parent
+                opened[tag] -= 1
+                at = at.parent
             continue
         if tag in BLOCKS or tag in CLOSES:
             ends = CLOSES.get(tag, frozenset()) | ({"p"} if tag in BLOCKS else set())
             node = at
             while node.parent and (node.tag in INLINE or node.tag in ends):
                 if node.tag in ends:
-                    at = node.parent
+                    while at is not node.parent:
+                        opened[at.tag] -= 1
+                        at = at.parent
                 node = node.parent
-        if at.depth > 400:
-            continue
         node = Node(tag, attrs, at)
         at.items.append(node)
         if tag in RAW:
@@ -89,6 +94,7 @@ def parse(page: str) -> Node:
             pos = stop.end() if stop else end
         elif tag not in VOID and not attrs.rstrip().endswith("/"):
             at = node
+            opened[tag] += 1
     return root
 
 
@@ -167,6 +173,22 @@ def weak_labels(nodes: list[Node]) -> np.ndarray:
     return out
 
 
+def content_labels(nodes: list[Node]) -> np.ndarray:
+    """1 for blocks of running text outside named furniture, and for the elements above them: labels for pages that name no main part."""
+    out = np.zeros(len(nodes))
+    index = {id(x): i for i, x in enumerate(nodes)}
+    for i, x in enumerate(nodes):
+        own = [y for y in x.items if isinstance(y, str)] + [y for k in x.items if isinstance(k, Node) and k.tag in INLINE and k.tag != "a" for y in k.items if isinstance(y, str)]
+        if x.tag in RAW or x.in_furniture or x.tag in FURNITURE or set(_WORD.findall(x.attrs.lower())) & set(BAD) or len(" ".join(own).split()) < RUNNING_WORDS:
+            continue
+        up: Node | None = x
+        while up:
+            if id(up) in index:
+                out[index[id(up)]] = 1
+            up = up.parent
+    return out
+
+
 class Boosted:
     """Binary gradient boosting of shallow trees on log-loss, with histogram splits."""
 
@@ -243,7 +265,9 @@ def decode(nodes: list[Node], odds: np.ndarray) -> set[int]:
         parents[i] = index[id(up)]
     # a child leans towards the label of its parent
     leaning = odds + AGREE * np.where(parents >= 0, odds[parents], 0)
-    best = np.array([leaning[i] * (0.05 + own_text(x)) for i, x in enumerate(nodes)])
+    # an element around nothing but one other has no say: chains of wrappers may be long
+    weight = [own_text(x) + 0.05 * (sum(isinstance(y, Node) for y in x.items) != 1) for x in nodes]
+    best = leaning * np.array(weight)
     for i in range(len(nodes) - 1, 0, -1):
         if best[i] > 0 and parents[i] >= 0:
             best[parents[i]] += best[i]
@@ -303,24 +327,33 @@ def variants(page: str) -> list[str]:
     names = {"article": "post-content", "main": "main-content", "nav": "menu", "footer": "page-footer", "aside": "sidebar", "header": "page-header"}
     classed = regex.sub(r"<(/?)(article|main|nav|footer|aside|header)\b([^>]*)>", lambda m: f"</div>" if m[1] else f'<div class="{names[m[2]]}">', page)
     bare = regex.sub(r"<(/?)(article|main)\b[^>]*>", lambda m: f"<{m[1]}div>", page)
-    return [page, classed, bare]
+    hidden = regex.sub(r"<(/?)(article|main|nav|footer|aside|header)\b[^>]*>", lambda m: f"<{m[1]}div>", page)
+    return [page, classed, bare, _ATTR.sub("", hidden)]
 
 
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Boosted | None:
     """Boosted trees from a bounded sample of the pages; None without one."""
+    pages = pages.where(F.length("html") > 0)
     n = pages.count()
-    drawn = pages.where(F.col("html").isNotNull() & (F.pmod(F.xxhash64(F.lit("fit"), "page_id"), F.lit(1_000_000)) < min(1.0, fit_pages / max(1, n)) * 1_000_000)).select("html").limit(4 * fit_pages)
+    drawn = pages.where(F.pmod(F.xxhash64(F.lit("fit"), "page_id", "html"), F.lit(1_000_000)) < min(1.0, fit_pages / max(1, n)) * 1_000_000).select("html").limit(4 * fit_pages)
+    sample = [r.html for r in drawn.collect()]
     xs, ys = [], []
-    for r in drawn.collect():
-        own = None
-        for page in variants(r.html):
-            nodes = elements(parse(page))
-            x, y = describe(nodes), weak_labels(nodes)
-            if own is None:
-                own = y
-            elif len(y) == len(own):
-                y = own
-            xs.append(x), ys.append(y)
+    # pages that name no main part say nothing about names; only where no page does, their text has to
+    for label in (weak_labels, content_labels):
+        for html in sample:
+            own = None
+            for page in variants(html):
+                nodes = elements(parse(page))
+                x, y = describe(nodes), label(nodes)
+                if own is None:
+                    own = y
+                    if not own.any():
+                        break
+                elif len(y) == len(own):
+                    y = own
+                xs.append(x), ys.append(y)
+        if xs:
+            break
     if not xs:
         return None
     return Boosted().fit(np.concatenate(xs), np.concatenate(ys))

@@ -117,7 +117,8 @@ def _track(data: bytes, at: int, end: int) -> dict:
     if b"stsz" in found:
         b, e = found[b"stsz"]
         each, n = struct.unpack_from(">II", data, b + 4)
-        sizes = np.full(n, each, np.int64) if each else _numbers(data, b + 8, e).ravel()
+        # no more samples than the file has bytes for
+        sizes = np.full(min(n, len(data) // each), each, np.int64) if each else _numbers(data, b + 8, e).ravel()
     offsets = np.zeros(0, np.int64)
     for kind, width in ((b"stco", 4), (b"co64", 8)):
         if kind in found:
@@ -125,8 +126,9 @@ def _track(data: bytes, at: int, end: int) -> dict:
     per_chunk = np.zeros(len(offsets), np.int64)
     if b"stsc" in found:
         for first, n, _ in _numbers(data, found[b"stsc"][0] + 4, found[b"stsc"][1], 4, 3):
-            per_chunk[max(0, first - 1) :] = n
-    n = min(int(per_chunk.sum()), len(sizes))
+            per_chunk[max(0, first - 1) :] = min(n, len(sizes))
+    per_chunk = np.diff(np.minimum(np.cumsum(per_chunk), len(sizes)), prepend=0)
+    n = int(per_chunk.sum())
     chunk = np.repeat(np.arange(len(offsets)), per_chunk)[:n]
     before = np.cumsum(sizes[:n]) - sizes[:n]
     first = np.concatenate([[0], np.cumsum(per_chunk)[:-1]]).astype(np.int64) if len(offsets) else np.zeros(0, np.int64)
@@ -196,16 +198,22 @@ def media_columns(df: DataFrame, column: str = "media") -> DataFrame:
 
 
 def media_digest(df: DataFrame) -> DataFrame:
-    """Digests of stored containers: what is read back through the sample tables, and a JSON of the probed features."""
+    """Digests of stored containers: what is read back through the sample tables, and a JSON of the probed features.
+
+    A null or foreign container has no payload: null digests, no bytes, and the feature ``null``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                track = probe(data)[0]
+                track = next((t for t in probe(data) if t["samples"]), None)
+                if track is None:
+                    rows.append((doc_id, n, 0, None, None, len(data or b""), data and hashlib.sha256(data).hexdigest(), "null"))
+                    continue
                 payload = read_payload(data, track)
                 keys = track["keyframes"]
-                feature = {"codec": track["codec"], "handler": track["handler"], "duration_s": track["duration"] / track["timescale"], "samples": track["samples"], "keyframes": len(keys), "first_key": keys[0].tolist(), "last_key": keys[-1].tolist(), "keyframe_crc32": zlib.crc32(keys.astype("<i8").tobytes())}
+                feature = {"codec": track["codec"], "handler": track["handler"], "duration_s": track["duration"] / track["timescale"] if track["timescale"] else None, "samples": track["samples"], "keyframes": len(keys), "first_key": keys[0].tolist() if len(keys) else None, "last_key": keys[-1].tolist() if len(keys) else None, "keyframe_crc32": zlib.crc32(keys.astype("<i8").tobytes())}
                 rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), json.dumps(feature)))
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

@@ -172,6 +172,21 @@ def test_packing(spark, docs, none, tmp_path):
     assert packing.pack_documents(none, WORD_BPE, 49_408).count() == 0
 
 
+def test_hostile_media(spark):
+    import struct
+
+    good = media.write_container(bytes(range(192)) * 30)
+    at, chunks = good.index(b"stsz") + 8, good.index(b"stsc") + 12
+    many = good[: at + 4] + struct.pack(">I", 2**32 - 1) + good[at + 8 :]
+    runs = good[: chunks + 4] + struct.pack(">I", 2**32 - 1) + good[chunks + 8 :]
+    for data in (many, runs, many[: chunks + 4] + struct.pack(">I", 2**32 - 1) + many[chunks + 8 :]):
+        (track,) = media.probe(data)
+        assert track["samples"] <= len(data) // 192 and media.read_payload(data, track)[:192] == bytes(range(192))
+    rows = [(1, 5, None), (2, 5, b"not a container"), (3, 5, b""), (4, 5760, good)]
+    got = {r.doc_id: r for r in media.media_digest(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert all(got[i].payload_bytes == 0 and got[i].payload_sha256 is None and got[i].feature == "null" for i in (1, 2, 3)) and got[4].payload_bytes == 5760
+
+
 def test_media(docs, none):
     got = media.media_digest(media.with_media(docs)).collect()
     texts = dict((i, t) for i, t, *_ in corpus())
@@ -284,3 +299,41 @@ def test_components(spark):
 
 def test_words():
     assert words("A\x1cb C") == ["a\x1cb", "c"]
+
+
+def test_html_of_odd_pages(spark):
+    words_ = "One two three four five six seven eight nine ten, eleven words of running text."
+    page = lambda body: f"<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav>{body}<footer>Contact us</footer></body></html>"
+    named = [page(f'<article><p>{words_} {i}</p><p>More of it, {words_} {i}</p></article><aside class="ad">Buy {i} now</aside>') for i in range(60)]
+    odd = [
+        (page(f"""<article><p class="a"">{words_}</p><p id="x" title=don't>Next, {words_}</p></article>"""), f"{words_}\nNext, {words_}"),
+        (page("<article>" + "<div>" * 500 + f"<script>var secret=1;</script><p>{words_}</p><p>Next, {words_}</p>" + "</div>" * 500 + f"<p>Last, {words_}</p></article>"), f"{words_}\nNext, {words_}\nLast, {words_}"),
+        (page(f"<!-- <p>hidden</p> --><div><div><p>{words_}</p><p>Next, {words_}</p></div></div>"), f"{words_}\nNext, {words_}"),
+        (None, ""), ("", ""), ("   ", ""), ("<p", ""),
+    ]
+    rows = [(i, "u", h) for i, h in enumerate([h for h, _ in odd] + named + [None] * 3000)]
+    got = {r.page_id: r for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert len(got) == len(rows) and [got[i].text for i in range(len(odd))] == [t for _, t in odd]
+    assert all(got[len(odd) + i].text == f"{words_} {i}\nMore of it, {words_} {i}" for i in range(60)) and all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_html_without_named_parts(spark):
+    words_ = "One two three four five six seven eight nine ten, eleven words of running text."
+    rows = [(i, "u", f"<div><ul><li><a href='/{j}'>Go</a></li></ul></div><div><p>{words_} {i}</p><p>More of it, {words_}</p></div>") for i in range(50) for j in (0,)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(f"{words_} {r.page_id}" in r.text and "More of it" in r.text and "Go" not in r.text.split() for r in got)
+
+
+def test_decoding_is_the_best_consistent_labelling():
+    rng = np.random.default_rng(4)
+    root = html.parse("<div><p>aa bb</p><div><p>cc</p><ul><li>dd ee</li><li>f</li></ul></div></div>")
+    nodes = html.elements(root)
+    parents = [next((j for j, y in enumerate(nodes) if y is x.parent), -1) for x in nodes]
+    weight = [html.own_text(x) + 0.05 * (sum(isinstance(y, html.Node) for y in x.items) != 1) for x in nodes]
+    for _ in range(200):
+        odds = rng.normal(size=len(nodes))
+        gain = [(odds[i] + html.AGREE * (odds[parents[i]] if parents[i] >= 0 else 0)) * weight[i] for i in range(len(nodes))]
+        best = max(sum(g for i, g in enumerate(gain) if m >> i & 1) for m in range(1 << len(nodes)) if all(parents[i] < 0 or m >> parents[i] & 1 for i in range(len(nodes)) if m >> i & 1))
+        kept = html.decode(nodes, odds)
+        assert abs(sum(g for x, g in zip(nodes, gain, strict=True) if id(x) in kept) - best) < 1e-9
+        assert all(parents[i] < 0 or id(nodes[parents[i]]) in kept for i, x in enumerate(nodes) if id(x) in kept)

@@ -250,9 +250,9 @@ def greedy_duplicates(spark, d):
     return merging.greedy_duplicates(tables.mixed_incidents(spark, d))
 
 
-SENSOR = f""", r AS (SELECT *, CASE category WHEN 'earthquake' THEN 300 ELSE 150 END most, CASE category WHEN 'earthquake' THEN 6 ELSE 48 END h0, CASE category WHEN 'earthquake' THEN 72 ELSE 336 END h1 FROM incident WHERE category IN ('earthquake', 'flood') AND source NOT IN ('USGS', 'GDACS')),
-o AS (SELECT * FROM incident WHERE category IN ('earthquake', 'flood') AND source IN ('USGS', 'GDACS')),
-x AS (SELECT r.id report, o.id official, round({KM('r.lat', 'r.lon', 'o.lat', 'o.lon')}, 6) km FROM r JOIN o ON r.category = o.category AND r.nation_key = o.nation_key AND (epoch_us(r.date) - epoch_us(o.date)) / 3600000000.0 BETWEEN -h1 AND h0 WHERE {KM('r.lat', 'r.lon', 'o.lat', 'o.lon')} <= most),
+SENSOR = f""", r AS (SELECT * FROM incident WHERE category = 'earthquake' AND source NOT IN ('USGS', 'EMSC', 'GDACS', 'WHO')),
+o AS (SELECT * FROM incident WHERE category = 'earthquake' AND source IN ('USGS', 'EMSC', 'GDACS')),
+x AS (SELECT r.id report, o.id official, round({KM('r.lat', 'r.lon', 'o.lat', 'o.lon')}, 6) km FROM r JOIN o ON (epoch_us(r.date) - epoch_us(o.date)) / 3600000000.0 BETWEEN -6 AND 72 WHERE {KM('r.lat', 'r.lon', 'o.lat', 'o.lon')} <= 300),
 m AS (SELECT report, official, km FROM (SELECT *, row_number() OVER (PARTITION BY report ORDER BY km, official) n FROM x) WHERE n = 1)"""
 
 

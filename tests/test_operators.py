@@ -132,12 +132,28 @@ def test_independence(spark):
 
 
 def test_sensor(spark):
-    x = incident(spark, [ev(1, 10, category="flood", grp="natural", source="GDACS", severity=2), ev(2, 5, category="flood", grp="natural", severity=4), ev(3, 5, category="flood", grp="natural", lat=40.0)])
+    quake = dict(category="earthquake", grp="natural")
+    x = incident(spark, [ev(1, 10, source="GDACS", severity=2, **quake), ev(2, 5, severity=4, **quake), ev(3, 5, lat=40.0, **quake)])
     m = merging.sensor_matches(x)
     assert [(r.report, r.official) for r in m.collect()] == [(2, 1)]
     assert merging.attach_reports(m, x).collect()[0][:] == (1, 1, 3)
 
 
+def test_sensor_window(spark):
+    from datetime import datetime, timedelta
+
+    at = datetime(2026, 3, 1, 12)
+    cases = [("earthquake", "earthquake", 72, 6, 2.6, 2.8), ("cyclone", "storm", 120, 48, 8.0, 8.2), ("volcano", "volcano", 336, 48, 1.3, 1.4)]
+    for report, official, after, before, near, far in cases:
+        told = [(1, after, 0.0), (2, after + 1, 0.0), (3, -before, 0.0), (4, -before - 1, 0.0), (5, 24, near), (6, 24, far)]
+        rows_ = [(0, official, "NASA EONET", at, 10.0, 179.9, "t", 2)] + [(i, report, "Press", at + timedelta(hours=h), 10.0 + up, -179.9, "a quake of M 6.1", 2) for i, h, up in told] + [(9, report, "WHO", at, 10.0, 179.9, "t", 2), (10, report, "Press", at, None, None, "t", 2)]
+        x = spark.createDataFrame(rows_, "id long, category string, source string, date timestamp, lat double, lon double, title string, severity int")
+        m = merging.sensor_matches(x)
+        assert sorted((r.report, r.official) for r in m.collect()) == [(1, 0), (3, 0), (5, 0)], report
+        if report == "earthquake":
+            assert sorted(r.id for r in merging.unconfirmed_quakes(x, m).collect()) == [2, 4, 6]
+
+
 def test_greedy_duplicates(spark):
     x = incident(spark, [ev(1, 1, source="GDELT"), ev(2, 2, source="Press"), ev(3, 3, source="WHO"), ev(4, 1, source="GDELT", lat=12.7)])
     got = dict(rows(merging.greedy_duplicates(x)))

@@ -29,9 +29,9 @@ DISCOUNT = 0.75
 FLOOR = 1e-6
 #: A text is rejected above this quantile of the fitted documents' cross-entropies, times the slack.
 REJECT_QUANTILE, REJECT_SLACK = 0.999, 1.25
-MEMO_CHUNKS = 200_000
+MEMO_CHUNKS = 100_000
 #: Words whose letters are scored at once.
-WORDS_AT_ONCE = 20_000
+WORDS_AT_ONCE = 5_000
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 _EDGE = 32
 

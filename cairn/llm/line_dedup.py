@@ -99,8 +99,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     tried = saved(first.where(_possible()).select("id_a", "id_b").distinct(), "pairs")
     near = saved(_matching(tried, tokens), "near")
     # the others against all earlier sets of their buckets, the one of most shared keys first
-    left = shared.join(near, "id", "left_anti").select("key", *_side("a"))
-    more = left.join(shared.select("key", *_side("b")), "key").where(_possible()).groupBy("id_a", "id_b").agg(F.count("*").alias("keys")).join(tried, ["id_a", "id_b"], "left_anti")
+    sketched = shared.join(tokens.select("id", *(_flips(w).alias(f"bits{w}") for w in (0, 1))), "id")
+    bits = lambda s: [F.col(f"bits{w}").alias(f"bits{w}_{s}") for w in (0, 1)]
+    left = sketched.join(near, "id", "left_anti").select("key", *_side("a"), *bits("a"))
+    apart = sum(F.bit_count(F.col(f"bits{w}_a").bitwiseXOR(F.col(f"bits{w}_b"))) for w in (0, 1))
+    room = (T_DEN + T_NUM) * apart <= (T_DEN - T_NUM) * (F.col("n_a") + F.col("n_b"))
+    more = left.join(sketched.select("key", *_side("b"), *bits("b")), "key").where(_possible() & room).groupBy("id_a", "id_b").agg(F.count("*").alias("keys")).join(tried, ["id_a", "id_b"], "left_anti")
     more = saved(more, "pairs")
     best = more.groupBy("id_a").agg(F.max_by("id_b", F.struct("keys", "id_b")).alias("id_b"))
     likely = saved(_matching(best, tokens), "near")
@@ -112,6 +116,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return named.join(gone, ["name", "check"]).where(F.col("near") | (at != F.col("at"))).select("doc_id", "text_key", "line_no").distinct()
 
 
+def _flips(word: int) -> Column:
+    """One of two words in which each token of a set flips the bit that its hash names: sets differ in as many tokens as bits, at least."""
+    mine = F.filter("toks", lambda t: t.bitwiseAND(64) == 64 * word)
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
+
+
 def _side(s: str) -> list[Column]:
     return [F.col(c).alias(f"{c}_{s}") for c in ("id", "at", "n", "pos")]
 

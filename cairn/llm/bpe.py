@@ -43,6 +43,8 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """A ``tokenizers`` file of BPE with word ends: NFC, lower case, pattern split, byte letters."""
 
+    known_words = KNOWN_WORDS
+
     def __init__(self, path: str) -> None:
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
@@ -201,7 +203,7 @@ class WordBpe:
         new = {w for ws in split for w in ws if w not in known and isinstance(w, str)}
         known.update(self.encode_new(new))
         out = [known[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else [i for w in ws for i in (known[w] if isinstance(w, str) else (w,))] for ws in split]
-        if len(known) > KNOWN_WORDS:
+        if len(known) > self.known_words:
             known.clear()
         return out
 
@@ -216,8 +218,8 @@ class WordBpe:
 class ChunkEncoder:
     """Encodes batches of texts through a memo of chunks with bounded size."""
 
-    def __init__(self, encode_chunks, text_of=None) -> None:
-        self.encode_chunks, self.text_of = encode_chunks, text_of
+    def __init__(self, encode_chunks, text_of=None, memo_bytes: int = MEMO_BYTES) -> None:
+        self.encode_chunks, self.text_of, self.memo_bytes = encode_chunks, text_of, memo_bytes
         # the memo is large, lives long and has no cycles: walking it for cycles again and again costs a fifth of the time
         gc.set_threshold(200_000, 50, 1000)
         self.clear()
@@ -246,7 +248,7 @@ class ChunkEncoder:
                 if self.text_of:
                     decoded = b" ".join([s for s in map(self.strings.__getitem__, row) if s])
                 yield gather(self.ids, self.starts, self.lens, idx), decoded
-            if self.held > MEMO_BYTES:
+            if self.held > self.memo_bytes:
                 self.clear()
 
 

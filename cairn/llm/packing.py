@@ -25,6 +25,8 @@ from cairn.llm.common import shared_dir
 
 #: Ids of a block before it is closed; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
+#: Bytes of a worker's memo, about: packing runs alone in its workers.
+MEMO_BYTES = 160 << 20
 #: Blocks whose positions a join broadcasts (24 bytes each); more are joined by shuffling.
 BROADCAST_BLOCKS = 1_000_000
 BLOCKS = "shard int, block int, first_id long, last_id long, n_ids long, bits int, doc_ids array<long>, starts array<long>, payload binary"
@@ -68,6 +70,8 @@ def unpack(payload: bytes, bits: int, start: int, n: int) -> np.ndarray:
 class LibraryBpe(WordBpe):
     """The tokenizers library's own model on words that are new to a worker."""
 
+    known_words = 600_000
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -83,7 +87,7 @@ class LibraryBpe(WordBpe):
 @functools.lru_cache(2)
 def library_encoder(path: str) -> ChunkEncoder:
     """One per worker process and vocabulary."""
-    return ChunkEncoder(LibraryBpe(path).encode_chunks)
+    return ChunkEncoder(LibraryBpe(path).encode_chunks, memo_bytes=MEMO_BYTES)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int | None, bits: int) -> Iterator[pa.RecordBatch]:

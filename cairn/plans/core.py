@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.functions.exprs import STORY_STOP
 from cairn.operators import analytics, country, early_warning, geo, indices, merging, press, quality, text
 from cairn.sources import tables
-from cairn.sources.tables import ADVISORY, CALENDAR, HEADLINE, INCIDENT, MIXED, NOW, SITE, UNIT_MONTH
+from cairn.sources.tables import ADVISORY, CALENDAR, HEADLINE, INCIDENT, LINE, MIXED, NOW, SITE, UNIT_MONTH
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -90,10 +91,10 @@ def failure_streaks(spark, d):
     return indices.failure_streaks(tables.sql(spark, d, "SELECT CAST(user_id AS STRING) AS source, event_id AS run, event_type <> 'error' AS ok FROM events "))
 
 
-@query(WITH + """, x AS (SELECT *, CASE WHEN date - lag(date) OVER (PARTITION BY country, category ORDER BY date, id) <= INTERVAL 72 HOUR THEN 0 ELSE 1 END far FROM incident WHERE severity >= 3), y AS (SELECT *, sum(far) OVER (PARTITION BY country, category ORDER BY date, id) chain FROM x)
+@query(WITH + """, x AS (SELECT *, CASE WHEN date - lag(date) OVER (PARTITION BY country, category ORDER BY date, id) <= INTERVAL 72 HOUR THEN 0 ELSE 1 END far FROM incident), y AS (SELECT *, sum(far) OVER (PARTITION BY country, category ORDER BY date, id) chain FROM x)
 SELECT country, category, CAST(chain AS BIGINT) chain, count(*) n, min(date) "start", max(date) "last", max(severity) max_severity FROM y GROUP BY 1, 2, 3""")
 def crisis_sessions(spark, d):
-    return indices.sessions(tables.incidents(spark, d).where("severity >= 3"), ["country", "category"])
+    return indices.sessions(tables.incidents(spark, d), ["country", "category"])
 
 
 @query(WITH + f""", w AS (SELECT * FROM (VALUES ('24h', 1), ('72h', 3), ('7d', 7), ('30d', 30), ('90d', 90)) t(win, n)), x AS (SELECT country, category, severity, win FROM incident JOIN w ON date >= {AT} - to_days(n))
@@ -227,11 +228,10 @@ def nearest_airports(spark, d):
     return geo.nearest_in_country(s.where("site_id % 3 <> 0").withColumnRenamed("site", "city"), s.where("site_id % 3 = 0").selectExpr("country", "site AS airport", "site_lat AS lat", "site_lon AS lon"), 400)
 
 
-@query(WITH + f""", f AS (SELECT *, CASE category WHEN 'attack' THEN 'violence' WHEN 'unrest' THEN 'unrest' WHEN 'flood' THEN 'weather' WHEN 'earthquake' THEN 'earthquake' ELSE 'cyber' END fam, CASE category WHEN 'attack' THEN 60 WHEN 'unrest' THEN 40 WHEN 'flood' THEN 300 WHEN 'earthquake' THEN 150 ELSE 400 END r FROM incident WHERE severity >= 4)
+@query(WITH + f""", f AS (SELECT *, CASE category WHEN 'attack' THEN 'violence' WHEN 'unrest' THEN 'unrest' WHEN 'flood' THEN 'weather' WHEN 'earthquake' THEN 'earthquake' ELSE 'cyber' END fam, CASE category WHEN 'attack' THEN 60 WHEN 'unrest' THEN 40 WHEN 'flood' THEN 300 WHEN 'earthquake' THEN 150 ELSE 400 END r FROM incident)
 SELECT a.id a, b.id b FROM f a JOIN f b ON a.country = b.country AND a.fam = b.fam AND a.id < b.id AND abs(epoch_us(a.date) - epoch_us(b.date)) <= 72 * 3600000000 AND {KM('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= a.r""")
 def crisis_links(spark, d):
-    x = merging.crisis_links(tables.incidents(spark, d).where("severity >= 4"))
-    return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return merging.crisis_links(tables.incidents(spark, d))
 
 
 @query()
@@ -418,8 +418,9 @@ def calendar_overlaps(spark, d):
     return country.calendar_overlaps(c, s)
 
 
-#: Head lines of documents: tokens as in ``story_tokens``.
-TOKENS = f"""WITH headline AS ({HEADLINE}), tk AS (SELECT id, title, list_distinct_ordered FROM (SELECT id, title, list_filter(regexp_split_to_array(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžőű', 'aaaaaaceeeeiiiinoooooouuuuyyszou'), '[^a-z]+'), lambda x: length(x) >= 3 AND x NOT IN ('the','and','for','with','from','after','amid','over','into','near','dans','pour','avec','apres','contre','des','les','une','sur','par'))[1:14] ws,
+STOPS = ", ".join(f"'{w}'" for w in sorted(set(STORY_STOP)))
+#: Whole texts as titles: tokens as in ``story_tokens``.
+TOKENS = f"""WITH headline AS ({HEADLINE}), tk AS (SELECT id, title, list_distinct_ordered FROM (SELECT id, title, list_filter(regexp_split_to_array(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžőű', 'aaaaaaceeeeiiiinoooooouuuuyyszou'), '[^a-z]+'), lambda x: length(x) >= 3 AND x NOT IN ({STOPS}))[1:14] ws,
  list_filter(ws, lambda x, i: list_position(ws, x) = i) list_distinct_ordered FROM headline)), tt AS (SELECT id, unnest(list_distinct_ordered) "token" FROM tk), dfq AS (SELECT "token", count(*) df FROM tt GROUP BY 1)"""
 
 
@@ -436,8 +437,15 @@ def story_pairs(spark, d):
     return merging.story_pairs(tables.headlines(spark, d))
 
 
-@query(PAIRS + """, jc AS (SELECT a, b, shared, x.list_distinct_ordered ta, y.list_distinct_ordered tb, round(len(list_intersect(ta, tb)) / (len(ta) + len(tb) - len(list_intersect(ta, tb))), 6) jac FROM pr JOIN tk x ON x.id = a JOIN tk y ON y.id = b)
-SELECT a, b, shared, jac FROM jc WHERE (jac >= 0.8 AND least(len(ta), len(tb)) >= 4) OR (least(len(ta), len(tb)) >= 8 AND ta[1:8] = tb[1:8])""")
+#: The rarest tokens of two lists with Jaccard .8 share one; every list here is of four tokens or more.
+ALIKE = TOKENS + """, ls AS (SELECT list_distinct_ordered toks, min(id) id FROM tk WHERE len(list_distinct_ordered) >= 4 GROUP BY 1),
+ex AS (SELECT id, len(toks) n, unnest(toks) "token" FROM ls), fq AS (SELECT "token", count(*) f FROM ex GROUP BY 1), rk AS (SELECT ex.*, row_number() OVER (PARTITION BY id ORDER BY f, "token") r FROM ex JOIN fq USING ("token")),
+pf AS (SELECT * FROM rk WHERE r <= n - (4 * n + 4) // 5 + 1), cd AS (SELECT DISTINCT x.id a, y.id b FROM pf x JOIN pf y ON x."token" = y."token" AND x.id < y.id), hd AS (SELECT id, toks, arg_min(id, id) OVER w first_id, arg_min(toks, id) OVER w first_toks FROM ls WHERE len(toks) >= 8 WINDOW w AS (PARTITION BY toks[1:8])),
+lk AS (SELECT a, b, 'jaccard' "rule", x.toks ta, y.toks tb FROM cd JOIN ls x ON x.id = a JOIN ls y ON y.id = b UNION ALL SELECT first_id, id, 'start', first_toks, toks FROM hd WHERE id <> first_id),
+jc AS (SELECT a, b, "rule", len(list_intersect(ta, tb)) / (len(ta) + len(tb) - len(list_intersect(ta, tb))) jac FROM lk)"""
+
+
+@query(ALIKE + """ SELECT a, b, "rule", round(jac, 6) jac FROM jc WHERE "rule" = 'start' OR jac >= 0.8 UNION ALL SELECT ls.id, tk.id, 'equal', 1e0 FROM tk JOIN ls ON tk.list_distinct_ordered = ls.toks AND tk.id <> ls.id""")
 def similar_titles(spark, d):
     return merging.similar_titles(tables.headlines(spark, d))
 
@@ -495,10 +503,10 @@ def country_brief(spark, d):
     return press.country_brief(r, indices.stability_index(e, r, NOW), e, a, NOW).drop("stability")
 
 
-@query(f"""WITH headline AS ({HEADLINE}), f AS (SELECT id, list_filter(regexp_split_to_array(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžőű', 'aaaaaaceeeeiiiinoooooouuuuyyszou'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') w FROM headline),
+@query(f"""WITH headline AS (SELECT array_to_string(ws, ' ') title FROM ({LINE})), f AS (SELECT list_filter(regexp_split_to_array(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžőű', 'aaaaaaceeeeiiiinoooooouuuuyyszou'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') w FROM headline),
 g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) gram FROM f) SELECT gram, count(*) n FROM g GROUP BY 1 HAVING count(*) >= 3""")
 def title_bigrams(spark, d):
-    return text.ngrams(tables.headlines(spark, d), 2).where("n = 2").groupBy("gram").agg(F.count("*").alias("n")).where("n >= 3")
+    return text.ngrams(tables.document_lines(spark, d), 2).where("n = 2").groupBy("gram").agg(F.count("*").alias("n")).where("n >= 3")
 
 
 @query("""WITH s AS (SELECT n.n_name country, CASE p.p_partkey % 4 WHEN 0 THEN 'Road to school' WHEN 1 THEN 'Rural water supply' WHEN 2 THEN 'Solar power plant' ELSE 'District hospital' END title, CAST(p.p_partkey AS DOUBLE) amount FROM part p JOIN nation n ON n.n_nationkey = p.p_partkey % 25),

@@ -40,8 +40,9 @@ SELECT n.n_name AS unit, r.r_name AS region, CAST(date_trunc('month', l.l_shipda
        l.l_discount AS rain, l.l_tax AS temp, l.l_quantity AS wet
 FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN nation n ON n.n_nationkey = s.s_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey"""
 
-HEADLINE = "SELECT doc_id AS id, trim(regexp_replace(array_to_string(list_slice(string_split(text, ' '), 1, 14), ' '), '[\\n\\r\\t]+', ' ', 'g')) AS title, source AS outlet, lang FROM documents WHERE text IS NOT NULL"
-HEADLINE_SPARK = "SELECT doc_id AS id, trim(regexp_replace(array_join(slice(split(text, ' '), 1, 14), ' '), '[\\\\n\\\\r\\\\t]+', ' ')) AS title, source AS outlet, lang FROM documents WHERE text IS NOT NULL"
+#: Whole texts as titles: each line cut into runs of 14 words, as ``pieces`` does; and whole lines.
+LINE = "SELECT doc_id, line_no, list_filter(regexp_split_to_array(line, '[ \\t\\r]+'), lambda v: v <> '') ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) line_no FROM documents WHERE text IS NOT NULL)"
+HEADLINE = f"SELECT doc_id || ':' || line_no || ':' || piece AS id, array_to_string(ws[piece * 14 + 1:piece * 14 + 14], ' ') AS title FROM (SELECT doc_id, line_no, ws, unnest(range((len(ws) + 13) // 14)) piece FROM ({LINE}) WHERE len(ws) > 0)"
 
 CALENDAR = """
 SELECT o.o_orderkey AS id, CAST(o.o_orderdate AS DATE) AS d, n.n_name AS country
@@ -81,7 +82,13 @@ def unit_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql(spark, sf_dir, HEADLINE_SPARK)
+    """id, title: every run of words of the documents; id is document, line and run."""
+    return pieces(spark, sf_dir, "documents", ("doc_id",)).select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line_no").cast("string"), F.col("piece").cast("string")).alias("id"), "title")
+
+
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, line_no, title: every line of the documents, whole."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("line_no", "title"))
 
 
 def pieces(spark: SparkSession, sf_dir: str, name: str, keys: tuple[str, ...], where: str = "true", words: int = 14) -> DataFrame:

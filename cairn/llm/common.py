@@ -33,14 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def saved(df: DataFrame, name: str = "step", compression: str = "snappy") -> DataFrame:
+#: Hashes don't compress; pages of the second version store them in as many bits as they have.
+HASHES = {"compression": "uncompressed", "parquet.writer.version": "v2"}
+
+
+def saved(df: DataFrame, name: str = "step", options: dict[str, str] | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: the lineage is cut and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairn-{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", compression).parquet(path)
+        df.write.options(**(options or {"compression": "snappy"})).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

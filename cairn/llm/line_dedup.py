@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import dropped, fresh, saved
+from cairn.llm.common import HASHES, dropped, fresh, saved
 
 K = 5
 T_NUM, T_DEN = 3, 4
@@ -64,7 +64,7 @@ def token_sets(docs: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, line_no of the lines that go. Rows of one doc_id are told apart by their text."""
     spark = docs.sparkSession
-    sets = saved(token_sets(docs).withColumn("n", F.size("toks")).withColumn("id", F.monotonically_increasing_id()), "tokens", "zstd")
+    sets = saved(token_sets(docs).withColumn("n", F.size("toks")).withColumn("id", F.monotonically_increasing_id()), "tokens", HASHES)
     lines = sets.where("full")
     # the first line of each name; all others of the name match it
     at = F.struct("doc_id", "text_key", "line_no")
@@ -90,7 +90,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     parts = [F.shiftright("n_pos", 32).cast("int").alias("n"), F.col("n_pos").bitwiseAND(0x7FFFFFFF).cast("int").alias("pos")]
     shared = saved(shared.join(firsts.select("name", "id", "at"), "name").select("key", "id", "at", *parts), "keys")
     named = saved(lines.select("doc_id", "text_key", "line_no", "name", "check"), "lines")
-    tokens = saved(_of(lines, shared.select("id").distinct()), "tokens", "zstd")
+    tokens = saved(_of(lines, shared.select("id").distinct()), "tokens", HASHES)
     dropped(sets)
 
     # each set against the earliest set of its buckets; those that match it are decided

@@ -4,7 +4,7 @@ A line's tokens are its distinct 5-word shingles (lower case; with fewer words,
 ones first: the count of their bucket among 65,536, over the whole corpus, gives the rank. Two sets of n and m tokens with Jaccard t or
 more share one of the first n - ceil(t n) + 1 tokens of each (prefix filter), their sizes differ by a factor of at most 1 / t (length
 filter), and the tokens that can still follow a shared one bound the overlap (positional filter). Pairs left over are verified on the
-whole sets: first each set against the earliest set of its buckets, then only those without a match against the rest, so many variants
+whole sets: first each set against the earliest set of its buckets then only those without a match against the rest, so many variants
 of one line cost a pair each. A line goes if an earlier line - lower doc_id, then lower line number - reaches the threshold; blank lines
 stay.
 
@@ -24,6 +24,8 @@ T_NUM, T_DEN = 3, 4
 BUCKETS = 1 << 16
 #: Bits of a token: two lines of 50 tokens have a false common one once in 7 billion pairs.
 TOKEN_BITS = 44
+#: Bits of a line's name among the keys: of two different lines that share a key, one in 17 trillion has the other's name and is not compared with it.
+NAME_BITS = 44
 #: A line is hot if more than one in so many lines are copies of it; less than so many names are broadcast (24 bytes each).
 HOT = 500_000
 #: Line ids that a join broadcasts (8 bytes each); more are joined by shuffling.
@@ -83,12 +85,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     prefix = F.slice(F.sort_array("places"), F.lit(1), F.col("n") - F.ceil(F.col("n") * T_NUM / T_DEN).cast("int") + 1)
     # size and position share a column: a line has fewer than 2**31 tokens
     keys = placed.select("name", "n", prefix.alias("prefix")).select("name", "n", F.posexplode_outer("prefix").alias("pos", "key"))
-    keys = keys.select("key", "name", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos")).alias("n_pos"))
+    # names of NAME_BITS: fewer bytes to shuffle; a set joins every first line of its short name, which verification tells apart
+    short = F.shiftrightunsigned("name", 64 - NAME_BITS).alias("name")
+    keys = keys.select("key", short, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos")).alias("n_pos"))
     in_key = Window.partitionBy("key")
     # a key that one set has alone links nothing; of the others one row per set stays
     shared = keys.withColumn("low", F.min("name").over(in_key)).withColumn("high", F.max("name").over(in_key)).where("low < high").select("key", "name", "n_pos").distinct()
     parts = [F.shiftright("n_pos", 32).cast("int").alias("n"), F.col("n_pos").bitwiseAND(0x7FFFFFFF).cast("int").alias("pos")]
-    shared = saved(shared.join(firsts.select("name", "id", "at"), "name").select("key", "id", "at", *parts), "keys")
+    shared = saved(shared.join(firsts.select(short, "id", "at"), "name").select("key", "id", "at", *parts), "keys")
     named = saved(lines.select("doc_id", "text_key", "line_no", "name", "check"), "lines")
     tokens = saved(_of(lines, shared.select("id").distinct()), "tokens", HASHES)
     dropped(sets)

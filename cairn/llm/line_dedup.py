@@ -4,8 +4,8 @@ A line's tokens are its distinct 5-word shingles (lower case; with fewer words,
 ones first: the count of their bucket among 65,536, over the whole corpus, gives the rank. Two sets of n and m tokens with Jaccard t or
 more share one of the first n - ceil(t n) + 1 tokens of each (prefix filter), their sizes differ by a factor of at most 1 / t (length
 filter), and the tokens that can still follow a shared one bound the overlap (positional filter). Pairs left over are verified on the
-whole sets: first each set against the earliest set of its buckets then only those without a match against the rest, so many variants
-of one line cost a pair each. A line goes if an earlier line - lower doc_id, then lower line number - reaches the threshold; blank lines
+whole sets: first each set against the earliest set of its buckets and the one before it, then only those without a match against the
+rest, so many variants of one line cost two pairs each. A line goes if an earlier line - lower doc_id, then lower line number - reaches the threshold; blank lines
 stay.
 
 Tokens are made once, per line, as TOKEN_BITS-bit hashes, and written. Names that more than one line in HOT has are few (less than HOT); only
@@ -97,9 +97,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     tokens = saved(_of(lines, shared.select("id").distinct()), "tokens", HASHES)
     dropped(sets)
 
-    # each set against the earliest set of its buckets; those that match it are decided
-    least = F.min(F.struct("at", "id", "n", "pos")).over(in_key)
-    first = shared.withColumn("b", least).where("b.id <> id").select(*_side("a"), *(F.col(f"b.{c}").alias(f"{c}_b") for c in ("id", "at", "n", "pos")))
+    # each set against the earliest set of its buckets and the one just before it; those that match one are decided
+    row = F.struct("at", "id", "n", "pos")
+    tries = F.array(F.min(row).over(in_key), F.lag(row).over(in_key.orderBy("at", "id")))
+    first = shared.withColumn("tries", tries).withColumn("b", F.explode("tries")).where("b.id <> id").select(*_side("a"), *(F.col(f"b.{c}").alias(f"{c}_b") for c in ("id", "at", "n", "pos")))
     tried = saved(first.where(_possible()).select("id_a", "id_b").distinct(), "pairs")
     near = saved(_matching(tried, tokens), "near")
     # the others against all earlier sets of their buckets, the one of most shared keys first

@@ -5,11 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import bpe, decontam, html, langid, line_dedup, media, ngram_join, packing, quality, sharding
+from cairn.llm import alignment, bpe, conversations, decontam, html, langid, line_dedup, media, ngram_join, packing, quality, sequence_packing, sharding
 from cairn.llm.common import table
 
-#: The vocabulary file.
-WORD_BPE = str(public_tokenizers.path("word_bpe_49k.json"))
+#: The vocabulary files.
+WORD_BPE, BYTE_BPE, PIECE_BPE = (str(public_tokenizers.path(name)) for name in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +54,20 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
+def op11_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence_packing.packing_digest(sequence_packing.pack_sequences(table(spark, sf_dir, "documents"), WORD_BPE))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_digest(alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE), BYTE_BPE, PIECE_BPE)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_sharding, op4_ngram_join, op5_token_pack, op6_media, op7_decontam, op8_html, op9_bpe, op10_langid)}
+    return {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_sharding, op4_ngram_join, op5_token_pack, op6_media, op7_decontam, op8_html, op9_bpe, op10_langid, op11_sequences, op12_conversations, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -56,6 +56,10 @@ def test_queries_run_on_whole_tables(spark, sf, name):
     out = queries.queries()[name](spark, sf)
     if name == "op7_decontam":
         assert out.count() > 0
+    elif name == "op11_sequences":
+        assert out.agg({"length": "sum"}).first()[0] == out.where("start = 0").agg({"doc_tokens": "sum"}).first()[0]
+    elif name == "op12_conversations":
+        assert out.count() == spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").distinct().count()
     else:
         assert out.count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
 
@@ -63,4 +67,4 @@ def test_queries_run_on_whole_tables(spark, sf, name):
 def test_registered(spark):
     import __spark_entry__ as e
 
-    assert {f"op{i}" for i in range(1, 11)} <= {n.split("_")[0] for n in e.queries()} and "pipeline" in e.queries()
+    assert {f"op{i}" for i in range(1, 14)} <= {n.split("_")[0] for n in e.queries()} and "pipeline" in e.queries()

@@ -34,7 +34,7 @@ LANE, SEARCH = 256, 64
 #: parted there; white space of other kinds stays inside a part.
 CHUNK = re.compile(r"\s*\S*(?:[^\S \n]\s*\S*)*")
 #: Bytes that a worker's memo of parts may take, about, and what a part takes besides its text and ids.
-MEMO_BYTES, CHUNK_BYTES = 160 << 20, 250
+MEMO_BYTES, CHUNK_BYTES = 128 << 20, 250
 #: Characters of a short part, and how byte-level tokenizers cut words.
 SHORT, PATTERN = 1000, r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ALIGNED = "doc_id long, a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>"
@@ -65,17 +65,14 @@ class Pair:
         self.short = Encoding("a", pat_str=PATTERN, mergeable_ranks={self.a_bytes[i]: i for t, i in vocab.items() if t not in special}, special_tokens={})
         self.b_bytes = [self._piece(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.a_lens, self.b_lens = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.keys = self._linkable()
         self.clear()
-        # decimal ids with what follows them in the text of the groups
-        self.a_texts, self.b_texts = ([f"{i}{end}" for end in ends for i in range(n)] for ends, n in ((",|", len(self.a_bytes)), (",;", len(self.b_bytes))))
 
     @staticmethod
     def _piece(piece: str) -> bytes:
         found = re.fullmatch(r"<0x([0-9A-F]{2})>", piece)
         return bytes.fromhex(found[1]) if found else piece.replace("▁", " ").encode()
 
-    def _linkable(self) -> np.ndarray:
+    def linkable(self) -> np.ndarray:
         """Sorted keys (a, b) of which one's bytes end with the other's."""
         by_bytes: tuple[dict[bytes, list[int]], ...] = ({}, {})
         for side, tokens in zip(by_bytes, (self.a_bytes, self.b_bytes), strict=True):
@@ -130,6 +127,15 @@ class Pair:
             out.append(tuple(gather(*side, idx) for side in self.flat) if self.whole[idx].all() else (none, none))
         return out
 
+
+class Links:
+    """What reads aligned tokens without the tokenizers: the pairs of ids that can be linked, and ids as text."""
+
+    def __init__(self, n_a: int, n_b: int, keys: np.ndarray) -> None:
+        self.n_a, self.n_b, self.keys = n_a, n_b, keys
+        # decimal ids with what follows them in the text of the groups
+        self.a_texts, self.b_texts = ([f"{i}{end}" for end in ends for i in range(n)] for ends, n in ((",|", n_a), (",;", n_b)))
+
     def pair_numbers(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.keys, a.astype(np.int64) << 32 | b).astype(np.int32)
 
@@ -138,7 +144,7 @@ class Pair:
         if not len(a_cuts):
             return ""
         keys = [a.copy(), b.copy()]
-        for k, cuts, n in ((keys[0], a_cuts, len(self.a_bytes)), (keys[1], b_cuts, len(self.b_bytes))):
+        for k, cuts, n in ((keys[0], a_cuts, self.n_a), (keys[1], b_cuts, self.n_b)):
             k[cuts - 1] += n
         texts = np.empty(len(a) + len(b), object)
         # a token stands after all tokens of its side before it and the other side's in earlier groups (B: in its own, too)
@@ -233,8 +239,13 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return [values[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _links(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
-    pair = pair_of(a_path, b_path)
+@functools.lru_cache(2)
+def _links_of(n_a: int, n_b: int, keys: bytes) -> Links:
+    return Links(n_a, n_b, np.frombuffer(keys, "<i8"))
+
+
+def _links(batches: Iterator[pa.RecordBatch], sizes: tuple[int, int, bytes]) -> Iterator[pa.RecordBatch]:
+    pair = _links_of(*sizes)
     for batch in batches:
         n_a, n_b, n, groups, pairs = [], [], [], [], []
         for a, b, a_cuts, b_cuts in zip(*(_arrays(batch.column(i)) for i in range(1, 5)), strict=True):
@@ -247,8 +258,8 @@ def _links(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Itera
         yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(groups, pa.string()), pa.array(pairs, pa.binary())], [f.split()[0] for f in LINKED.split(", ")])
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(len(pair_of(a_path, b_path).keys), np.int64)
+def _pair_counts(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(n_keys, np.int64)
     for batch in batches:
         for pairs in batch.column(0).to_pylist():
             np.add.at(total, np.frombuffer(pairs, "<i4"), 1)
@@ -259,9 +270,11 @@ def _pair_counts(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) ->
 def link_digest(aligned: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of aligned documents."""
     spark = aligned.sparkSession
-    links = saved(aligned.mapInArrow(lambda batches: _links(batches, a_path, b_path), LINKED), "links", {"compression": "zstd"})
-    counts = links.select("pairs").mapInArrow(lambda batches: _pair_counts(batches, a_path, b_path), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    keys = Pair(a_path, b_path).keys
+    pair = Pair(a_path, b_path)
+    keys = pair.linkable()
+    sizes = spark.sparkContext.broadcast((len(pair.a_bytes), len(pair.b_bytes), keys.astype("<i8").tobytes()))
+    links = saved(aligned.mapInArrow(lambda batches: _links(batches, sizes.value), LINKED), "links", {"compression": "zstd"})
+    counts = links.select("pairs").mapInArrow(lambda batches, n=len(keys): _pair_counts(batches, n), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     total = np.zeros(len(keys), np.int64)
     for batch in counts.toArrow().to_batches():  # a row per pair that the vocabularies allow, at most
         total[batch.column(0).to_numpy()] = batch.column(1).to_numpy()

@@ -303,7 +303,8 @@ def plain_align(libraries, text):
     if not b"".join(a_bytes) == b"".join(b_bytes) == (" " + text).encode():
         return [], [], [], ""
     a_ends, b_ends = (list(itertools.accumulate(map(len, x))) for x in (a_bytes, b_bytes))
-    links = [(i, b_ends.index(e)) for i, e in enumerate(a_ends) if e in set(b_ends)]
+    at = {e: j for j, e in enumerate(b_ends)}
+    links = [(i, at[e]) for i, e in enumerate(a_ends) if e in at]
     groups, i, j = [], 0, 0
     for x, y in links:
         groups.append(",".join(map(str, a_ids[i : x + 1])) + "|" + ",".join(map(str, b_ids[j : y + 1])))
@@ -317,11 +318,12 @@ ODD = ["a ", "a  ", "a \n b", "a\n\n b\n", "\n", " ", "\ta\t b", "a b 　 c", "
 @needs_tokenizer
 def test_tokens_equal_the_libraries(libraries):
     pair, rng = alignment.Pair(BYTE_BPE, PIECE_BPE), random.Random(6)
+    links = alignment.Links(len(pair.a_bytes), len(pair.b_bytes), pair.linkable())
     texts = ODD + ["".join(rng.choice([" ", "\n", "a", "b1", "é", "\t", "▁", "'s", " ", ".", "日", "ing"]) for _ in range(40)) for _ in range(400)]
     for text, (a, b, a_cuts, b_cuts) in zip(texts, alignment.align_batch(pair, texts), strict=True):
         want = plain_align(libraries, text)
-        assert (a.tolist(), b.tolist(), list(zip((a_cuts - 1).tolist(), (b_cuts - 1).tolist(), strict=True)), pair.groups_text(a, b, a_cuts, b_cuts)) == want, text
-        assert np.array_equal(pair.keys[pair.pair_numbers(a[a_cuts - 1], b[b_cuts - 1])], a[a_cuts - 1].astype(np.int64) << 32 | b[b_cuts - 1])
+        assert (a.tolist(), b.tolist(), list(zip((a_cuts - 1).tolist(), (b_cuts - 1).tolist(), strict=True)), links.groups_text(a, b, a_cuts, b_cuts)) == want, text
+        assert np.array_equal(links.keys[links.pair_numbers(a[a_cuts - 1], b[b_cuts - 1])], a[a_cuts - 1].astype(np.int64) << 32 | b[b_cuts - 1])
 
 
 def test_lanes_change_nothing():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.plans import core
+from cairn.plans import core, titles  # noqa: F401 (the second registers its queries with the first)
 
 
 def queries() -> dict:

@@ -6,31 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.exprs import col, fold, haversine_km, magnitude
+from cairn.operators import headlines
 from cairn.operators.indices import _since
-from cairn.operators.text import SEED_RULES, classify, find_city, mentions, ngrams, title_severity, toll
-
-#: Seed patterns of reasons, in order; callers pass fuller vocabularies as data. Each list is first match wins.
-NOT_INCIDENT = (("retrospective", r"\b(anniversary|years? ago|years? after|in memory)\b"), ("weak quake", r"\bmagnitude [0-4](\.\d)?\b"), ("domestic accident", r"\b(house fire|car crash|road accident|drown(s|ed))\b"), ("judicial", r"\b(sentenced|trial|court|convicted|pleads)\b"), ("private", r"\b(celebrity|actor|singer|footballer)\b"), ("aftermath", r"\b(funeral|mourn|compensation|rebuild)\b"))
-ATTACK_OFF_TOPIC = (("animal", r"\b(dog|shark|bear|snake|bee) attacks?\b"), ("accident", r"\b(accidental|gas leak)\b"), ("threat", r"\b(threatens?|warns? of)\b"), ("off-topic", r"\b(heart attack|attacks? (?:policy|rival|critics))\b"), ("minor crime", r"\b(robbery|burglary|pickpocket)\b"))
-CONTEXT = (("arrest", r"\b(arrest(s|ed)?|detain(s|ed)?)\b"), ("foiled", r"\b(foil(s|ed)?|thwart(s|ed)?)\b"), ("statement", r"\b(condemns?|denounces?|calls for|says)\b"), ("analysis", r"\b(analysis|opinion|explainer|why)\b"), ("prevention", r"\b(drill|exercise|prepares?)\b"), ("military news", r"\b(deploys?|weapons deal|missile test)\b"), ("forecast", r"\b(forecast|expected to)\b"))
-
-
-def first_reason(title: Column | str, rules) -> Column:
-    """The name of the first rule whose pattern the folded title has, else null."""
-    t = fold(title)
-    return F.coalesce(*(F.when(t.rlike(p), n) for n, p in rules))
-
-
-def is_event(title: Column | str, rules=SEED_RULES) -> Column:
-    """Has a category and neither a reason against it nor one for mere context."""
-    cat = classify(title, rules)
-    off = F.when(cat.isin("attack", "terrorism"), first_reason(title, ATTACK_OFF_TOPIC))
-    return cat.isNotNull() & first_reason(title, NOT_INCIDENT).isNull() & first_reason(title, CONTEXT).isNull() & off.isNull()
+from cairn.operators.text import find_city, mentions, ngrams
 
 
 def judged_titles(titles: DataFrame) -> DataFrame:
-    """id, category, reason, context, toll, severity, event."""
-    return titles.select("id", classify("title").alias("category"), first_reason("title", NOT_INCIDENT).alias("reason"), first_reason("title", CONTEXT).alias("context"), toll("title").alias("toll"), title_severity("title").alias("severity"), is_event("title").alias("event"))
+    """id, category, reason, context, toll, severity, event by the small lexicon; ``headlines.judged`` takes the caller's."""
+    return headlines.judged(titles.select("id", "title"), *headlines.seed_rules()).select("id", "category", "reason", "context", "toll", "severity", "event")
 
 
 def press_groups(items: DataFrame) -> DataFrame:
@@ -71,7 +54,7 @@ def hidden_when_reliable(source: Column | str, letter: Column | str, outlets: Co
 
 def magnitude_spread(reports: DataFrame, least: float = 0.5) -> DataFrame:
     """id, low, high where the magnitudes of a record's reports(id, title) differ by ``least`` or more."""
-    x = reports.withColumn("_text", F.col("title")).withColumn("m", magnitude(F.col("_text")))
+    x = reports.withColumn("m", magnitude("title"))
     return x.where("m IS NOT NULL").groupBy("id").agg(F.min("m").alias("low"), F.max("m").alias("high")).where(F.round(F.col("high") - F.col("low"), 6) >= least)
 
 

@@ -12,8 +12,17 @@ from cairn.functions.exprs import col, fold
 #: Words that raise each category, in priority order, a seed of the full vocabulary that callers pass as data.
 SEED_RULES = (("terrorism", r"\b(terror|suicide bomb|jihad)"), ("armed_conflict", r"\b(airstrike|shelling|offensive|ceasefire)"), ("attack", r"\b(attack|gunm[ae]n|explosion|bomb|shot dead)"), ("unrest", r"\b(protest|riot|strike|clashes)"), ("earthquake", r"\b(earthquake|magnitude)"), ("flood", r"\b(flood|inondation)"), ("health", r"\b(outbreak|cholera|ebola)"), ("cyber", r"\b(cyber|ransomware)"))
 NOISE = r"\b(movie|film|match|football|anniversary|recipe)\b"
-LANGUAGE_HINTS = {"en": "the of and to in is that was", "fr": "le la les de des et un une est", "de": "der die das und ist ein zu den", "es": "el los las de que y en un una"}
-SCRIPTS = (("ru", r"[\x{0400}-\x{04FF}]"), ("ar", r"[\x{0600}-\x{06FF}]"), ("he", r"[\x{0590}-\x{05FF}]"), ("hi", r"[\x{0900}-\x{097F}]"), ("ja", r"[\x{3040}-\x{30FF}]"), ("zh", r"[\x{4E00}-\x{9FFF}]"), ("ko", r"[\x{AC00}-\x{D7AF}]"), ("el", r"[\x{0370}-\x{03FF}]"))
+LANGUAGE_HINTS = {
+    "en": "the of and to in is that was with for from says after over", "fr": "le la les de des et un une est dans pour avec sur qui", "de": "der die das und ist ein zu den mit von nach bei auf", "es": "el los las de que y en un una con por para del",
+    "pt": "o os as de que e em um uma com por para do da nao", "it": "il lo gli di che e in un una con per del della", "tr": "ve bir bu icin ile de da olarak", "id": "yang dan di ke dari untuk dengan pada", "pl": "i w na z do nie sie jest od", "nl": "de het een van en in op met voor",
+}
+#: Letters that speak for a language.
+LETTER_HINTS = {"fr": "èêùœ", "de": "äöüß", "es": "ñ¿¡", "pt": "ãõ", "tr": "ğış", "pl": "ąęłńśźż"}
+#: Scripts in the order in which they are asked; where a script has several languages, letters that only one of them has.
+SCRIPTS = (
+    ("he", r"[\x{0590}-\x{05FF}]"), ("ur", r"[ٹڈڑںےۓ]"), ("fa", r"[پچژگکی]"), ("ar", r"[\x{0600}-\x{06FF}]"), ("uk", r"[іїєґІЇЄҐ]"), ("ru", r"[\x{0400}-\x{04FF}]"), ("th", r"[\x{0E00}-\x{0E7F}]"), ("ja", r"[\x{3040}-\x{30FF}]"), ("ko", r"[\x{AC00}-\x{D7AF}]"), ("zh", r"[\x{4E00}-\x{9FFF}]"),
+    ("am", r"[\x{1200}-\x{137F}]"), ("bn", r"[\x{0980}-\x{09FF}]"), ("hi", r"[\x{0900}-\x{097F}]"), ("el", r"[\x{0370}-\x{03FF}]"), ("ka", r"[\x{10A0}-\x{10FF}]"), ("hy", r"[\x{0530}-\x{058F}]"), ("ta", r"[\x{0B80}-\x{0BFF}]"), ("my", r"[\x{1000}-\x{109F}]"), ("km", r"[\x{1780}-\x{17FF}]"),
+)
 
 
 def classify(title: Column | str, rules=SEED_RULES, noise: str = NOISE) -> Column:
@@ -22,11 +31,51 @@ def classify(title: Column | str, rules=SEED_RULES, noise: str = NOISE) -> Colum
     return F.when(~t.rlike(noise), F.coalesce(*(F.when(t.rlike(p), c) for c, p in rules)))
 
 
+#: Numbers in words; words for dead, for dead or hurt, and for what a number counts instead (ages and times).
+NUMBER_WORDS = {
+    "one": 1, "un": 1, "una": 1, "uno": 1, "une": 1, "um": 1, "uma": 1, "two": 2, "deux": 2, "dos": 2, "duas": 2, "dois": 2, "due": 2, "zwei": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "dozen": 12, "dozens": 24, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8,
+    "neuf": 9, "dix": 10, "dizaine": 10, "dizaines": 20, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9, "diez": 10, "decena": 10, "decenas": 20, "quatro": 4, "sete": 7, "oito": 8, "dez": 10, "tre": 3, "quattro": 4, "cinque": 5, "drei": 3, "vier": 4, "funf": 5, "sechs": 6, "zehn": 10,
+}
+DEAD = "dead|killed|die[ds]?|morts?|tues?|muertos?|muertas?|muertes|mueren|murieron|fallecid[oa]s|asesinad[oa]s|mortos?|morrem|morti|tote|olu"
+HURT = "dead|killed|die|morts?|tues?|blesses?|muertos?|muertas?|muertes|fallecid[oa]s?|heridos?|heridas?|lesionad[oa]s?|mortos?|feridos?|morti|feriti|tote|verletzte|olu|yarali|people|personnes|personas|pessoas|persone|menschen|victims?|victimes?|victimas?|injured|wounded|casualties"
+NOT_COUNTED = r"(?!\s*-?\s*(?:year|yr|ans?\b|anos|ano\b|jahr|yas|month|mois|meses))"
+KILLS = r"(?:kill(?:s|ed|ing)?|tue(?:nt)?|mata(?:m|n)?|uccide|totet)\s+(?:at least\s+|au moins\s+|al menos\s+|pelo menos\s+|almeno\s+|mindestens\s+)?(\d{1,5})"
+LEAVES = KILLS.replace("uccide|", "uccide|fait|deja|dejan|").replace("totet", "t[öo]tet")
+DEATHS = r"(\d{1,5})\s*(?:people\s+|personnes\s+|personas\s+|pessoas\s+|persone\s+|menschen\s+)?(?:dead|killed|die[ds]?|morts?|tués?|muertos|fallecidos|mortos|morti|tote|todesopfer|ölü)"
+
+
+def _counted(found: Column) -> Column:
+    """Numbers of an array of digits and number words; years count as none."""
+    words = F.create_map(*(F.lit(v) for kv in NUMBER_WORDS.items() for v in kv))
+    number = lambda x: F.coalesce(x.try_cast("int"), F.try_element_at(words, x), F.lit(0))
+    return F.transform(found, lambda x: F.when(number(x).between(1900, 2100), 0).otherwise(number(x)))
+
+
+def casualty_toll(folded: Column | str, dead_only: bool = False) -> Column:
+    """The highest toll in a folded text: dead, or dead and hurt added up; digits and number words; 0 without one.
+
+    A number counts if up to three words later a word for victims follows. Ages and years don't count.
+    """
+    t = col(folded)
+    every = lambda p: F.regexp_extract_all(t, F.lit("(?Ui)" + p), F.lit(1))
+    victims = _counted(every(r"(?<!\w)(\d{1,4}|" + "|".join(NUMBER_WORDS) + r")(?!\w)" + NOT_COUNTED + r"(?:\W+\w+){0,3}?\W+(?:" + (DEAD if dead_only else HURT) + ")"))
+    named = _counted(F.concat(every(r"(?:toll|bilan|saldo|balance)\D{0,25}?(\d{1,4})"), every(KILLS)))
+    best = F.coalesce(F.array_max(F.concat(victims, named)), F.lit(0))
+    if dead_only:
+        return best
+    both = t.rlike(r"(?U)(?:muert[oa]s?|killed|dead|mort|tue)\W+(?:\w+\W+){0,2}?(?:herid[oa]s?|lesionad[oa]s?|injured|wounded|blesse)")
+    return F.greatest(best, F.aggregate(victims, F.lit(0), lambda a, b: a + b), F.when(both, 2).otherwise(0))
+
+
+def death_count(title: Column | str) -> Column:
+    """The highest number of dead that a title states in digits; null without one."""
+    found = F.concat(*(F.regexp_extract_all(col(title), F.lit("(?Ui)" + p), F.lit(1)) for p in (DEATHS, LEAVES)))
+    return F.array_max(F.transform(found, lambda x: x.cast("int")))
+
+
 def toll(title: Column | str) -> Column:
-    """The highest number before killed, dead or injured words; years (1900 .. 2099) don't count; 0 without one."""
-    found = F.regexp_extract_all(fold(title), F.lit(r"\b(\d{1,4})\s+(?:people\s+)?(?:killed|dead|die|morts|muertos|tote|injured|wounded)"), 1)
-    numbers = F.filter(F.transform(found, lambda x: x.cast("int")), lambda n: ~n.between(1900, 2099))
-    return F.coalesce(F.array_max(numbers), F.lit(0))
+    """``casualty_toll`` of a title."""
+    return F.coalesce(casualty_toll(fold(title)), F.lit(0))
 
 
 def title_severity(title: Column | str, base: Column | int = 2) -> Column:
@@ -35,14 +84,22 @@ def title_severity(title: Column | str, base: Column | int = 2) -> Column:
     return F.when(n >= 50, 4).when(n >= 10, F.greatest(F.lit(3), F.lit(base) if isinstance(base, int) else base)).otherwise(base)
 
 
-def guess_language(text: Column | str, hints: dict[str, str] = LANGUAGE_HINTS) -> Column:
-    """By script first, else by the most stop words, a strict winner; null otherwise."""
-    c = col(text)
-    words = F.split(F.lower(c), r"[^\p{L}]+")
-    votes = [F.struct(F.size(F.filter(words, _in(h.split()))).alias("n"), F.lit(k).alias("lang")) for k, h in hints.items()]
+def guess_language(text: Column | str, hints: dict[str, str] = LANGUAGE_HINTS, letters: dict[str, str] = LETTER_HINTS) -> Column:
+    """By script first, else by votes: a stop word counts 1, 2 beyond three letters; each of at most two letters of a language counts 2.
+
+    A strict winner with two votes in a text of three words or more; null otherwise. Languages are data: pass more of them as ``hints``.
+    """
+    low = F.lower(col(text))
+    words = F.filter(F.split(low, r"[^\p{L}]+"), lambda w: w != "")
+    counted = lambda ws, n: F.size(F.filter(words, lambda w: w.isin([x for x in ws.split() if (len(x) > 3) == (n == 2)]))) * n
+    marks = lambda k: F.least(F.lit(2), F.regexp_count(low, F.lit(f"[{letters[k]}]"))) * 2 if k in letters else F.lit(0)
+    votes = [F.struct((counted(h, 1) + counted(h, 2) + marks(k)).alias("n"), F.lit(k).alias("lang")) for k, h in hints.items()]
     ranked = F.sort_array(F.array(*votes), asc=False)
-    voted = F.when((ranked[0]["n"] > 0) & (ranked[0]["n"] > ranked[1]["n"]), ranked[0]["lang"])
-    return reduce(lambda w, s: w.when(c.rlike(s[1]), s[0]), SCRIPTS[1:], F.when(c.rlike(SCRIPTS[0][1]), SCRIPTS[0][0])).otherwise(voted)
+    voted = F.when((F.size(words) >= 3) & (ranked[0]["n"] >= 2) & (ranked[0]["n"] > ranked[1]["n"]), ranked[0]["lang"])
+    scripts = [(k, p) for k, p in SCRIPTS]
+    arabic, cyrillic = dict(SCRIPTS)["ar"], dict(SCRIPTS)["ru"]
+    test = lambda k, p: col(text).rlike(p) & (col(text).rlike(arabic) if k in ("ur", "fa") else col(text).rlike(cyrillic) if k == "uk" else F.lit(True))
+    return reduce(lambda w, s: w.when(test(*s), s[0]), scripts[1:], F.when(test(*scripts[0]), scripts[0][0])).otherwise(voted)
 
 
 def page_titles(pages: DataFrame) -> DataFrame:

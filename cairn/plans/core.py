@@ -420,7 +420,7 @@ def calendar_overlaps(spark, d):
 
 STOPS = ", ".join(f"'{w}'" for w in sorted(set(STORY_STOP)))
 #: Whole texts as titles: tokens as in ``story_tokens``.
-TOKENS = f"""WITH headline AS ({HEADLINE}), tk AS (SELECT id, title, list_distinct_ordered FROM (SELECT id, title, list_filter(regexp_split_to_array(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžőű', 'aaaaaaceeeeiiiinoooooouuuuyyszou'), '[^a-z]+'), lambda x: length(x) >= 3 AND x NOT IN ({STOPS}))[1:14] ws,
+TOKENS = f"""WITH headline AS ({HEADLINE}), tk AS (SELECT id, title, list_distinct_ordered FROM (SELECT id, title, list_filter(regexp_split_to_array(lower(strip_accents(title)), '[^a-z]+'), lambda x: length(x) >= 3 AND x NOT IN ({STOPS}))[1:14] ws,
  list_filter(ws, lambda x, i: list_position(ws, x) = i) list_distinct_ordered FROM headline)), tt AS (SELECT id, unnest(list_distinct_ordered) "token" FROM tk), dfq AS (SELECT "token", count(*) df FROM tt GROUP BY 1)"""
 
 
@@ -450,7 +450,7 @@ def similar_titles(spark, d):
     return merging.similar_titles(tables.headlines(spark, d))
 
 
-@query(f"""WITH headline AS ({HEADLINE}), k AS (SELECT id, substr(trim(regexp_replace(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžőű', 'aaaaaaceeeeiiiinoooooouuuuyyszou'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), 1, 120) "key" FROM headline) SELECT "key", min(id) id, count(*) n FROM k WHERE "key" <> '' GROUP BY 1""")
+@query(f"""WITH headline AS ({HEADLINE}), k AS (SELECT id, substr(trim(regexp_replace(lower(strip_accents(title)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), 1, 120) "key" FROM headline) SELECT "key", min(id) id, count(*) n FROM k WHERE "key" <> '' GROUP BY 1""")
 def exact_titles(spark, d):
     return merging.exact_titles(tables.headlines(spark, d))
 
@@ -471,11 +471,6 @@ def page_domains(spark, d):
     return analytics.page_domains(spark.read.parquet(f"{d}/pages.parquet"))
 
 
-@query()
-def guessed_languages(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").groupBy("lang", text.guess_language("text").alias("guess")).count().withColumnRenamed("count", "n")
-
-
 GROUPS = WITH + """, pg AS (SELECT country, place, category, CAST(date AS DATE) "day", count(*) n, count(DISTINCT source) outlets, max(severity) severity, arg_min(id, (date, id)) first_id, arg_max(id, (date, id)) last_id FROM incident GROUP BY 1, 2, 3, 4)"""
 
 
@@ -503,7 +498,7 @@ def country_brief(spark, d):
     return press.country_brief(r, indices.stability_index(e, r, NOW), e, a, NOW).drop("stability")
 
 
-@query(f"""WITH headline AS (SELECT array_to_string(ws, ' ') title FROM ({LINE})), f AS (SELECT list_filter(regexp_split_to_array(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžőű', 'aaaaaaceeeeiiiinoooooouuuuyyszou'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') w FROM headline),
+@query(f"""WITH headline AS (SELECT array_to_string(ws, ' ') title FROM ({LINE})), f AS (SELECT list_filter(regexp_split_to_array(lower(strip_accents(title)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') w FROM headline),
 g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) gram FROM f) SELECT gram, count(*) n FROM g GROUP BY 1 HAVING count(*) >= 3""")
 def title_bigrams(spark, d):
     return text.ngrams(tables.document_lines(spark, d), 2).where("n = 2").groupBy("gram").agg(F.count("*").alias("n")).where("n >= 3")
@@ -554,12 +549,6 @@ def denials(spark, d):
     return x.select("event.*", "denial.conv_id", "denial.turn", F.col("denial.line_no").alias("said_line"), F.col("denial.piece").alias("said_piece"))
 
 
-@query()
-def judged_titles(spark, d):
-    t = tables.pieces(spark, d, "documents", ("doc_id",)).withColumn("id", F.struct("doc_id", "line_no", "piece"))
-    return press.judged_titles(t).select("id.*", "category", "reason", "context", "toll", "severity", "event")
-
-
 @query()
 def value_alert_sentences(spark, d):
     return press.crisis_sentence(merging.crises(tables.incidents(spark, d), NOW))

@@ -207,13 +207,15 @@ def align_batch(pair: Pair, texts: list[str]) -> Iterator[tuple[np.ndarray, np.n
         yield tokens[k][0], tokens[k][1], a_at[i:j] - a_first[k] + 1, b_at[i:j] - b_first[k] + 1
 
 
-def _aligned(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str):
-    """(doc_ids, aligned rows) of about a block of text."""
+def aligned_batches(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
+    """Batches of ``ALIGNED``, each of about a block of text, from batches of (doc_id, text)."""
     pair = pair_of(a_path, b_path)
     for batch in batches:
         texts = batch.column(1)
         for i, j in byte_blocks(texts):
-            yield pair, batch.column(0).slice(i, j - i), align_batch(pair, [t or "" for t in texts.slice(i, j - i).to_pylist()])
+            columns = zip(*align_batch(pair, [t or "" for t in texts.slice(i, j - i).to_pylist()]), strict=True)
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c).astype(np.int32))) for c in columns]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *lists], ["doc_id", "a_ids", "b_ids", "a_cuts", "b_cuts"])
 
 
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -221,14 +223,7 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     Null and empty texts, and texts that a tokenizer changes, have no tokens. Repeated rows are kept; other columns are not read.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, doc_ids, rows in _aligned(batches, a_path, b_path):
-            columns = zip(*rows, strict=True)
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, c)]), pa.int32()), pa.array(np.concatenate(c).astype(np.int32))) for c in columns]
-            yield pa.RecordBatch.from_arrays([doc_ids, *lists], ["doc_id", "a_ids", "b_ids", "a_cuts", "b_cuts"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, ALIGNED)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: aligned_batches(batches, a_path, b_path), ALIGNED)
 
 
 LINKED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary"
@@ -267,13 +262,16 @@ def _pair_counts(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["pair", "n"])
 
 
-def link_digest(aligned: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of aligned documents."""
-    spark = aligned.sparkSession
+def link_digest(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of documents, from what ``align`` gives for them.
+
+    Both read the same batches; here they stay in the worker that made them, as tokens take several times the room of their text.
+    """
+    spark = docs.sparkSession
     pair = Pair(a_path, b_path)
     keys = pair.linkable()
     sizes = spark.sparkContext.broadcast((len(pair.a_bytes), len(pair.b_bytes), keys.astype("<i8").tobytes()))
-    links = saved(aligned.mapInArrow(lambda batches: _links(batches, sizes.value), LINKED), "links", {"compression": "zstd"})
+    links = saved(docs.select("doc_id", "text").mapInArrow(lambda batches: _links(aligned_batches(batches, a_path, b_path), sizes.value), LINKED), "links", {"compression": "zstd"})
     counts = links.select("pairs").mapInArrow(lambda batches, n=len(keys): _pair_counts(batches, n), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     total = np.zeros(len(keys), np.int64)
     for batch in counts.toArrow().to_batches():  # a row per pair that the vocabularies allow, at most

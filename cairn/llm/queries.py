@@ -63,7 +63,7 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.link_digest(alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE), BYTE_BPE, PIECE_BPE)
+    return alignment.link_digest(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
 
 
 def queries() -> dict:

@@ -359,6 +359,11 @@ def test_link_digest(spark, docs, none, libraries):
         best = sum(n == most[b[j]] for n, (_, j) in zip(linked, links, strict=True))
         want[doc_id, len(a), len(b), len(links), len(links), best, sum(linked), hashlib.sha256(groups.encode()).hexdigest() if groups else ""] += 1
     columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    digest = lambda df: alignment.link_digest(alignment.align(df, BYTE_BPE, PIECE_BPE), BYTE_BPE, PIECE_BPE)
+    digest = lambda df: alignment.link_digest(df, BYTE_BPE, PIECE_BPE)
+    aligned = {r.doc_id: r for r in alignment.align(more, BYTE_BPE, PIECE_BPE).collect()}
+    for doc_id, a, b, links, _ in rows:
+        if doc_id in aligned:
+            r = aligned[doc_id]
+            assert (r.a_ids, r.b_ids, list(zip(r.a_cuts, r.b_cuts, strict=True))) == (a, b, [(i + 1, j + 1) for i, j in links])
     assert Counter(map(tuple, digest(table).select(*columns).collect())) == want
     assert digest(none).count() == 0

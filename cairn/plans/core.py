@@ -239,17 +239,6 @@ def crises(spark, d):
     return merging.crises(tables.incidents(spark, d), NOW)
 
 
-@query(WITH_MIXED + f""", f AS (SELECT *, CASE category WHEN 'attack' THEN 'violence' ELSE category END fam, CASE category WHEN 'attack' THEN 20 WHEN 'unrest' THEN 15 WHEN 'flood' THEN 150 ELSE 100 END r, CASE category WHEN 'flood' THEN 96 WHEN 'earthquake' THEN 3 ELSE 24 END h FROM incident WHERE category <> 'cyber')
-SELECT a.id a, b.id b, a.fam, round({KM('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 3) dist FROM f a JOIN f b ON a.fam = b.fam AND a.nation_key = b.nation_key AND a.id < b.id AND a.source <> b.source AND abs(epoch_us(a.date) - epoch_us(b.date)) <= a.h * 3600000000 AND {KM('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= a.r""")
-def duplicate_pairs(spark, d):
-    return merging.duplicate_pairs(tables.mixed_incidents(spark, d))
-
-
-@query()
-def greedy_duplicates(spark, d):
-    return merging.greedy_duplicates(tables.mixed_incidents(spark, d))
-
-
 SENSOR = f""", r AS (SELECT * FROM incident WHERE category = 'earthquake' AND source NOT IN ('USGS', 'EMSC', 'GDACS', 'WHO')),
 o AS (SELECT * FROM incident WHERE category = 'earthquake' AND source IN ('USGS', 'EMSC', 'GDACS')),
 x AS (SELECT r.id report, o.id official, round({KM('r.lat', 'r.lon', 'o.lat', 'o.lon')}, 6) km FROM r JOIN o ON (epoch_us(r.date) - epoch_us(o.date)) / 3600000000.0 BETWEEN -6 AND 72 WHERE {KM('r.lat', 'r.lon', 'o.lat', 'o.lon')} <= 300),

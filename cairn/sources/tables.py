@@ -24,6 +24,18 @@ FROM events e JOIN nation n ON n.n_nationkey = e.user_id % 25 JOIN region r ON r
 #: The same with sources dealt by event, so that all sources report on each country.
 MIXED = INCIDENT.replace("CASE e.user_id % 5 WHEN 0", "CASE e.event_id % 5 WHEN 0").replace("e.user_id % 5 IN (1, 2)", "e.event_id % 5 IN (1, 2)")
 
+#: With every family of duplicates, titles of a few words, headlines that machine-coded rows mostly have, and what a merged record needs.
+TOLD = f"""
+SELECT i.id, i.date, i.country AS country_name, i.country, i.severity, i.lat, i.lon, i.confidence,
+       CASE i.id % 5 WHEN 0 THEN 'USGS' WHEN 1 THEN 'GDELT' WHEN 2 THEN 'Press' WHEN 3 THEN 'GDACS' ELSE 'NWS' END AS source,
+       CASE i.category WHEN 'attack' THEN CASE (i.id * 7) % 4 WHEN 0 THEN 'attack' WHEN 1 THEN 'terrorism' WHEN 2 THEN 'armed_conflict' ELSE 'crime' END WHEN 'unrest' THEN 'unrest'
+            WHEN 'flood' THEN CASE (i.id * 7) % 4 WHEN 0 THEN 'flood' WHEN 1 THEN 'storm' WHEN 2 THEN 'cyclone' ELSE 'landslide' END
+            WHEN 'earthquake' THEN CASE (i.id * 7) % 4 WHEN 0 THEN 'earthquake' WHEN 1 THEN 'volcano' WHEN 2 THEN 'wildfire' ELSE 'health' END ELSE CASE (i.id * 7) % 4 WHEN 0 THEN 'drought' ELSE 'cyber' END END AS category,
+       concat('Place ', CASE i.id % 3 WHEN 0 THEN 'Alba' WHEN 1 THEN 'Bor' ELSE 'Céleste' END) AS place,
+       concat(CASE (i.id * 3) % 4 WHEN 0 THEN 'Gunmen' WHEN 1 THEN 'Police' WHEN 2 THEN 'Crowd' ELSE 'Alba' END, CASE WHEN i.id % 5 = 4 THEN ' – ' ELSE ' ' END, CASE (i.id * 11) % 6 WHEN 0 THEN 'near church' WHEN 1 THEN 'at market' WHEN 2 THEN 'in école' WHEN 3 THEN 'on bridge' WHEN 4 THEN 'by station' ELSE 'close to airport' END, CASE (i.id * 13) % 3 WHEN 0 THEN ' wounded' WHEN 1 THEN ' evacuated' ELSE ' blocked' END) AS title,
+       CASE WHEN i.id % 5 = 1 AND i.id % 4 > 0 THEN concat(CASE (i.id * 3) % 4 WHEN 0 THEN 'Police' WHEN 1 THEN 'Gunmen' WHEN 2 THEN 'Crowd' ELSE 'Eastern Alba' END, ' ', CASE (i.id * 11) % 5 WHEN 0 THEN 'church' WHEN 1 THEN 'market' WHEN 2 THEN 'école' WHEN 3 THEN 'bridge' ELSE 'airport' END, CASE (i.id * 17) % 2 WHEN 0 THEN ' wounded' ELSE ' evacuated' END) END AS headline
+FROM ({INCIDENT}) i"""
+
 ADVISORY = """
 SELECT n.n_name AS country, CASE s.s_suppkey % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END AS source, CAST(max(1 + s.s_suppkey % 4) AS INT) AS level, 4 AS scale
 FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey GROUP BY 1, 2"""
@@ -69,6 +81,10 @@ def mixed_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, MIXED)
 
 
+def told_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, sf_dir, TOLD)
+
+
 def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, ADVISORY)
 

@@ -154,12 +154,6 @@ def test_sensor_window(spark):
             assert sorted(r.id for r in merging.unconfirmed_quakes(x, m).collect()) == [2, 4, 6]
 
 
-def test_greedy_duplicates(spark):
-    x = incident(spark, [ev(1, 1, source="GDELT"), ev(2, 2, source="Press"), ev(3, 3, source="WHO"), ev(4, 1, source="GDELT", lat=12.7)])
-    got = dict(rows(merging.greedy_duplicates(x)))
-    assert got == {3: 3, 2: 3, 1: 3, 4: 4}
-
-
 def test_denials(spark):
     e = spark.createDataFrame([(1, "army base stormed near capital", T)], "id long, title string, date timestamp")
     c = spark.createDataFrame([(7, "army denies base stormed near capital", T), (8, "weather stays fine", T)], "id long, title string, date timestamp")

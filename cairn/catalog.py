@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.plans import core, duplicates, titles  # noqa: F401 (these register their queries with the first)
+from cairn.plans import core, duplicates, titles, watch  # noqa: F401 (these register their queries with the first)
 
 
 def queries() -> dict:

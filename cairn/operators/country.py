@@ -6,22 +6,94 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.exprs import fold, ladder
+from cairn.operators.geo import within_radius
 from cairn.operators.indices import _since
 
-MATRIX = {"conflict": ("attack",), "unrest": ("unrest",), "hazards": ("flood", "earthquake"), "cyber": ("cyber",)}
+#: Rows of the risk matrix and their categories; levels by incidents of 90 days, by political stability and by homicides.
+MATRIX = {
+    "terrorism": ("terrorism",), "conflict": ("armed_conflict",), "attack": ("attack",), "unrest": ("unrest",), "political": ("political",), "crime": ("crime",), "cyber": ("cyber", "infrastructure"),
+    "natural": ("earthquake", "cyclone", "storm", "flood", "wildfire", "volcano", "drought", "landslide", "extreme_temp"), "health": ("health",),
+}
+INCIDENT_LEVELS, HOMICIDE_LEVELS = [(60, 5), (20, 4), (5, 3), (1, 2)], [(20, 5), (10, 4), (5, 3), (2, 2)]
+STABILITY_LEVELS = [(70, 1), (50, 2), (30, 3), (15, 4)]
 
 
-def risk_matrix(incidents: DataFrame, advisories: DataFrame, now: str) -> DataFrame:
-    """country, row, n, level 1 .. 5 by counts of 30 days, a bump for a top advisory, and the week against the usual one."""
+def risk_matrix(incidents: DataFrame, advisories: DataFrame, now: str, indicators: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """country, row, level 1 .. 5, h24, h72, d7, d90, trend (-1, 0, 1), basis: nine rows for each country of any side.
+
+    The level comes from the incidents of 90 days. It rises by what is known of the country: advisories(country, level, and maybe reasons, an array),
+    indicators(country, stability, homicide), facts(country, terrorist_groups, natural_hazards). ``basis`` names what spoke for the level. A week
+    of over half more than usual, or under half, is a trend from three incidents on.
+    """
     rows = F.create_map(*(x for k, v in MATRIX.items() for c in v for x in (F.lit(c), F.lit(k))))[F.col("category")]
-    x = incidents.where(F.col("date") >= _since(now, 30)).withColumn("row", rows).where("row IS NOT NULL")
-    week = F.col("date") >= _since(now, 7)
-    g = x.groupBy("country", "row").agg(F.count("*").alias("n"), F.count_if(F.col("severity") >= 3).alias("severe"), F.count_if(week).alias("week"), F.count_if(~week).alias("before"))
-    top = advisories.groupBy("country").agg(F.max("level").alias("advice"))
-    g = g.join(top, "country", "left").withColumn("base", ladder("severe", [(40, 5), (20, 4), (8, 3), (2, 2)], 1))
-    level = F.least(F.lit(5), F.greatest("base", F.when((F.col("row") == "conflict") & (F.col("advice") >= 4), 4).otherwise(1)))
-    usual = F.col("before") / 23 * 7
-    return g.select("country", "row", "n", level.alias("level"), F.when(F.col("week") >= 1.3 * usual, "up").when(F.col("week") <= 0.7 * usual, "down").otherwise("flat").alias("trend"))
+    within = lambda days: F.count_if(F.col("date") >= _since(now, days))
+    counted = incidents.where(F.col("country").isNotNull() & (F.col("date") >= _since(now, 90))).withColumn("row", rows).where("row IS NOT NULL")
+    counted = counted.groupBy("country", "row").agg(within(1).alias("h24"), within(3).alias("h72"), within(7).alias("d7"), F.count("*").alias("d90"))
+    reasons = F.flatten(F.collect_list("reasons")) if "reasons" in advisories.columns else F.array().cast("array<string>")
+    adv = advisories.groupBy("country").agg(F.max("level").alias("adv"), F.array_distinct(reasons).alias("said"))
+    countries = incidents.select("country").unionByName(adv.select("country"))
+    sides = [adv]
+    for side, columns in ((indicators, ("stability", "homicide")), (facts, ("terrorist_groups", "natural_hazards"))):
+        if side is not None:
+            one = side.groupBy("country").agg(*(F.max(c).alias(c) for c in columns))
+            countries = countries.unionByName(one.select("country"))
+            sides.append(one)
+    x = countries.where("country IS NOT NULL").distinct().withColumn("row", F.explode(F.array(*map(F.lit, MATRIX)))).join(counted, ["country", "row"], "left").na.fill(0, ["h24", "h72", "d7", "d90"])
+    for side in sides:
+        x = x.join(side, "country", "left")
+    has = lambda c: F.col(c) if c in x.columns else F.lit(None)
+    row, top = F.col("row"), F.coalesce(F.col("adv"), F.lit(0)) >= 4
+    cited = lambda r: F.coalesce(F.array_contains("said", r), F.lit(False))
+    raised = [
+        ((row == "terrorism") & F.coalesce(has("terrorist_groups").cast("boolean"), F.lit(False)), F.when(top, 4).otherwise(3), "terrorist groups"), ((row == "terrorism") & cited("terrorism"), F.lit(3), "terrorism cited"), ((row == "conflict") & top, F.lit(4), "do not travel"), ((row == "attack") & cited("kidnapping"), F.when(top, 5).otherwise(4), "kidnapping cited"),
+        ((row == "unrest") & cited("unrest"), F.lit(3), "unrest cited"), ((row == "political") & has("stability").isNotNull(), ladder(has("stability").cast("double"), STABILITY_LEVELS, 5), "political stability"), ((row == "crime") & has("homicide").isNotNull(), ladder(has("homicide").cast("double"), HOMICIDE_LEVELS, 1), "homicides"),
+        ((row == "crime") & cited("crime"), F.lit(3), "crime cited"), ((row == "natural") & F.coalesce(has("natural_hazards").cast("boolean"), F.lit(False)), F.lit(2), "known hazards"), ((row == "natural") & cited("natural"), F.lit(3), "natural hazards cited"), (row == "cyber", F.lit(2), "global threat"), ((row == "health") & cited("health"), F.lit(3), "health care cited"), (F.col("d90") > 0, F.lit(1), "incidents"),
+    ]
+    level = F.least(F.lit(5), F.greatest(ladder("d90", INCIDENT_LEVELS, 1), *(F.when(test, to).otherwise(1) for test, to, _ in raised)))
+    basis = F.array_join(F.array_compact(F.array(*(F.when(test, name) for test, _, name in raised))), ", ")
+    usual = F.col("d90") / 13
+    trend = F.when(F.col("d90") < 3, 0).when(F.col("d7") > usual * 1.5, 1).when(F.col("d7") < usual * 0.5, -1).otherwise(0)
+    return x.select("country", "row", level.cast("int").alias("level"), "h24", "h72", "d7", "d90", trend.alias("trend"), basis.alias("basis"))
+
+
+def by_country_name(names: DataFrame, countries: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``names`` with country: aliases(alias, country) first, then countries(name, country), both folded to letters and digits. A name that stands for several
+    countries takes the least; unknown and missing names have none."""
+    key = lambda c: F.trim(F.regexp_replace(fold(c), "[^a-z0-9]+", " "))
+    known = aliases.select(key("alias").alias("_key"), F.lit(0).alias("_rank"), "country").unionByName(countries.select(key("name").alias("_key"), F.lit(1).alias("_rank"), "country"))
+    known = known.where("_key <> ''").groupBy("_key").agg(F.min(F.struct("_rank", "country"))["country"].alias("country"))
+    return names.drop("country").withColumn("_key", key("name")).join(known, "_key", "left").drop("_key")
+
+
+def city_rows(incidents: DataFrame, cities: DataFrame, best: int = 12, most: int = 4) -> DataFrame:
+    """city, rank, id, severity, date: of the ``best`` most severe (then earliest) incidents near a city, the ``most`` most severe (then latest).
+
+    Near is 40 km from five million people on, 30 km from a million on, else 20 km; cities(city, lat, lon, population)."""
+    radius = ladder("population", [(5_000_000, 40.0), (1_000_000, 30.0)], 20.0)
+    x = within_radius(incidents.select("id", "lat", "lon", "severity", "date"), cities.select("city", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"), radius.alias("radius_km")))
+    severity = F.coalesce("severity", F.lit(1))
+    first = Window.partitionBy("city").orderBy(severity.desc(), "date", "id")
+    x = x.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= best)
+    then = Window.partitionBy("city").orderBy(severity.desc(), F.desc("date"), "id")
+    return x.withColumn("rank", F.row_number().over(then)).where(F.col("rank") <= most).select("city", "rank", "id", "severity", "date")
+
+
+def capped_news(news: DataFrame, economy: DataFrame, now: str, news_days: int = 3, news_most: int = 800, economy_days: int = 30, per_country: int = 25) -> DataFrame:
+    """kind, id, country, date: the newest ``news_most`` news of the last days, and the newest ``per_country`` economy items of each country; ties by id."""
+    n = news.where(F.col("date") >= _since(now, news_days)).orderBy(F.desc("date"), "id").limit(news_most).select(F.lit("news").alias("kind"), "id", "country", "date")
+    w = Window.partitionBy("country").orderBy(F.desc("date"), "id")
+    e = economy.where(F.col("date") >= _since(now, economy_days)).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_country)
+    return n.unionByName(e.select(F.lit("economy").alias("kind"), "id", "country", "date"))
+
+
+def missing_documents(required: DataFrame, accepted: DataFrame, users: DataFrame) -> DataFrame:
+    """user, doc, version of required(kind, doc, version) that users(user, kind) haven't accepted in that version."""
+    return users.join(required, "kind").join(accepted.select("user", "doc", "version"), ["user", "doc", "version"], "left_anti").select("user", "doc", "version")
+
+
+def not_yet_loaded(archive: DataFrame, present: DataFrame) -> DataFrame:
+    """Rows of an archive whose ids aren't present, each id once, marked as history."""
+    return archive.dropDuplicates(["id"]).join(present.select("id"), "id", "left_anti").withColumn("hist", F.lit(True))
 
 
 def calendar_overlaps(calendar: DataFrame, stays: DataFrame, before: int = 2, after: int = 2) -> DataFrame:

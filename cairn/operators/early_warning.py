@@ -2,21 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.exprs import ladder, month_index
+from cairn.functions.exprs import fold, ladder, month_index
+from cairn.operators.geo import locate
 
 FAMILIES = ("sec", "res", "unrest", "pol", "haz", "infra", "health")
 
 
-def monthly_counts(rows: DataFrame) -> DataFrame:
-    """unit, month and a counter per family of rows(unit, month, flag, status): each row counts once."""
-    flag, status = F.col("flag"), F.col("status")
-    return rows.groupBy("unit", "month").agg(
-        F.count_if(flag == "R").alias("sec"), F.count_if((flag == "R") & (status == "O")).alias("res"), F.count_if(flag == "A").alias("unrest"), F.count_if((flag == "A") & (status == "O")).alias("pol"),
-        F.count_if(flag == "N").alias("haz"), F.count_if((flag == "N") & (status == "O")).alias("infra"), F.count_if((flag == "N") & (status == "F")).alias("health"),
-    )
+#: Family of each category; least severity of a family; words for land, water and herds.
+CATEGORY_FAMILY = {
+    "terrorism": "sec", "armed_conflict": "sec", "attack": "sec", "crime": "sec", "unrest": "unrest", "political": "pol", "earthquake": "haz", "cyclone": "haz", "storm": "haz", "flood": "haz", "wildfire": "haz", "volcano": "haz", "drought": "haz", "landslide": "haz", "extreme_temp": "haz",
+    "infrastructure": "infra", "cyber": "infra", "health": "health",
+}
+LEAST_SEVERITY = {"haz": 2, "infra": 2, "health": 2}
+RESOURCE_WORDS = (
+    "pastoral", "herder", "herders", "farmer", "farmers", "cattle", "livestock", "grazing", "pasture", "water", "well", "wells", "land dispute", "land", "fishing", "fishermen", "transhumance", "camel", "cow", "cows", "goats", "rustling", "rustlers", "charcoal", "gold mine", "artisanal mining",
+    "eleveur", "eleveurs", "agriculteur", "agriculteurs", "cultivateur", "betail", "troupeau", "paturage", "point d'eau", "puits", "foncier", "terres", "pecheur", "pecheurs", "orpaillage", "orpailleur", "ganado", "agua", "tierra", "vol de betail", "cattle raid", "abigeato",
+)
+
+
+def is_resource(title: Column | str, words: tuple[str, ...] = RESOURCE_WORDS) -> Column:
+    """Whether a title has one of the words whole; a missing title has none."""
+    return F.coalesce(fold(title).rlike(r"(?<![a-z0-9_])(" + "|".join(re.escape(w) for w in words) + r")(?![a-z0-9_])"), F.lit(False))
+
+
+def family_rows(incidents: DataFrame, units: DataFrame, families: dict[str, str] = CATEGORY_FAMILY, least: dict[str, int] = LEAST_SEVERITY, words: tuple[str, ...] = RESOURCE_WORDS, subset: str = "sec") -> DataFrame:
+    """id, unit, month, family, n of incidents(id, category, severity, date, country, lat, lon, title) in units(unit, country, rings).
+
+    An incident counts once in its category's family, and in ``res`` too if it is of ``subset`` and its title names a resource. Incidents below the
+    family's least severity, without position or date, or outside all units of their country don't count; of rows with one id one counts.
+    """
+    family = F.create_map(*(F.lit(v) for kv in families.items() for v in kv))[F.col("category")]
+    floor = F.coalesce(F.create_map(*(F.lit(v) for kv in least.items() for v in kv))[F.col("family")], F.lit(0)) if least else F.lit(0)
+    title = F.col("title") if "title" in incidents.columns else F.lit(None).cast("string")
+    x = incidents.select("id", "country", "lat", "lon", "severity", family.alias("family"), F.trunc(F.col("date").cast("date"), "month").alias("month"), is_resource(title, words).alias("res"))
+    x = x.where("family IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL AND month IS NOT NULL").where(F.coalesce("severity", F.lit(0)) >= floor).dropDuplicates(["id"])
+    x = x.join(locate(x, units, "country"), "id")
+    both = F.when(F.col("res") & (F.col("family") == subset), F.array("family", F.lit("res"))).otherwise(F.array("family"))
+    return x.select("id", "unit", "month", F.explode(both).alias("family"), F.lit(1).alias("n"))
+
+
+def monthly_counts(rows: DataFrame, families: tuple[str, ...] = FAMILIES) -> DataFrame:
+    """unit, month and a counter per family of rows(unit, month, family), or of their sums where they have n."""
+    n = F.col("n") if "n" in rows.columns else F.lit(1)
+    return rows.groupBy("unit", "month").agg(*(F.sum(F.when(F.col("family") == f, n).otherwise(0)).cast("long").alias(f) for f in families))
 
 
 def filled_months(counts: DataFrame) -> DataFrame:
@@ -51,7 +84,7 @@ def trends(filled: DataFrame, columns: tuple[str, ...] = ("sec",)) -> DataFrame:
     return out
 
 
-def convergence(counts: DataFrame, climate: DataFrame, humanitarian: DataFrame | None = None, least_rain: float = 0.0) -> DataFrame:
+def convergence(counts: DataFrame, climate: DataFrame, humanitarian: DataFrame | None = None, least_rain: float = 30.0) -> DataFrame:
     """Index 0 .. 100 per unit and month: climate 30, conflict 30, society 15, hazards 10, humanitarian 15; without the last, scaled by 100 / 85.
 
     Values are taken as known in that month. Climate needs three complete months whose usual rain is above ``least_rain``."""
@@ -145,3 +178,18 @@ def validate_trends(trends_: DataFrame, sources: DataFrame, now: str) -> DataFra
         F.when(F.col("unknown") > 0, "unknown source"), F.when(F.col("low") > 0.5, "low grades"), F.when(F.col("reviewed") > F.lit(now).cast("date"), "review in the future"),
     )
     return x.select("trend_id", F.explode(F.array_compact(checks)).alias("error"))
+
+
+def score_history(scores: DataFrame, key: str = "trend_id", months: int = 12) -> DataFrame:
+    """The last ``months`` monthly scores of each ``key`` in scores(key, month, score), one per month: its last. Ranks are taken per key."""
+    w = Window.partitionBy(key).orderBy(F.desc("month"))
+    return scores.where("score IS NOT NULL AND month IS NOT NULL").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= months).select(key, "month", "score", "rank")
+
+
+def with_snapshot(history: DataFrame, scores: DataFrame, now: str, key: str = "trend_id", months: int = 36) -> DataFrame:
+    """history(key, month, score) with the scores of this month in place of what it had, and without what is older than its last ``months`` months."""
+    month = F.trunc(F.lit(now).cast("date"), "month")
+    kept = history.where(F.col("month") < month).select(key, "month", "score")
+    both = kept.unionByName(scores.select(key, month.alias("month"), "score"))
+    last = both.select("month").distinct().orderBy(F.desc("month")).limit(months).agg(F.min("month").alias("_first"))  # one row per month
+    return both.join(F.broadcast(last), F.col("month") >= F.col("_first")).drop("_first")

@@ -12,11 +12,12 @@ def _since(now: str, days: float):
     return F.lit(now).cast("timestamp") - F.expr(f"INTERVAL '{int(days * 24)}' HOUR")
 
 
-def country_risk(incidents: DataFrame, advisories: DataFrame, now: str, window_days: int = 7) -> DataFrame:
+def country_risk(incidents: DataFrame, advisories: DataFrame, now: str, window_days: int = 7, overrides: DataFrame | None = None) -> DataFrame:
     """Risk level 1 .. 5 per country from advisories and the last days' incidents.
 
     Diplomatic rows don't count; rows dated after ``now`` do (warnings may start later). Countries come from either side. Without
     advisories the score is divided by the remaining weights; a do-not-travel advisory makes the level 4 at least.
+    ``overrides(country, level)``: an analyst's level stands instead, for countries that have a row.
     """
     w = RISK_WEIGHTS
     recent = incidents.where(F.col("country").isNotNull() & (F.col("date") >= _since(now, window_days)) & (F.col("grp") != "diplomatic")).withColumn("w", event_weight()).withColumn("sec", F.col("grp").isin(*SECURITY_GROUPS))
@@ -31,9 +32,14 @@ def country_risk(incidents: DataFrame, advisories: DataFrame, now: str, window_d
     both = both.withColumn("raw", score)
     level = F.when(F.col("adv_max") >= 1, F.greatest(level_of("raw"), F.lit(4))).otherwise(level_of("raw"))
     zero = F.lit(0).cast("long")
+    set_by = F.lit(None).cast("int")
+    if overrides is not None:
+        both = both.join(overrides.groupBy("country").agg(F.max("level").cast("int").alias("_set")), "country", "left")
+        set_by = F.col("_set")
+    level = F.coalesce(set_by, level)
     return both.select(
         "country", level.cast("int").alias("level"), F.round("raw", 3).alias("score"), F.round("adv", 3).alias("advisories"), F.round("s", 3).alias("security"), F.round("h", 3).alias("hazards"),
-        F.coalesce("n_security", zero).alias("n_security"), F.coalesce("n_hazards", zero).alias("n_hazards"), F.when(F.col("adv").isNull(), "events-only").otherwise("advisories+events").alias("data_quality"),
+        F.coalesce("n_security", zero).alias("n_security"), F.coalesce("n_hazards", zero).alias("n_hazards"), F.when(set_by.isNotNull(), "analyst").when(F.col("adv").isNull(), "events-only").otherwise("advisories+events").alias("data_quality"),
     )
 
 

@@ -275,7 +275,7 @@ ix AS (SELECT *, 0 hu, CAST(least(100, round((cl + co + so + hz) * 100 / 85.0::D
 
 @query(MONTHS + " SELECT unit, \"month\", sec, res, unrest, pol, haz, infra, health FROM mc")
 def monthly_counts(spark, d):
-    return early_warning.monthly_counts(tables.unit_months(spark, d))
+    return early_warning.monthly_counts(tables.family_months(spark, d))
 
 
 NORMALS = [f"{m}{e}" for m in ("rain", "temp", "wet") for e in ("", "_avg", "_min", "_max")]
@@ -288,8 +288,8 @@ def climate_normals(spark, d):
 
 
 def _index(spark, d):
-    u = tables.unit_months(spark, d)
-    return early_warning.convergence(early_warning.monthly_counts(u), early_warning.climate_months(u))
+    counts, climate = early_warning.monthly_counts(tables.family_months(spark, d)), early_warning.climate_months(tables.unit_months(spark, d))
+    return early_warning.convergence(counts, climate, least_rain=0.0)  # rain of these tables is a share, not millimetres
 
 
 @query(INDEX + " SELECT * FROM lv")
@@ -386,13 +386,6 @@ def evaluation(spark, d):
     return quality.evaluate(tables.sql(spark, d, "SELECT l.quality = 1 AS expected, d.n_chars >= 200 AS predicted FROM documents d JOIN labels l ON l.doc_id = d.doc_id"))
 
 
-@query(WITH + f""", x AS (SELECT *, CASE category WHEN 'attack' THEN 'conflict' WHEN 'unrest' THEN 'unrest' WHEN 'cyber' THEN 'cyber' ELSE 'hazards' END AS row_, date >= {AT} - INTERVAL 7 DAY wk FROM incident WHERE date >= {AT} - INTERVAL 30 DAY),
-g AS (SELECT country, row_, count(*) n, count(*) FILTER (severity >= 3) sv, count(*) FILTER (wk) a, count(*) FILTER (NOT wk) b FROM x GROUP BY 1, 2), t AS (SELECT country, max(level) adv FROM advisory GROUP BY 1)
-SELECT country, row_ "row", n, greatest(CASE WHEN sv >= 40 THEN 5 WHEN sv >= 20 THEN 4 WHEN sv >= 8 THEN 3 WHEN sv >= 2 THEN 2 ELSE 1 END, CASE WHEN row_ = 'conflict' AND adv >= 4 THEN 4 ELSE 1 END) "level", CASE WHEN a >= 1.3::DOUBLE * (b / 23.0::DOUBLE * 7) THEN 'up' WHEN a <= 0.7::DOUBLE * (b / 23.0::DOUBLE * 7) THEN 'down' ELSE 'flat' END trend FROM g LEFT JOIN t USING (country)""")
-def risk_matrix(spark, d):
-    return country.risk_matrix(tables.incidents(spark, d), tables.advisories(spark, d), NOW)
-
-
 @query(WITH + f""" SELECT 'severity_24h' "section", CAST(severity AS VARCHAR) "key", count(*) n FROM incident WHERE date >= {AT} - INTERVAL 1 DAY GROUP BY 2 UNION ALL
 (SELECT 'hot_72h', country, count(*) n FROM incident WHERE date >= {AT} - INTERVAL 3 DAY AND severity >= 3 GROUP BY 2 ORDER BY n DESC, 2 LIMIT 5) UNION ALL SELECT 'week', category, count(*) FROM incident WHERE date >= {AT} - INTERVAL 7 DAY GROUP BY 2""")
 def digest(spark, d):

@@ -15,10 +15,19 @@ def merge_store(store: DataFrame, new: DataFrame, now: str, days: int = 95) -> D
 
 
 def write_archive(incidents: DataFrame, path: str, now: str, days: int = 30) -> DataFrame:
-    """Rows older than ``days`` by month, only the months present are replaced; returns month, n."""
+    """Rows older than ``days`` by month; months present are replaced, months no longer present are removed; returns month, n."""
+    spark = incidents.sparkSession
     old = incidents.where(F.col("date") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAY")).withColumn("month", F.date_format("date", "yyyy-MM"))
     old.repartition("month", F.pmod(F.xxhash64("id"), F.lit(32))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
-    return incidents.sparkSession.read.parquet(path).groupBy("month").count().withColumnRenamed("count", "n")
+    present = {r.month for r in old.select("month").distinct().collect()}  # a row per month
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder) if fs.exists(folder) else []:
+        name = status.getPath().getName()
+        if name.startswith("month=") and name[6:] not in present:
+            fs.delete(status.getPath(), True)
+    schema = old.drop("month").schema.add("month", "string")
+    return spark.read.schema(schema).parquet(path).groupBy("month").count().withColumnRenamed("count", "n")
 
 
 def geojson(incidents: DataFrame) -> DataFrame:

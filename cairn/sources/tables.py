@@ -115,5 +115,12 @@ def pieces(spark: SparkSession, sf_dir: str, name: str, keys: tuple[str, ...], w
     return t.withColumn("w", w).where("size(w) > 0").select(*keys, "line_no", F.posexplode(runs).alias("piece", "title"))
 
 
+def family_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """unit, month, family: what the flags of ``unit_months`` stand for as factor families, a row per family that a row counts in."""
+    flag, status = F.col("flag"), F.col("status")
+    told = (("sec", flag == "R"), ("res", (flag == "R") & (status == "O")), ("unrest", flag == "A"), ("pol", (flag == "A") & (status == "O")), ("haz", flag == "N"), ("infra", (flag == "N") & (status == "O")), ("health", (flag == "N") & (status == "F")))
+    return unit_months(spark, sf_dir).select("unit", "month", F.explode(F.array_compact(F.array(*(F.when(test, name) for name, test in told)))).alias("family"))
+
+
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, CALENDAR)

@@ -258,14 +258,19 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def predict(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, bits, rejected; fitted on the rows that are not held out."""
+    """doc_id, held_out, lang_pred, score, bits, rejected; fitted on the rows that are not held out. Rows without an id are neither."""
     model = fit(docs.where(bucket_of(F.col("doc_id"), 4) != 2))
-    return score(docs, model).select("doc_id", (bucket_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "bits", "rejected")
+    return score(docs, model).select("doc_id", F.coalesce(bucket_of(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits", "rejected")
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The rows that the model, fitted on all labelled ones, doesn't reject; each row is judged by its own text, and nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    """The rows that the model, fitted on all labelled ones, doesn't reject; each row is judged by its own text, and nothing is shuffled.
+
+    Without a labelled text no language is learnt and nothing can be rejected: all rows stay."""
+    model = fit(docs)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

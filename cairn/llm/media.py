@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import fresh
+
 #: Bytes of a payload unit; each is one sample of the track.
 UNIT = 192
 RATE = 8000
@@ -181,7 +183,9 @@ PROBED = "codec string, duration_s double, samples long, keyframes array<struct<
 
 
 def media_columns(df: DataFrame, column: str = "media") -> DataFrame:
-    """``df`` without the container, with codec, duration, samples and keyframe byte ranges of its first track (nulls if it has none)."""
+    """``df`` without the container, with codec, duration, samples and keyframe byte ranges of its first track (nulls if it has none).
+
+    Columns pass through; where the input has one of these names, the new one has underscores in front."""
     from pyspark.sql.pandas.functions import pandas_udf
 
     @pandas_udf(PROBED)
@@ -194,7 +198,9 @@ def media_columns(df: DataFrame, column: str = "media") -> DataFrame:
             rows.append((t["codec"], t["duration"] / t["timescale"] if t["timescale"] else None, t["samples"], [{"start": int(a), "end": int(b)} for a, b in t["keyframes"]]) if t else (None, None, None, None))
         return pd.DataFrame(rows, columns=["codec", "duration_s", "samples", "keyframes"])
 
-    return df.withColumn("_t", first_track(F.col(column))).select(*(c for c in df.columns if c != column), "_t.*")
+    held, names = fresh(df, "_t"), ("codec", "duration_s", "samples", "keyframes")
+    kept = [F.col(f"`{c}`") for c in df.columns if c != column]
+    return df.withColumn(held, first_track(F.col(column))).select(*kept, *(F.col(held)[n].alias(fresh(df, n)) for n in names))
 
 
 def media_digest(df: DataFrame) -> DataFrame:

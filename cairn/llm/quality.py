@@ -176,9 +176,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
     Learns from labels (quality 0 or 1; others and null are left out) of ids whose crc32 modulo 5 is not 0. Null and empty texts get the score of
-    an all-zero vector; equal texts get equal scores; without both classes every score is 0.5. An empty table gives no rows.
+    an all-zero vector; equal texts get equal scores; without both classes every score is 0.5. Rows without an id are not held out and have no label. An empty table gives no rows.
     """
-    held = bucket_of(F.col("doc_id"), 5) == 0
+    held = F.coalesce(bucket_of(F.col("doc_id"), 5) == 0, F.lit(False))
     x = saved(document_features(docs), "quality")
     known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("long").alias("y"))
     model = fit(x.where(~held).join(known, "doc_id").select("x", "y"))

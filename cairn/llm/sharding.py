@@ -16,6 +16,8 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.llm.common import fresh
+
 CELL_BITS = 16
 
 
@@ -61,23 +63,24 @@ def shard_rows(df: DataFrame, key: str, shards: int, vnodes: int = 100, order: t
     """``df`` with ``shard`` and ``slot`` (gapless from 0 in each shard).
 
     ``key`` places a row on the ring; ``order`` breaks ties between rows of one key so that slots repeat from run to run. Null keys
-    share one place. Repeated rows are rows: each gets its own slot. An empty table gives an empty result. Columns named ``_cell``,
-    ``_pos`` or ``_rank`` in the input are not allowed; others pass through.
+    share one place. Repeated rows are rows: each gets its own slot. An empty table gives an empty result. All columns pass through; where
+    the input has a ``shard`` or ``slot`` of its own, the new one has underscores in front.
     """
     if vnodes * shards > 1 << CELL_BITS:
         raise ValueError("more virtual nodes than cells")
     spark, cells = df.sparkSession, 1 << CELL_BITS
     nodes = spark.range(shards * vnodes).select(F.floor(F.col("id") / vnodes).cast("int").alias("shard"), F.pmod(F.shiftright(F.xxhash64(F.lit("node"), "id"), 20), F.lit(cells)).alias("h")).orderBy("id").collect()
     ring = place_vnodes([(r.shard, r.h) for r in nodes], cells)
-    placed = df.withColumn("_pos", F.xxhash64(F.lit("row"), F.col(key))).withColumn("_cell", F.shiftrightunsigned("_pos", 64 - CELL_BITS).cast("int"))
-    counts = {r["_cell"]: r["count"] for r in placed.groupBy("_cell").count().collect()}
-    table = spark.createDataFrame(allot(counts, ring, shards), "_c int, _from long, _to long, shard int, _slot long")
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy("_pos", key, *order)) - F.lit(1).cast("long"))
+    shard, slot, pos, cell, rank, at, low, high, base = (fresh(df, n) for n in ("shard", "slot", "_pos", "_cell", "_rank", "_c", "_from", "_to", "_slot"))
+    placed = df.withColumn(pos, F.xxhash64(F.lit("row"), F.col(key))).withColumn(cell, F.shiftrightunsigned(pos, 64 - CELL_BITS).cast("int"))
+    counts = {r[0]: r[1] for r in placed.groupBy(cell).count().collect()}
+    table = spark.createDataFrame(allot(counts, ring, shards), f"{at} int, {low} long, {high} long, {shard} int, {base} long")
+    ranked = placed.withColumn(rank, F.row_number().over(Window.partitionBy(cell).orderBy(pos, key, *order)) - F.lit(1).cast("long"))
     # cells + shards rows at most: each cell gives one range, and one more each time a shard fills up
     return (
-        ranked.join(F.broadcast(table), (F.col("_cell") == F.col("_c")) & F.col("_rank").between(F.col("_from"), F.col("_to")))
-        .withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_from"))
-        .drop("_c", "_from", "_to", "_slot", "_cell", "_pos", "_rank")
+        ranked.join(F.broadcast(table), (F.col(cell) == F.col(at)) & F.col(rank).between(F.col(low), F.col(high)))
+        .withColumn(slot, F.col(base) + F.col(rank) - F.col(low))
+        .drop(at, low, high, base, cell, pos, rank)
     )
 
 

@@ -367,3 +367,28 @@ def test_link_digest(spark, docs, none, libraries):
             assert (r.a_ids, r.b_ids, list(zip(r.a_cuts, r.b_cuts, strict=True))) == (a, b, [(i + 1, j + 1) for i, j in links])
     assert Counter(map(tuple, digest(table).select(*columns).collect())) == want
     assert digest(none).count() == 0
+
+
+# columns of the same names, and missing ids and labels
+
+
+def test_names_that_the_operators_use(spark):
+    from cairn.llm import media, sharding
+
+    rows = [(i, f"t{i}", i, i, i, i, i, i, i, i, i) for i in range(30)] + [(None, None, *[0] * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard long, slot long, _from long, _to long, _slot long, _cell long, _pos long, _rank long, _c long")
+    got = sharding.shard_rows(df, "doc_id", 4).collect()
+    assert len(got) == 31 and all(r.shard == (r.doc_id or 0) for r in got) and sorted(Counter(r._shard for r in got).values()) == [7, 8, 8, 8]
+    m = media.with_media(df).selectExpr("doc_id", "media", "'x' AS codec", "1 AS _t", "2 AS samples")
+    out = media.media_columns(m).collect()
+    assert {r.codec for r in out} == {"x"} and {r._codec for r in out} == {"raw "} | {r._codec for r in out} and all(r._samples > 0 and r.samples == 2 for r in out)
+
+
+def test_missing_ids_and_labels(spark):
+    from cairn.llm import langid, quality
+
+    docs = spark.createDataFrame([(None, "some words here", None), (1, "more words there", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert langid.identified(docs).count() == 3
+    assert {r.doc_id: r.held_out for r in langid.predict(docs.withColumn("lang", docs.lang)).collect()}[None] is False
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert {r.doc_id: r.held_out for r in quality.score_documents(docs, labels).collect()}[None] is False

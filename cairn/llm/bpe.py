@@ -24,12 +24,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from cairn.llm.common import Memo, byte_blocks, gather
+from cairn.llm.common import Memo, byte_blocks, claim, gather
 
 #: Bytes that a worker's memo of chunks may take, about; beyond, it starts afresh (encodings stay the same).
-MEMO_BYTES = 64 << 20
-#: What a chunk of the memo takes besides its bytes and ids, and the words that an encoder keeps beside the memo.
-CHUNK_BYTES, KNOWN_WORDS = 250, 100_000
+MEMO_BYTES = 128 << 20
+#: What a chunk of the memo takes besides its bytes and ids; the words, and the pairs of tokens, that an encoder keeps beside the memo.
+CHUNK_BYTES, KNOWN_WORDS, KNOWN_PAIRS = 250, 300_000, 300_000
 
 
 def byte_letters() -> list[str]:
@@ -205,6 +205,9 @@ class WordBpe:
         out = [known[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else [i for w in ws for i in (known[w] if isinstance(w, str) else (w,))] for ws in split]
         if len(known) > self.known_words:
             known.clear()
+        if len(self.pairs) > KNOWN_PAIRS:
+            self.pairs.clear()
+            self.edges = ({}, {})
         return out
 
     def encode_new(self, words: set[str]) -> dict[str, list[int]]:
@@ -267,6 +270,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        claim(f"bpe {path}", enc.clear)  # tasks of this stage share the memo; the worker's next operator drops it
         for batch in batches:
             n, ids_hash, text_hash = [], [], []
             for ids, text in enc.texts(batch.column(1)):
@@ -274,7 +278,6 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                 ids_hash.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 text_hash.append(hashlib.sha256(text).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        enc.clear()  # the worker may serve other stages next
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -126,3 +126,15 @@ class Memo(dict):
 
 def unsigned_crc32(col: Column) -> Column:
     return F.crc32(col.cast("binary"))
+
+
+#: What each operator keeps in this worker between tasks, and how it is given up.
+_KEPT: dict[str, object] = {}
+
+
+def claim(owner: str, clear=None) -> None:
+    """Called where an operator's work begins in a worker: what other operators keep there goes; ``clear`` gives up what this one will keep."""
+    for other in [k for k in _KEPT if k != owner]:
+        _KEPT.pop(other)()
+    if clear:
+        _KEPT[owner] = clear

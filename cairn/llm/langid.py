@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Memo, bucket_of, byte_blocks, dropped, saved
+from cairn.llm.common import Memo, bucket_of, byte_blocks, claim, dropped, saved
 from cairn.llm.shingles import mix
 
 ORDER = 4
@@ -248,6 +248,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         judge = Judge(shared.value)
         kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
         for batch in batches:
@@ -274,6 +275,7 @@ def identified(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         judge = Judge(shared.value)
         for batch in batches:
             yield batch.filter(pa.array([not rejected for *_, rejected in judge.texts(batch.column(at))], pa.bool_()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,3 +136,87 @@ def tagged_aircraft(aircraft: DataFrame, zones: DataFrame) -> DataFrame:
     kind = F.when(F.col("squawk") == "7500", "hijack").when(F.col("squawk") == "7600", "radio").when(F.col("squawk") == "7700", "emergency")
     zone = within_radius(aircraft.select("hex", "lat", "lon"), zones).groupBy("hex").agg(F.min_by("site", "km").alias("zone"))
     return aircraft.withColumn("alert", kind).join(zone, "hex", "left").where("alert IS NOT NULL OR zone IS NOT NULL OR mil")
+
+
+def inner_points(polygons: DataFrame) -> DataFrame:
+    """unit, lon, lat: a point inside each polygon (even-odd over all its rings).
+
+    The centroid of the largest ring, if it is inside; else the middle of the widest chord that the line of its latitude has in the polygon, so
+    bent shapes and holes get a point that they hold. Rings without area give the mean of their points."""
+    shut = lambda r: F.when(F.element_at(r, 1) == F.element_at(r, -1), F.slice(r, 1, F.size(r) - 1)).otherwise(r)
+    sides = lambda r: F.arrays_zip(r.alias("p"), F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)).alias("q"))
+    total = lambda zs, f: F.aggregate(zs, F.lit(0.0), lambda s, e: s + f(e))
+    cross = lambda e: e["p"]["x"] * e["q"]["y"] - e["q"]["x"] * e["p"]["y"]
+    x = polygons.select("unit", F.filter(F.transform("rings", shut), lambda r: F.size(r) > 0).alias("rings")).where(F.size("rings") > 0)
+    x = x.withColumn("all", F.flatten(F.transform("rings", sides)))
+    x = x.withColumn("big", F.element_at(F.array_sort(F.transform("rings", lambda r: F.struct((-F.abs(total(sides(r), cross))).alias("a"), r.alias("r")))), 1)["r"])
+    z, a = sides(F.col("big")), total(sides(F.col("big")), cross) / 2
+    mean = lambda c: total(z, lambda e: e["p"][c]) / F.size("big")
+    middle = lambda c: F.when(F.abs(a) < 1e-9, mean(c)).otherwise(total(z, lambda e: (e["p"][c] + e["q"][c]) * cross(e)) / (6 * a))
+    x = x.withColumn("cx", middle("x")).withColumn("cy", middle("y"))
+    cuts = F.array_sort(F.transform(F.filter("all", lambda e: (e["p"]["y"] > F.col("cy")) != (e["q"]["y"] > F.col("cy"))), lambda e: e["p"]["x"] + (F.col("cy") - e["p"]["y"]) * (e["q"]["x"] - e["p"]["x"]) / (e["q"]["y"] - e["p"]["y"])))
+    x = x.withColumn("cuts", cuts)
+    spans = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size("cuts") - 2, F.lit(0))), lambda i: (i % 2 == 0) & (i + 1 < F.size("cuts"))), lambda i: F.struct((F.get("cuts", i) - F.get("cuts", i + 1)).alias("w"), F.get("cuts", i).alias("a"), F.get("cuts", i + 1).alias("b")))
+    x = x.withColumn("spans", spans)
+    inside = F.exists("spans", lambda s: (s["a"] < F.col("cx")) & (F.col("cx") < s["b"]))
+    widest = F.array_min("spans")
+    return x.select("unit", F.when(inside | (F.size("spans") == 0), F.col("cx")).otherwise((widest["a"] + widest["b"]) / 2).alias("lon"), F.col("cy").alias("lat"))
+
+
+def kept_points(arc: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """An arc without the points that lie within ``tolerance`` of it; its ends and its farthest point always stay. Either direction keeps the same points."""
+    if len(arc) < 3:
+        return arc
+    turned = arc[0] > arc[-1] or (arc[0] == arc[-1] and arc[1] > arc[-2])
+    line = arc[::-1] if turned else arc
+    keep, todo, first = {0, len(line) - 1}, [(0, len(line) - 1)], True
+    while todo:
+        i, j = todo.pop()
+        (ax, ay), (bx, by) = line[i], line[j]
+        dx, dy = bx - ax, by - ay
+        norm = math.hypot(dx, dy)
+        far = [abs(dy * (x - ax) - dx * (y - ay)) / norm if norm else math.hypot(x - ax, y - ay) for x, y in line[i + 1 : j]]
+        if far and (max(far) > tolerance or first):
+            k = i + 1 + far.index(max(far))
+            keep.add(k)
+            todo += [(i, k), (k, j)]
+            # a closed arc keeps the farthest point of each half too, so that it stays a ring
+            if first and line[0] == line[-1]:
+                for p, q in ((0, k), (k, len(line) - 1)):
+                    if q - p > 1:
+                        (ax, ay), (bx, by) = line[p], line[q]
+                        keep.add(max(range(p + 1, q), key=lambda n: (abs((by - ay) * (line[n][0] - ax) - (bx - ax) * (line[n][1] - ay)), -n)))
+        first = False
+    out = [line[k] for k in sorted(keep)]
+    return out[::-1] if turned else out
+
+
+def simplified(polygons: DataFrame, tolerance: float) -> DataFrame:
+    """``polygons(unit, rings)`` with fewer points: none that is dropped lies further than ``tolerance`` from the new border, and neighbours still share theirs.
+
+    Rings are cut where more than two borders meet; what is between two such points is one arc for all polygons that share it, and an arc keeps the same points
+    in either direction. A ring without such a point is one closed arc from its least point. Work is by ring; points meet by their coordinates."""
+    ring = polygons.select("unit", F.posexplode("rings").alias("ring", "r"))
+    ring = ring.withColumn("r", F.when(F.element_at("r", 1) == F.element_at("r", -1), F.slice("r", 1, F.size("r") - 1)).otherwise(F.col("r"))).where(F.size("r") > 0)
+    spot = ring.select("unit", "ring", F.posexplode("r").alias("at", "p"), F.size("r").alias("n"), "r")
+    spot = spot.select("unit", "ring", "at", "p", F.array(F.get("r", F.pmod(F.col("at") - 1, "n")), F.get("r", F.pmod(F.col("at") + 1, "n"))).alias("next"))
+    meets = spot.groupBy("p").agg((F.size(F.array_distinct(F.flatten(F.collect_set("next")))) > 2).alias("meets"))
+    rings = spot.join(meets, "p").groupBy("unit", "ring").agg(F.array_sort(F.collect_list(F.struct("at", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "meets"))).alias("r"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf["r"]:
+                points = [(p["x"], p["y"]) for p in r]
+                ends = [k for k, p in enumerate(r) if p["meets"]] or [points.index(min(points))]
+                made = []
+                for k, i in enumerate(ends):
+                    j = ends[(k + 1) % len(ends)]
+                    arc = points[i : j + 1] if j > i else points[i:] + points[: j + 1]
+                    made += kept_points(arc, tolerance)[:-1]
+                out.append([{"x": x, "y": y} for x, y in made])
+            yield pdf[["unit", "ring"]].assign(r=out)
+
+    unit = polygons.schema["unit"].dataType.simpleString()
+    made = rings.mapInPandas(run, f"unit {unit}, ring int, r array<struct<x:double,y:double>>")
+    return made.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("ring", "r"))).alias("s")).select("unit", F.transform("s", lambda s: s["r"]).alias("rings"))

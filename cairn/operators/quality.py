@@ -26,11 +26,16 @@ def insane(now: str) -> Column:
 
 
 def triage(incidents: DataFrame, decisions: DataFrame, now: str) -> DataFrame:
-    """id, status, reason: an analyst's decision first, then sanity, then the headline of machine-coded rows, else ok."""
+    """id, status, reason: an analyst's decision first, then sanity, then the headline of machine-coded rows, else ok.
+
+    Where rows have ``noise`` or ``context`` (why a headline speaks against an incident, or tells no physical fact: see ``headlines``), these are the
+    statuses of rows that nothing before decides, noise first."""
     x = incidents.join(decisions.select(F.col("event_id").alias("id"), "decision"), "id", "left").withColumn("why", insane(now))
     waiting = F.col("is_auto") & (F.coalesce("headline", F.lit("")) == "")
-    status = F.when(F.col("decision") == "verified", "ok").when(F.col("decision") == "false", "noise").when(F.col("why").isNotNull(), "invalid").when(waiting & F.col("headline_failed"), "unverifiable").when(waiting, "pending").otherwise("ok")
-    return x.select("id", "source", status.alias("status"), F.when(F.col("decision").isNotNull(), "analyst").otherwise(F.col("why")).alias("reason"))
+    told = {c: F.col(c) if c in incidents.columns else F.lit(None).cast("string") for c in ("noise", "context")}
+    status = F.when(F.col("decision") == "verified", "ok").when(F.col("decision") == "false", "noise").when(F.col("why").isNotNull(), "invalid").when(waiting & F.col("headline_failed"), "unverifiable").when(waiting, "pending").when(told["noise"].isNotNull(), "noise").when(told["context"].isNotNull(), "context").otherwise("ok")
+    read = F.when(~F.coalesce(waiting, F.lit(False)), F.coalesce(told["noise"], told["context"]))
+    return x.select("id", "source", status.alias("status"), F.when(F.col("decision").isNotNull(), "analyst").otherwise(F.coalesce("why", read)).alias("reason"))
 
 
 def changed_only(current: DataFrame, previous: DataFrame, version: str, columns: list[str]) -> DataFrame:

@@ -521,14 +521,20 @@ def context_items(spark, d):
     return spark.read.parquet(f"{d}/conversations.parquet").where("role = 'assistant'").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), F.length(F.trim(F.regexp_replace("text", r"\s+", " "))).cast("long").alias("n"))
 
 
-@query()
+_RUNS = "SELECT {0}, line_no, piece, array_to_string(ws[piece * 14 + 1:piece * 14 + 14], ' ') title FROM (SELECT {0}, line_no, ws, unnest(range((len(ws) + 13) // 14)) piece FROM ({1}) WHERE len(ws) > 0)"
+_TOKENS = f"SELECT *, list_filter(w0, lambda x, i: list_position(w0, x) = i) w FROM (SELECT *, list_filter(regexp_split_to_array(lower(strip_accents(title)), '[^a-z]+'), lambda x: length(x) >= 3 AND x NOT IN ({STOPS})) w0 FROM ({{}}))"
+
+
+@query(f"""WITH e AS ({_TOKENS.format(_RUNS.format("doc_id", LINE))}), c AS ({_TOKENS.format(_RUNS.format("item_id", LINE.replace("doc_id", "item_id").replace("FROM documents", "FROM benchmark")))}),
+x AS (SELECT e.doc_id, e.line_no, e.piece, c.item_id, c.line_no said_line, c.piece said_piece, len(list_intersect(e.w, c.w)) k, len(e.w) + len(c.w) n, c.item_id % 30 cd FROM e JOIN c ON abs(e.doc_id % 30 - c.item_id % 30) <= 3 WHERE len(e.w) >= 3 AND len(c.w) >= 3),
+y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no, piece ORDER BY cd, item_id, said_line, said_piece) r FROM x WHERE k >= 3 AND k >= 0.25 * (n - k)) SELECT doc_id, CAST(line_no AS INT) line_no, CAST(piece AS INT) piece, item_id, CAST(said_line AS INT) said_line, CAST(said_piece AS INT) said_piece FROM y WHERE r = 1""")
 def denials(spark, d):
-    """Ids name document or conversation, line and piece, so that all words of both sides take part."""
-    at = lambda *keys: F.struct(*keys, "line_no", "piece")
-    e = tables.pieces(spark, d, "documents", ("doc_id",)).select(at("doc_id").alias("id"), "title", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 600).alias("date"))
-    c = tables.pieces(spark, d, "conversations", ("conv_id", "turn"), "role = 'assistant'").select(at("conv_id", "turn").alias("id"), "title", F.expr("timestamp_seconds(1704067200 + pmod(xxhash64(conv_id), 2592000))").alias("date"))
-    x = merging.denials(e, c)
-    return x.select("event.*", "denial.conv_id", "denial.turn", F.col("denial.line_no").alias("said_line"), F.col("denial.piece").alias("said_piece"))
+    """Benchmark items stand for what is denied. Ids name document or item, line and piece, so that all words of both sides take part; days are dealt by id."""
+    def told(name, key):
+        return tables.pieces(spark, d, name, (key,)).select(F.struct(key, "line_no", "piece").alias("id"), "title", F.timestamp_seconds(F.lit(1704067200) + F.col(key) % 30 * 86400).alias("date"))
+
+    x = merging.denials(told("documents", "doc_id"), told("benchmark", "item_id"))
+    return x.select("event.*", "denial.item_id", F.col("denial.line_no").alias("said_line"), F.col("denial.piece").alias("said_piece"))
 
 
 @query()

@@ -42,7 +42,11 @@ def test_same_rows(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
+    """Queries without SQL: rows, and their columns known; what the rows are is tested against brute force elsewhere."""
+    out = QUERIES[name](spark, sf)
+    rows = out.limit(5).collect()
+    assert rows or name.startswith("op") or name == "pipeline"
+    assert all(set(r.asDict()) == set(out.columns) for r in rows)
 
 
 def test_entry(spark):

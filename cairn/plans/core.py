@@ -151,12 +151,6 @@ def muted_outlets(spark, d):
     return analytics.muted_outlets(tables.sql(spark, d, "SELECT user_id AS outlet, value >= 400 AS hit FROM events "))
 
 
-@query(WITH + f""", x AS (SELECT country, count(*) n, max(severity) max_severity, max(date) "last" FROM incident WHERE date >= {AT} - INTERVAL 3 DAY AND (severity = 4 OR (severity = 3 AND confidence <> 'low') OR (category = 'flood' AND severity >= 2)) GROUP BY 1)
-SELECT *, CASE WHEN max_severity = 4 AND n >= 5 THEN 'major' WHEN max_severity = 4 OR n >= 3 THEN 'crisis' ELSE 'alert' END "level", CAST(row_number() OVER (ORDER BY max_severity DESC, n DESC, country) AS INT) "rank" FROM x""")
-def ongoing_by_country(spark, d):
-    return analytics.ongoing_by_country(tables.incidents(spark, d), NOW)
-
-
 @query(WITH + f" SELECT id, date, country, category, severity, lat, lon, place FROM incident WHERE date >= {AT} - INTERVAL 7 DAY ORDER BY severity DESC, date DESC, id LIMIT 1500")
 def guest_view(spark, d):
     return analytics.guest_view(tables.incidents(spark, d), NOW)

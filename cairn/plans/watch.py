@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.operators import country, early_warning, geo, indices, merging
+from cairn.operators import analytics, country, early_warning, geo, indices, merging
 from cairn.operators.early_warning import CATEGORY_FAMILY, LEAST_SEVERITY
 from cairn.plans.core import AT, DAILY, INDEX, KM, RISK, WITH, _index, query, squares
 from cairn.sources import tables
@@ -109,3 +109,13 @@ def crisis_chains(spark, d):
     """No SQL: components over all pairs within reach; held against all pairs in tests."""
     x = tables.told_incidents(spark, d).withColumn("precision", F.when(F.col("id") % 97 == 0, "country").otherwise("city"))
     return merging.crisis_chains(x).select("id", "fam", "component")
+
+
+@query(f"WITH incident AS ({tables.TOLD.replace('SELECT i.id, i.date,', 'SELECT i.id, i.grp, i.is_auto, i.date,')})" + f""", advisory AS ({tables.ADVISORY})""" + RISK + f""", o AS (SELECT country, severity, date FROM incident WHERE date >= {AT} - INTERVAL 3 DAY AND (severity >= 4 OR (severity >= 3 AND (confidence <> 'low' OR source = 'GDACS')) OR (severity >= 2 AND id % 7 = 0) OR (severity >= 2 AND confidence <> 'low' AND (id % 3 = 0 OR id % 10 = 0)))),
+x AS (SELECT country, count(*) n, max(severity) max_severity, max(date) "last" FROM o GROUP BY 1), y AS (SELECT *, CASE WHEN max_severity >= 4 OR n >= 5 THEN 'major' WHEN n >= 2 THEN 'crisis' ELSE 'alert' END "level" FROM x)
+SELECT y.country, n, max_severity, "last", y."level", CAST(row_number() OVER (ORDER BY CASE y."level" WHEN 'major' THEN 2 WHEN 'crisis' THEN 1 ELSE 0 END DESC, max_severity DESC, coalesce(risk."level", 0) DESC, n DESC, y.country) AS INT) "rank" FROM y LEFT JOIN risk ON risk.country = y.country""")
+def ongoing_by_country(spark, d):
+    e = tables.told_incidents(spark, d)
+    grouped = tables.incidents(spark, d).select("id", "grp", "is_auto")
+    e = e.join(grouped, "id").withColumns({"tags": F.when(F.col("id") % 7 == 0, F.array(F.lit("multi-source"))), "start": F.when(F.col("id") % 3 == 0, F.col("date") - F.expr("INTERVAL 8 HOUR")), "near_site": F.col("id") % 10 == 0})
+    return analytics.ongoing_by_country(e, NOW, indices.country_risk(e, tables.advisories(spark, d), NOW))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import alignment, bpe, conversations, decontam, html, langid, line_dedup, media, ngram_join, packing, quality, sequence_packing, sharding
 from cairn.llm.common import table
+from cairn.llm.conversations_sql import REPAIR
 
 #: The vocabulary files.
 WORD_BPE, BYTE_BPE, PIECE_BPE = (str(public_tokenizers.path(name)) for name in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -71,4 +72,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_conversations": REPAIR}

@@ -278,6 +278,22 @@ def test_repair_of_nothing(spark):
     assert [tuple(r) for r in conversations.repair(conversations.damaged(one)).collect()] == [(gone, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
 
 
+def test_sql_of_repair(spark, sf):
+    import duckdb
+
+    from cairn.llm import queries
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", talks(7))
+    result = con.execute(queries.oracle_sql()["op12_conversations"])
+    assert [d[0] for d in result.description] == [f.split()[0] for f in conversations.RESULT.split(", ")]
+    assert {r[0]: r[1:] for r in result.fetchall()} == {c: v[:-1] for c, v in plain_repair(plain_damage(talks(7)), {r[0] for r in talks(7)}).items()}
+    con.execute(f"CREATE OR REPLACE TABLE conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(queries.oracle_sql()["op12_conversations"]).fetchall()}
+    assert {r[0]: tuple(r)[1:] for r in queries.op12_conversations(spark, sf).collect()} == want
+
+
 # alignment
 
 

@@ -265,13 +265,13 @@ def encoder(path: str, memo_bytes: int = MEMO_BYTES) -> ChunkEncoder:
 def encode_decode(docs: DataFrame, path: str, memo_bytes: int = MEMO_BYTES, keep: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text.
 
-    Null and empty texts have no ids; equal texts get equal rows, repeated rows are kept; other columns are not read. ``keep`` says whether a worker's memo (of
-    about ``memo_bytes``) outlives a task: where workers serve other operators too, those that stand idle would hold it for nothing.
+    Null and empty texts have no ids; equal texts get equal rows, repeated rows are kept; other columns are not read. ``keep`` says whether a worker's vocabulary and
+    memo (of about ``memo_bytes``) outlive a task: where workers serve other operators too, those that stand idle would hold them for nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, memo_bytes)
-        claim(f"bpe {path}", enc.clear)  # tasks of this stage share the memo; the worker's next operator drops it
+        claim(f"bpe {path}", encoder.cache_clear if keep else None)  # tasks of this stage share the memo; the worker's next operator drops it
         for batch in batches:
             n, ids_hash, text_hash = [], [], []
             for ids, text in enc.texts(batch.column(1)):
@@ -280,7 +280,9 @@ def encode_decode(docs: DataFrame, path: str, memo_bytes: int = MEMO_BYTES, keep
                 text_hash.append(hashlib.sha256(text).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         if not keep:
-            enc.clear()
+            del enc
+            encoder.cache_clear()
+            gc.collect()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -136,5 +137,6 @@ def claim(owner: str, clear=None) -> None:
     """Called where an operator's work begins in a worker: what other operators keep there goes; ``clear`` gives up what this one will keep."""
     for other in [k for k in _KEPT if k != owner]:
         _KEPT.pop(other)()
+        gc.collect()
     if clear:
         _KEPT[owner] = clear

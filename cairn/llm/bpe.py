@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from cairn.llm.common import Memo, byte_blocks, claim, gather
+from cairn.llm.common import Memo, byte_blocks, claim, gather, give_back, rested
 
 #: Bytes that a worker's memo of chunks may take, about; beyond, it starts afresh (encodings stay the same).
 MEMO_BYTES = 128 << 20
@@ -43,7 +43,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """A ``tokenizers`` file of BPE with word ends: NFC, lower case, pattern split, byte letters."""
 
-    known_words = KNOWN_WORDS
+    known_words, known_pairs = KNOWN_WORDS, KNOWN_PAIRS
 
     def __init__(self, path: str) -> None:
         spec = json.load(open(path, encoding="utf-8"))
@@ -205,7 +205,7 @@ class WordBpe:
         out = [known[ws[0]] if len(ws) == 1 and isinstance(ws[0], str) else [i for w in ws for i in (known[w] if isinstance(w, str) else (w,))] for ws in split]
         if len(known) > self.known_words:
             known.clear()
-        if len(self.pairs) > KNOWN_PAIRS:
+        if len(self.pairs) > self.known_pairs:
             self.pairs.clear()
             self.edges = ({}, {})
         return out
@@ -259,6 +259,9 @@ class ChunkEncoder:
 def encoder(path: str, memo_bytes: int = MEMO_BYTES) -> ChunkEncoder:
     """One per worker process and vocabulary."""
     bpe = WordBpe(path)
+    # words and pairs take about as much as the memo does: a small memo has few of them
+    bpe.known_words, bpe.known_pairs = min(KNOWN_WORDS, memo_bytes // 400), min(KNOWN_PAIRS, memo_bytes // 400)
+    give_back()
     return ChunkEncoder(bpe.encode_chunks, bpe.text, memo_bytes)
 
 
@@ -279,12 +282,12 @@ def encode_decode(docs: DataFrame, path: str, memo_bytes: int = MEMO_BYTES, keep
                 ids_hash.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 text_hash.append(hashlib.sha256(text).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            if not keep:
+                give_back()
         if not keep:
-            del enc
             encoder.cache_clear()
-            gc.collect()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run if keep else rested(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import flat, saved
+from cairn.llm.common import flat, rested, saved
 from cairn.llm.shingles import shingle_sets, word_hashes
 
 THRESHOLD = 0.75
@@ -172,5 +172,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
             for batch in batches:
                 yield batch.filter(pa.array([not hits for hits in search.texts(batch.column(at), seen)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(rested(run), docs.schema)
     return docs

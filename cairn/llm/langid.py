@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Memo, bucket_of, byte_blocks, claim, dropped, saved
+from cairn.llm.common import Memo, bucket_of, byte_blocks, claim, dropped, rested, saved
 from cairn.llm.shingles import mix
 
 ORDER = 4
@@ -280,4 +280,4 @@ def identified(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([not rejected for *_, rejected in judge.texts(batch.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(rested(run), docs.schema)

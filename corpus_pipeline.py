@@ -31,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and decoded texts, as digests."""
-    return bpe.encode_decode(docs, WORD_BPE, 64 << 20, keep=False)
+    return bpe.encode_decode(docs, WORD_BPE, 32 << 20, keep=False)
 
 
 STAGES = [("language ID", language_id), ("line dedup", line_dedup_stage), ("n-gram Jaccard join", ngram_join_stage), ("benchmark decontamination", decontamination), ("BPE encoding and decoding", bpe_stage)]

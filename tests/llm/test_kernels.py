@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cairn.llm import bpe, decontam, html, langid, media, ngram_join, packing, quality, sharding, shingles
+from cairn.llm import bpe, common, decontam, html, langid, media, ngram_join, packing, quality, sharding, shingles
 from cairn.llm.queries import WORD_BPE
 
 TEXTS = ["", None, " \n\t", "one", "a b c d", "A b C d E", "a b c d e f a b c d e f", "é" * 50, "x " * 3000, "tab\tand\x0bvt\x0cff\rcr", "no break space", "İ ẞ ﬁ", "\x1c odd \x1f controls"]
@@ -73,6 +73,40 @@ def test_bpe_is_the_library():
             assert decoded.decode() == tok.decode(want, skip_special_tokens=False)
 
 
+@needs_tokenizer
+def test_small_memo_encodes_alike():
+    """A memo that starts afresh after every block, with few words and pairs kept, changes nothing."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORD_BPE)
+    tok.no_truncation(), tok.no_padding()
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdeé.,0") for _ in range(rng.randrange(1, 12))) for _ in range(400)) for _ in range(30)] * 2
+    small = bpe.encoder(WORD_BPE, 1 << 12)
+    model = small.encode_chunks.__self__
+    assert model.known_words == model.known_pairs == 10
+    for batch in (texts[:20], texts[20:], texts[:5]):
+        for t, (ids, _) in zip(batch, small.texts(pa.array(batch)), strict=True):
+            assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids
+        assert not model.known and not small.memo and not small.held
+    whole = bpe.WordBpe(WORD_BPE)
+    assert whole.known_words == bpe.KNOWN_WORDS
+    bpe.encoder.cache_clear()
+
+
+def test_rested_passes_all_batches():
+    ended = []
+
+    def run(batches):
+        for b in batches:
+            yield b.slice(0, 1)
+        ended.append(True)
+
+    batches = [pa.RecordBatch.from_pydict({"x": [i, i + 1]}) for i in range(3)]
+    assert [b.column(0).to_pylist() for b in common.rested(run)(iter(batches))] == [[0], [1], [2]] and ended == [True]
+    assert list(common.rested(run)(iter([]))) == []
+
+
 @needs_tokenizer
 def test_trie_walk_is_plain_merging():
     model = bpe.WordBpe(WORD_BPE)

@@ -111,6 +111,15 @@ def level_changes(levels: DataFrame) -> DataFrame:
     return levels.withColumn("previous", prev).where("previous IS NOT NULL AND level <> previous").select("country", "source", "day", F.col("previous").alias("from_level"), F.col("level").alias("to_level"))
 
 
+def recent_level_changes(levels: DataFrame, now: str, days: int = 30, last: int = 4) -> DataFrame:
+    """The newest ``last`` changes of each country in the ``days`` before ``now``, by ``rank`` from 1; of one day, the alphabetically last source is the newest.
+
+    A day without a level is no change: the next level is held against the last one known. Countries without a change have no row."""
+    newest = F.row_number().over(Window.partitionBy("country").orderBy(F.desc("day"), F.desc("source")))
+    kept = level_changes(levels.where("level IS NOT NULL")).where(F.col("day") >= F.date_sub(F.lit(now).cast("date"), days))
+    return kept.withColumn("rank", newest).where(F.col("rank") <= last)
+
+
 def failure_streaks(runs: DataFrame) -> DataFrame:
     """Longest and current run of failures per source, by gaps and islands over (source, run, ok)."""
     w = Window.partitionBy("source").orderBy("run")

@@ -85,6 +85,14 @@ def level_changes(spark, d):
     return indices.level_changes(tables.incidents(spark, d).groupBy("country", "source", F.col("date").cast("date").alias("day")).agg(F.max("severity").alias("level")))
 
 
+@query(WITH + f""", l AS (SELECT country, source, CAST(date AS DATE) AS "day", max(severity) AS level FROM incident GROUP BY 1, 2, 3), p AS (SELECT *, lag(level) OVER (PARTITION BY country, source ORDER BY "day") prev FROM l),
+c AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY "day" DESC, source DESC) "rank" FROM p WHERE prev <> level AND "day" >= CAST({AT} AS DATE) - 30)
+SELECT country, source, "day", prev from_level, level to_level, CAST("rank" AS INT) "rank" FROM c WHERE "rank" <= 4""")
+def recent_level_changes(spark, d):
+    levels = tables.incidents(spark, d).groupBy("country", "source", F.col("date").cast("date").alias("day")).agg(F.max("severity").alias("level"))
+    return indices.recent_level_changes(levels, NOW)
+
+
 @query("""WITH r AS (SELECT CAST(user_id AS VARCHAR) source, event_id run, event_type <> 'error' ok FROM events), i AS (SELECT *, sum(ok::INT) OVER (PARTITION BY source ORDER BY run) island FROM r),
 p AS (SELECT source, island, count(*) FILTER (NOT ok) n FROM i GROUP BY 1, 2) SELECT source, max(n) longest, arg_max(n, island) current_streak FROM p GROUP BY 1""")
 def failure_streaks(spark, d):

@@ -71,6 +71,20 @@ def test_empty_inputs(spark):
     assert merging.crises(none, NOW).count() == 0
 
 
+def test_recent_level_changes(spark):
+    day = lambda n: dt.date(2026, 9, 30) - dt.timedelta(days=n)
+    seen = [("A", "x", day(60 - i), i % 2 + 1) for i in range(0, 31)]  # the last of these changes is just in time
+    seen += [("A", "y", day(n), lv) for n, lv in ((9, 1), (8, 2), (7, None), (6, 2), (5, 3), (4, 3), (3, 1), (2, 2))]
+    seen += [("A", "z", day(3), 1), ("A", "z", day(2), 4), ("B", "x", day(1), 3), ("C", "x", day(40), 1), ("C", "x", day(31), 2)]
+    levels = spark.createDataFrame(seen, "country string, source string, day date, level int")
+    got = indices.recent_level_changes(levels, NOW)
+    assert [tuple(r) for r in got.orderBy("country", "rank").collect()] == [
+        ("A", "z", day(2), 1, 4, 1), ("A", "y", day(2), 1, 2, 2), ("A", "y", day(3), 3, 1, 3), ("A", "y", day(5), 2, 3, 4),
+    ]
+    assert [r["day"] for r in indices.recent_level_changes(levels.where("source = 'x'"), NOW).collect()] == [day(30)]
+    assert indices.recent_level_changes(levels.limit(0), NOW).count() == 0
+
+
 def test_streaks(spark):
     r = spark.createDataFrame([("a", i, ok) for i, ok in enumerate([True, False, False, True, False])], "source string, run int, ok boolean")
     assert rows(indices.failure_streaks(r)) == [("a", 2, 1)]

@@ -273,6 +273,14 @@ def reports(items: DataFrame, keep_link: str, drop_title: str, now: str, days: i
     return x.withColumn("n", F.row_number().over(Window.partitionBy("feed").orderBy(F.desc("date"), "id"))).where(F.col("n") <= per_feed).drop("n")
 
 
+def kept_reports(stored: DataFrame, new: DataFrame, now: str, days: int = 365, most: int = 1500) -> DataFrame:
+    """The store of reports after an update: one row per id, that of ``new`` (its latest) where both have it, then the ``most`` newest of the last ``days`` (the feature); ties by id."""
+    young = F.col("date") >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAY")
+    held = stored.join(new.select("id"), "id", "left_anti").select(stored.columns)
+    latest = new.groupBy("id").agg(F.max(F.struct("date", *[c for c in new.columns if c not in ("id", "date")])).alias("r")).select("id", "r.*")
+    return held.unionByName(latest).where(young).orderBy(F.desc("date"), "id").limit(most)
+
+
 def european_warnings(spark: SparkSession, path: str, now: str) -> DataFrame:
     """One row per country, type and level of unexpired warnings: areas united, latest sent and expires, first onset; cancelled, marine-only and orange fog go."""
     schema = "warnings array<struct<country:string, type:string, level:string, status:string, sent:string, onset:string, expires:string, areas:array<string>>>"

@@ -169,3 +169,14 @@ def test_late_facts_and_retention(spark):
 
 def test_filters(spark):
     assert events(spark).where(analytics.conjunction(countries=["c1"], min_severity=4)).count() == len([i for i in range(200) if i % 3 == 1 and i % 4 == 3])
+
+
+def test_kept_reports(spark):
+    kind = "id string, date timestamp, title string"
+    day = lambda n: dt.datetime(2026, 9, 30, 12) - dt.timedelta(days=n)
+    stored = spark.createDataFrame([("a", day(3), "old"), ("b", day(3), "b"), ("c", day(400), "c"), ("d", day(365), "d")], kind)
+    new = spark.createDataFrame([("a", day(1), "new"), ("a", day(2), "x"), ("e", day(3), "e"), ("f", day(366), "f")], kind)
+    got = readers.kept_reports(stored, new, "2026-09-30 12:00:00")
+    assert [(r["id"], r["title"]) for r in got.collect()] == [("a", "new"), ("b", "b"), ("e", "e"), ("d", "d")]
+    assert [r["id"] for r in readers.kept_reports(stored, new, "2026-09-30 12:00:00", most=2).collect()] == ["a", "b"]
+    assert readers.kept_reports(stored.limit(0), new.limit(0), "2026-09-30 12:00:00").count() == 0

@@ -38,6 +38,15 @@ def within_radius(points: DataFrame, targets: DataFrame, degrees: float = 1.0) -
     return p.join(t, "_cell").withColumn("km", km).where("km <= radius_km").drop("_cell")
 
 
+def place_pairs(points: DataFrame, targets: DataFrame, degrees: float = 1.0) -> DataFrame:
+    """lat, lon, site_lat, site_lon, radius_km, km: ``within_radius`` between the different positions and circles only, however many rows are at each."""
+    return within_radius(points.select("lat", "lon").distinct(), targets.select("site_lat", "site_lon", "radius_km").distinct(), degrees)
+
+
+#: What names a circle.
+CIRCLE = ["site_lat", "site_lon", "radius_km"]
+
+
 def site_alerts(incidents: DataFrame, sites: DataFrame) -> DataFrame:
     """Incidents within a site's radius at its severity or above; low confidence is left out."""
     x = within_radius(incidents.where("confidence <> 'low'").drop("country"), sites).where("severity >= min_severity")
@@ -53,14 +62,19 @@ def nearest_site(incidents: DataFrame, sites: DataFrame) -> DataFrame:
 def corridor_alerts(incidents: DataFrame, segments: DataFrame) -> DataFrame:
     """Least distance of incidents to corridors(name, a_lat, a_lon, b_lat, b_lon, buffer_km) within the buffer.
 
-    A segment is put into the cells of points along it, no further apart than half its buffer."""
+    A segment is put into the cells of points along it, no further apart than half its buffer. Distances are taken between different positions and segments, and the
+    least of a name once for all incidents that were seen at the same positions; the result's rows come by equality and aren't shuffled."""
+    line = ["a_lat", "a_lon", "b_lat", "b_lon", "buffer_km"]
+    x = incidents.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("lat", "lon")))).alias("at")).where("size(at) > 0")
+    spots = x.select("at").distinct().select("at", F.explode("at").alias("p")).select("at", "p.lat", "p.lon", cell("p.lat", "p.lon").alias("_cell"))
     length = haversine_km("a_lat", "a_lon", "b_lat", "b_lon")
     steps = F.greatest(F.lit(1), F.ceil(length / (F.col("buffer_km") / 2))).cast("int")
-    at = segments.withColumn("_i", F.explode(F.sequence(F.lit(0), steps))).withColumn("_f", F.col("_i") / steps)
+    at = segments.select(*line).distinct().withColumn("_i", F.explode(F.sequence(F.lit(0), steps))).withColumn("_f", F.col("_i") / steps)
     at = at.withColumn("site_lat", F.col("a_lat") + (F.col("b_lat") - F.col("a_lat")) * F.col("_f")).withColumn("site_lon", F.col("a_lon") + (F.col("b_lon") - F.col("a_lon")) * F.col("_f")).withColumn("radius_km", F.col("buffer_km") * 1.5)
-    cells = at.withColumn("_cell", F.explode(reach_cells("site_lat", "site_lon", "radius_km"))).select(*segments.columns, "_cell").distinct()
-    x = incidents.withColumn("_cell", cell("lat", "lon")).join(cells, "_cell").withColumn("km", segment_km("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon")).where("km <= buffer_km")
-    return x.groupBy("id", "name").agg(F.round(F.min("km"), 3).alias("km"))
+    cells = at.withColumn("_cell", F.explode(reach_cells("site_lat", "site_lon", "radius_km"))).select(*line, "_cell").distinct()
+    near = spots.join(cells, "_cell").withColumn("km", segment_km("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon")).where("km <= buffer_km").groupBy("at", *line).agg(F.min("km").alias("km"))
+    least = near.join(segments.select("name", *line), line).groupBy("at", "name").agg(F.round(F.min("km"), 3).alias("km"))
+    return x.join(least, "at").select("id", "name", "km")
 
 
 def edges(polygons: DataFrame) -> DataFrame:

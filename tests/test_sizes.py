@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from cairn.operators import merging
+from cairn.functions.exprs import segment_km
+from cairn.operators import country, geo, merging
 
 
 def exchanged(df):
@@ -44,3 +48,52 @@ def test_denials_in_blocks_and_without_a_shuffle_of_events(spark):
     got, written = exchanged(x)
     assert expected and {r.event: r.denial for r in got} == expected
     assert max(written) <= 3 * len(events)  # not an event for each of its pairs of words
+
+
+def joined(df):
+    """Rows that come out of the joins of an executed frame, largest first."""
+    rows = df.collect()
+    nodes, out = [df._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        n = nodes.pop()
+        kind = n.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            nodes.append(n.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            nodes.append(n.plan())
+            continue
+        if "Join" in kind:
+            out.append(n.metrics().apply("numOutputRows").value())
+        nodes += [n.children().apply(i) for i in range(n.children().size())]
+    return rows, sorted(out, reverse=True)
+
+
+def km(a, b, c, d):
+    h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+    return 2 * 6371 * math.asin(min(1, math.sqrt(h)))
+
+
+#: 400 incidents at four positions, 120 sites at six.
+SPOTS = [(10.0, 20.0), (10.2, 20.1), (10.5, 20.6), (40.0, 20.0)]
+EVENTS = [(i, *SPOTS[i % 4], 1 + i % 4, "low" if i % 5 == 0 else "high", f"2024-01-{1 + i % 30:02d} 00:00:00") for i in range(400)]
+SITES = [(j, f"s{j % 50:02d}", "A" if j % 2 else "B", 10.0 + j % 6 / 5, 20.0 + j % 3 / 5, 30.0 + 10 * (j % 6 // 3), 1 + j % 3) for j in range(120)]
+
+
+def geo_frames(spark):
+    e = spark.createDataFrame(EVENTS, "id long, lat double, lon double, severity int, confidence string, date string").withColumn("date", F.col("date").cast("timestamp")).withColumn("country", F.lit("X"))
+    return e, spark.createDataFrame(SITES, "site_id long, site string, country string, site_lat double, site_lon double, radius_km double, min_severity int")
+
+
+def near():
+    return [(e, s, km(e[1], e[2], s[3], s[4])) for e in EVENTS for s in SITES if km(e[1], e[2], s[3], s[4]) <= s[5]]
+
+
+def test_corridors_shuffle_no_result(spark):
+    e, s = geo_frames(spark)
+    lines = s.selectExpr("concat('r', site_id % 40) AS name", "site_lat AS a_lat", "site_lon AS a_lon", "site_lat + 1 AS b_lat", "site_lon + 1 AS b_lon", "radius_km AS buffer_km")
+    twice = e.unionByName(e.where("id % 7 = 0").withColumn("lat", F.col("lat") + 0.1))  # an id at two positions
+    flat = twice.crossJoin(lines).withColumn("km", segment_km("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon")).where("km <= buffer_km").groupBy("id", "name").agg(F.round(F.min("km"), 3).alias("km"))
+    rows, written = exchanged(geo.corridor_alerts(twice, lines))
+    assert rows and sorted(rows) == sorted(flat.collect())
+    assert max(written) <= 2 * len(EVENTS) < len(rows)

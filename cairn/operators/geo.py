@@ -54,9 +54,12 @@ def site_alerts(incidents: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def nearest_site(incidents: DataFrame, sites: DataFrame) -> DataFrame:
-    """Of the sites that have an incident in their radius, the nearest."""
-    x = within_radius(incidents.drop("country"), sites)
-    return x.groupBy("id").agg(F.min_by("site", F.struct(F.round("km", 6), "site")).alias("site"), F.round(F.min("km"), 3).alias("km"))
+    """Of the sites that have an incident in their radius, the nearest; found once for a position."""
+    named = sites.groupBy(*CIRCLE).agg(F.min("site").alias("site"))
+    near = place_pairs(incidents, sites).join(named, CIRCLE).withColumn("at", F.struct(F.round("km", 6).alias("km6"), "site"))
+    best = near.groupBy("lat", "lon").agg(F.min("at").alias("at"), F.min("km").alias("km"))
+    x = incidents.select("id", "lat", "lon").join(best, ["lat", "lon"])
+    return x.groupBy("id").agg(F.min("at").alias("at"), F.min("km").alias("km")).select("id", "at.site", F.round("km", 3).alias("km"))
 
 
 def corridor_alerts(incidents: DataFrame, segments: DataFrame) -> DataFrame:

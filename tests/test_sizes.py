@@ -97,3 +97,13 @@ def test_corridors_shuffle_no_result(spark):
     rows, written = exchanged(geo.corridor_alerts(twice, lines))
     assert rows and sorted(rows) == sorted(flat.collect())
     assert max(written) <= 2 * len(EVENTS) < len(rows)
+
+
+def test_nearest_site_joins_positions_only(spark):
+    e, s = geo_frames(spark)
+    best = {}
+    for a, b, d in near():
+        best[a[0]] = min(best.get(a[0], (1e9, "")), (round(d, 6), b[1]))
+    rows, made = joined(geo.nearest_site(e, s))
+    assert {r.id: (r.site, r.km) for r in rows} == {i: (n, round(d, 3)) for i, (d, n) in best.items()}
+    assert made[0] <= len(EVENTS)

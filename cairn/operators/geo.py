@@ -132,10 +132,17 @@ def city_activity(incidents: DataFrame, cities: DataFrame, now: str) -> DataFram
 
 
 def nearest_in_country(cities: DataFrame, airports: DataFrame, most_km: float = 80) -> DataFrame:
-    """city, airport, km: the nearest airport of the same country within a distance."""
-    a = airports.select("country", "airport", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-    x = cities.join(a, "country").withColumn("km", haversine_km("site_lat", "site_lon", "a_lat", "a_lon")).where(F.col("km") <= most_km)
-    return x.groupBy("country", "city").agg(F.min_by("airport", F.struct(F.round("km", 6), "airport")).alias("airport"), F.round(F.min("km"), 3).alias("km"))
+    """city, airport, km: the nearest airport of the same country within a distance.
+
+    Different positions of cities meet different positions of airports in the cells that the distance reaches."""
+    there = next(n for n in (1.0, 2.0, 5.0, 10.0, 30.0, 360.0) if n * DEGREE_KM >= most_km or n == 360.0)
+    spot = ["country", "site_lat", "site_lon"]
+    a = airports.groupBy("country", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon")).agg(F.min("airport").alias("airport")).withColumn("_cell", cell("a_lat", "a_lon", there))
+    c = cities.select(*spot).distinct().withColumn("_km", F.lit(float(most_km))).withColumn("_cell", F.explode(reach_cells("site_lat", "site_lon", "_km", there)))
+    x = c.join(a, ["country", "_cell"]).withColumn("km", haversine_km("site_lat", "site_lon", "a_lat", "a_lon")).where(F.col("km") <= most_km)
+    best = x.groupBy(*spot).agg(F.min(F.struct(F.round("km", 6).alias("km6"), "airport")).alias("at"), F.min("km").alias("km"))
+    y = cities.select("city", *spot).join(best, spot).groupBy("country", "city").agg(F.min("at").alias("at"), F.min("km").alias("km"))
+    return y.select("country", "city", "at.airport", F.round("km", 3).alias("km"))
 
 
 def unit_region(units: DataFrame, regions: DataFrame, slack: float = 8.0) -> DataFrame:

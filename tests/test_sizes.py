@@ -107,3 +107,16 @@ def test_nearest_site_joins_positions_only(spark):
     rows, made = joined(geo.nearest_site(e, s))
     assert {r.id: (r.site, r.km) for r in rows} == {i: (n, round(d, 3)) for i, (d, n) in best.items()}
     assert made[0] <= len(EVENTS)
+
+
+def test_nearest_airports_join_positions_only(spark):
+    _, s = geo_frames(spark)
+    cities, ports = s.where("site_id < 60").withColumnRenamed("site", "city"), s.where("site_id >= 60").selectExpr("country", "site AS airport", "site_lat AS lat", "site_lon AS lon")
+    best = {}
+    for a in SITES[:60]:
+        for b in SITES[60:]:
+            if a[2] == b[2] and (d := km(a[3], a[4], b[3], b[4])) <= 80:
+                best[a[2], a[1]] = min(best.get((a[2], a[1]), (1e9, "")), (round(d, 6), b[1]))
+    rows, made = joined(geo.nearest_in_country(cities, ports))
+    assert {(r.country, r.city): (r.airport, r.km) for r in rows} == {k: (n, round(d, 3)) for k, (d, n) in best.items()}
+    assert made[0] <= 60

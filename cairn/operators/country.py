@@ -98,9 +98,12 @@ def not_yet_loaded(archive: DataFrame, present: DataFrame) -> DataFrame:
 
 def calendar_overlaps(calendar: DataFrame, stays: DataFrame, before: int = 2, after: int = 2) -> DataFrame:
     """stay, entries of calendar(country, d, end) that touch a stay(country, from, to) give or take some days."""
-    c = calendar.withColumn("end", F.coalesce(F.col("end"), F.col("d")))
-    x = stays.join(c, "country").where((F.col("end") >= F.date_sub("from", before)) & (F.col("d") <= F.date_add("to", after)))
-    return x.groupBy("stay").agg(F.count("*").alias("entries"), F.min("d").alias("first"))
+    # different entries meet different stays; how many there are of each is counted
+    c = calendar.withColumn("end", F.coalesce(F.col("end"), F.col("d"))).groupBy("country", "d", "end").agg(F.count("*").alias("n"))
+    s = stays.select("country", "from", "to").distinct()
+    x = s.join(c, "country").where((F.col("end") >= F.date_sub("from", before)) & (F.col("d") <= F.date_add("to", after)))
+    met = x.groupBy("country", "from", "to").agg(F.sum("n").alias("entries"), F.min("d").alias("first"))
+    return stays.join(met, ["country", "from", "to"]).groupBy("stay").agg(F.sum("entries").alias("entries"), F.min("first").alias("first"))
 
 
 def mission_decision(level, advice, severe_near):

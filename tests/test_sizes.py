@@ -120,3 +120,20 @@ def test_nearest_airports_join_positions_only(spark):
     rows, made = joined(geo.nearest_in_country(cities, ports))
     assert {(r.country, r.city): (r.airport, r.km) for r in rows} == {k: (n, round(d, 3)) for k, (d, n) in best.items()}
     assert made[0] <= 60
+
+
+def test_calendar_overlaps_count_days(spark):
+    day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(n)
+    entries = [(i, "A" if i % 2 else "B", day(i % 9), day(i % 9 + 1) if i % 3 == 0 else None) for i in range(300)]
+    stays = [(i, "A" if i % 2 else "B", day(i % 4 + 3), day(i % 4 + 4)) for i in range(80)]
+    c = spark.createDataFrame(entries, "id long, country string, d date, end date")
+    s = spark.createDataFrame(stays, "stay long, country string, `from` date, `to` date")
+    expected = {}
+    two = datetime.timedelta(2)
+    for i, land, a, b in stays:
+        hit = [d for _, l, d, e in entries if l == land and (e or d) >= a - two and d <= b + two]
+        if hit:
+            expected[i] = (len(hit), min(hit))
+    rows, made = joined(country.calendar_overlaps(c, s))
+    assert {r.stay: (r.entries, r.first) for r in rows} == expected
+    assert made[0] <= 300

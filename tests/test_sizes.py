@@ -137,3 +137,10 @@ def test_calendar_overlaps_count_days(spark):
     rows, made = joined(country.calendar_overlaps(c, s))
     assert {r.stay: (r.entries, r.first) for r in rows} == expected
     assert made[0] <= 300
+
+
+def test_site_alerts_take_distances_between_positions(spark):
+    e, s = geo_frames(spark)
+    got = geo.site_alerts(e, s).collect()
+    assert Counter((r.id, r.site, r.severity, r.km) for r in got) == Counter((e[0], s[1], e[3], round(d, 3)) for e, s, d in near() if e[4] != "low" and e[3] >= s[6])
+    assert geo.place_pairs(e, s).count() <= 24

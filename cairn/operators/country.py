@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.exprs import fold, ladder
-from cairn.operators.geo import within_radius
+from cairn.operators.geo import CIRCLE, within_radius
 from cairn.operators.indices import _since
 
 #: Rows of the risk matrix and their categories; levels by incidents of 90 days, by political stability and by homicides.
@@ -70,10 +70,13 @@ def city_rows(incidents: DataFrame, cities: DataFrame, best: int = 12, most: int
 
     Near is 40 km from five million people on, 30 km from a million on, else 20 km; cities(city, lat, lon, population)."""
     radius = ladder("population", [(5_000_000, 40.0), (1_000_000, 30.0)], 20.0)
-    x = within_radius(incidents.select("id", "lat", "lon", "severity", "date"), cities.select("city", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"), radius.alias("radius_km")))
     severity = F.coalesce("severity", F.lit(1))
-    first = Window.partitionBy("city").orderBy(severity.desc(), "date", "id")
-    x = x.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= best)
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(severity.desc(), "date", "id"))
+    # the best of a position, of the positions in a circle, of the circles of a city
+    spots = incidents.select("id", "lat", "lon", "severity", "date").withColumn("_r", first("lat", "lon")).where(F.col("_r") <= best).drop("_r")
+    circles = cities.select("city", F.col("lat").alias("site_lat"), F.col("lon").alias("site_lon"), radius.alias("radius_km"))
+    x = within_radius(spots, circles.select(*CIRCLE).distinct()).withColumn("_r", first(*CIRCLE)).where(F.col("_r") <= best)
+    x = circles.join(x.select(*CIRCLE, "id", "severity", "date"), CIRCLE).withColumn("_r", first("city")).where(F.col("_r") <= best)
     then = Window.partitionBy("city").orderBy(severity.desc(), F.desc("date"), "id")
     return x.withColumn("rank", F.row_number().over(then)).where(F.col("rank") <= most).select("city", "rank", "id", "severity", "date")
 

@@ -144,3 +144,23 @@ def test_site_alerts_take_distances_between_positions(spark):
     got = geo.site_alerts(e, s).collect()
     assert Counter((r.id, r.site, r.severity, r.km) for r in got) == Counter((e[0], s[1], e[3], round(d, 3)) for e, s, d in near() if e[4] != "low" and e[3] >= s[6])
     assert geo.place_pairs(e, s).count() <= 24
+
+
+def test_city_rows_keep_the_best_of_a_position(spark):
+    e, s = geo_frames(spark)
+    cities = s.select(F.col("site").alias("city"), F.col("site_lat").alias("lat"), F.col("site_lon").alias("lon"), F.lit(6_000_000).alias("population"))
+    rows, made = joined(country.city_rows(e, cities))
+    at = {}
+    for a in EVENTS:
+        for b in SITES:
+            if km(a[1], a[2], b[3], b[4]) <= 40:
+                at.setdefault(b[1], []).append(a)
+    expected = []
+    for c, found in at.items():
+        some = sorted(found, key=lambda a: (-a[3], a[5], a[0]))[:12]
+        expected += [(c, n, a[0]) for n, a in enumerate(sorted(sorted(some, key=lambda a: a[0]), key=lambda a: (a[3], a[5]), reverse=True)[:4], 1)]
+    tied = lambda xs: sorted((c, n) for c, n, _ in xs)
+    assert tied((r.city, r["rank"], r.id) for r in rows) == tied(expected)
+    days = {a[0]: (a[3], a[5]) for a in EVENTS}
+    assert sorted((r.city, r["rank"], *days[r.id]) for r in rows) == sorted((c, n, *days[i]) for c, n, i in expected)
+    assert made[0] <= 12 * len(SITES)

@@ -127,10 +127,14 @@ def ring_measures(polygons: DataFrame) -> DataFrame:
 
 
 def city_activity(incidents: DataFrame, cities: DataFrame, now: str) -> DataFrame:
-    """Incidents around each city (site columns plus city, country): counts of 90 and 30 days, severe ones, and the share of the country's."""
-    x = within_radius(incidents.drop("country"), cities)
+    """Incidents around each city (site columns plus city, country): counts of 90 and 30 days, severe ones, and the share of the country's.
+
+    Incidents are counted by position first, positions by circle, and circles by city."""
     fresh = F.col("date") >= F.lit(now).cast("timestamp") - F.expr("INTERVAL 30 DAY")
-    per = x.groupBy("country", "city").agg(F.count("*").alias("n90"), F.count_if(fresh).alias("n30"), F.count_if(F.col("severity") >= 3).alias("severe"), F.sum(F.col("severity").cast("long")).alias("points"))
+    counts = ("n90", "n30", "severe", "points")
+    at = incidents.groupBy("lat", "lon").agg(F.count("*").alias("n90"), F.count_if(fresh).alias("n30"), F.count_if(F.col("severity") >= 3).alias("severe"), F.sum(F.col("severity").cast("long")).alias("points"))
+    around = within_radius(at, cities.select(*CIRCLE).distinct()).groupBy(*CIRCLE).agg(*(F.sum(c).alias(c) for c in counts))
+    per = cities.select("country", "city", *CIRCLE).join(around, CIRCLE).groupBy("country", "city").agg(*(F.sum(c).alias(c) for c in counts))
     return per.withColumn("share", F.round(F.col("n90") / F.sum("n90").over(Window.partitionBy("country")), 3)).withColumn("level", F.when(F.col("points") >= 200, 4).when(F.col("points") >= 80, 3).when(F.col("points") >= 20, 2).otherwise(1))
 
 

@@ -164,3 +164,11 @@ def test_city_rows_keep_the_best_of_a_position(spark):
     days = {a[0]: (a[3], a[5]) for a in EVENTS}
     assert sorted((r.city, r["rank"], *days[r.id]) for r in rows) == sorted((c, n, *days[i]) for c, n, i in expected)
     assert made[0] <= 12 * len(SITES)
+
+
+def test_city_activity_counts_positions(spark):
+    e, s = geo_frames(spark)
+    expected = Counter((b[2], b[1]) for _, b, _ in near())
+    rows, made = joined(geo.city_activity(e, s.withColumnRenamed("site", "city"), "2024-01-31 00:00:00"))
+    assert {(r.country, r.city): r.n90 for r in rows} == dict(expected)
+    assert made[0] <= len(SITES)

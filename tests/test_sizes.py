@@ -172,3 +172,16 @@ def test_city_activity_counts_positions(spark):
     rows, made = joined(geo.city_activity(e, s.withColumnRenamed("site", "city"), "2024-01-31 00:00:00"))
     assert {(r.country, r.city): r.n90 for r in rows} == dict(expected)
     assert made[0] <= len(SITES)
+
+
+def test_jaccard_links_meet_in_four_tokens(spark):
+    r = random.Random(3)
+    words = [f"{a}{b}{c}" for a in "abcde" for b in "fgh" for c in "ij"]
+    # pairs of frequent words in every list, so that two words in common say little
+    lists = sorted({tuple(sorted({"oft", "viel", *r.sample(words, r.randint(3, 10))})) for _ in range(400)})
+    lists += [tuple(sorted({*t, "neu"})) for t in lists[:30] if len(t) >= 8]
+    x = spark.createDataFrame([(i, list(t)) for i, t in enumerate(lists)], "id long, toks array<string>")
+    expected = {(i, j) for i, a in enumerate(lists) for j, b in enumerate(lists) if i < j and len({*a} & {*b}) >= 0.8 * len({*a} | {*b})}
+    rows, made = joined(merging.jaccard_links(x))
+    assert expected and sorted((r.a, r.b) for r in rows) == sorted(expected)
+    assert made[0] <= 30 * len(expected)

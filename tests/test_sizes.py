@@ -185,3 +185,21 @@ def test_jaccard_links_meet_in_four_tokens(spark):
     rows, made = joined(merging.jaccard_links(x))
     assert expected and sorted((r.a, r.b) for r in rows) == sorted(expected)
     assert made[0] <= 30 * len(expected)
+
+
+def test_story_pairs_shuffle_no_pair(spark):
+    r = random.Random(5)
+    words = [f"{a}{b}{c}" for a in "abcdefg" for b in "hkm" for c in "ij"]
+    told = [(f"t{i:03d}", r.sample(words, r.randint(1, 9))) for i in range(300)] + [("t007", [words[0], words[1]])]
+    x = spark.createDataFrame([(i, " ".join(w)) for i, w in told], "id string, title string")
+    df = Counter(w for _, ws in told for w in ws)
+    cold = [(i, {w for w in ws if 1 < df[w] <= 35}) for i, ws in told]
+    n = Counter()
+    for i, a in cold:
+        for j, b in cold:
+            if i < j:
+                n[i, j] += len(a & b)
+    rows, written = exchanged(merging.story_pairs(x, 35))
+    expected = {k: v for k, v in n.items() if v >= 2}
+    assert len(expected) > 300 and {(r.a, r.b): r.shared for r in rows} == expected
+    assert max(written, default=0) <= sum(map(len, (w for _, w in told)))

@@ -203,3 +203,16 @@ def test_story_pairs_shuffle_no_pair(spark):
     expected = {k: v for k, v in n.items() if v >= 2}
     assert len(expected) > 300 and {(r.a, r.b): r.shared for r in rows} == expected
     assert max(written, default=0) <= sum(map(len, (w for _, w in told)))
+
+
+def test_sensor_matches_look_a_place_and_time_up_once(spark):
+    e = spark.createDataFrame([(i, "earthquake", "USGS" if i % 2 else "Press", 10.0 + i % 3 / 2, 20.0, 1704067200 + i % 4 * 40000) for i in range(300)], "id long, category string, source string, lat double, lon double, s long").withColumn("date", F.timestamp_seconds("s"))
+    rows = [(r.id, r.source, r.lat, r.s) for r in e.collect()]
+    expected = {}
+    for i, source, lat, s in rows:
+        hit = [(round(km(lat, 20.0, b, 20.0), 6), j) for j, other, b, t in rows if other == "USGS" and -6 * 3600 <= s - t <= 72 * 3600 and km(lat, 20.0, b, 20.0) <= 300]
+        if source == "Press" and hit:
+            expected[i] = (min(hit)[1], round(min(hit)[0], 3))
+    got, made = joined(merging.sensor_matches(e))
+    assert expected and {r.report: (r.official, r.km) for r in got} == expected
+    assert made[0] <= 300

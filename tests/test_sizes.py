@@ -216,3 +216,10 @@ def test_sensor_matches_look_a_place_and_time_up_once(spark):
     got, made = joined(merging.sensor_matches(e))
     assert expected and {r.report: (r.official, r.km) for r in got} == expected
     assert made[0] <= 300
+
+
+def test_attached_reports_of_many_copies(spark):
+    e = spark.createDataFrame([(i, "earthquake", "GDACS" if i < 100 else "Press", 10.0 + i % 2, 20.0, 1 + i % 4) for i in range(300)], "id long, category string, source string, lat double, lon double, severity int").withColumn("date", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    got, made = joined(merging.attach_reports(merging.sensor_matches(e), e))
+    assert sorted((r.official, r.reports, r.severity) for r in got) == [(0, 100, 2), (1, 100, 3)]
+    assert made[0] <= 300

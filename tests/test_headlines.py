@@ -152,3 +152,12 @@ def test_languages(spark):
     got = {r.t: r.g for r in x.select("t", text.guess_language("t").alias("g")).collect()}
     texts["東京で地震"] = "ja"
     assert got == texts
+
+
+def test_languages_are_guessed_in_few_passes(spark):
+    """A text is split and lowered once, however many languages there are."""
+    x = spark.createDataFrame([("  der Hund und die Katze ",), ("der hund",), ("",), (None,), ("...the end of it and the start.",), ("été où êtes vous les amis",), ("ok привет мир",)], "t string")
+    guess = text.guess_language("t")
+    assert [r.g for r in x.select(guess.alias("g")).collect()] == ["de", None, None, None, "en", "fr", "ru"]
+    plan = x.select(guess.alias("g"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1 and plan.count("lower(") == 1

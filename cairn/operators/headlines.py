@@ -219,8 +219,14 @@ def first_name(rules: tuple[Rule, ...], category: Column, hits: Column) -> Colum
     return F.coalesce(*(F.when(r.holds(category, hits), F.lit(r.name)) for r in rules), F.lit(None).cast("string"))
 
 
+def _asked(rules: Judgement) -> set[str]:
+    """Groups that a rule names."""
+    every = [rules.veto, *rules.reasons, *rules.contexts, *([rules.escalation] if rules.escalation else []), *(r for c in rules.corrections for r in (c.when, *(b for b, _ in c.branches)))]
+    return {g for r in every for entry in (*r.has, *r.lacks) for g in entry.split("|")}
+
+
 def _corrected(c: Correction) -> Column:
-    category, hits = F.col("category"), F.col("hits")
+    category, hits = F.col("category"), F.col("_hits")
     others = F.filter("rest", lambda x: ~x.isin(*(c.skip or c.when.of)))
     to = {DROP: F.lit(None).cast("string"), NEXT: F.try_element_at(others, F.lit(1))}
     branch = F.when(F.lit(False), category)
@@ -247,18 +253,22 @@ def judged(titles: DataFrame, lexicon: Lexicon, rules: Judgement, text: str = "t
     dead, all_hurt, strongest = casualty_toll("folded", dead_only=True), casualty_toll("folded"), F.array_max(magnitudes("folded"))
     x = x.withColumn("toll", F.when(F.col("folded").isNull(), 0).otherwise(all_hurt)).withColumn("_dead", dead).withColumn("_strongest", strongest)
     marks = [("toll", F.col("toll") > 0), ("heavy toll", (F.col("_dead") >= 3) | (F.col("toll") >= 5)), ("notable toll", (F.col("_dead") >= 2) | (F.col("toll") >= 3)), ("magnitude", F.col("_strongest").isNotNull()), ("weak magnitude", F.col("_strongest") < 5)]
-    x = x.withColumn("hits", F.concat("hits", F.array_compact(F.array(*(F.when(test, name) for name, test in marks)))))
-    x = x.withColumn("category", F.when(~rules.veto.holds(F.lit(""), F.col("hits")), F.try_element_at("found", F.lit(1))))
+    with_marks = lambda some: F.concat("hits", F.array_compact(F.array(*(F.when(test, name) for name, test in some)))) if some else F.col("hits")
+    # rules read the numbers that they name, so that a text is searched for the others only if the caller takes toll or hits
+    x = x.withColumns({"_hits": with_marks([m for m in marks if m[0] in _asked(rules)]), "hits": with_marks(marks)})
+    x = x.withColumn("category", F.when(~rules.veto.holds(F.lit(""), F.col("_hits")), F.try_element_at("found", F.lit(1))))
     for c in rules.corrections:
         x = x.withColumn("category", _corrected(c))
-    category, hits = F.col("category"), F.col("hits")
+    category, hits = F.col("category"), F.col("_hits")
     x = x.withColumn("reason", F.when(category.isNotNull(), first_name(rules.reasons, category, hits))).withColumn("context", F.when(category.isNotNull(), first_name(rules.contexts, category, hits)))
     base = F.create_map(*(F.lit(v) for kv in rules.severity for v in kv))[category] if rules.severity else F.lit(1)
     more = rules.escalation.holds(category, hits).cast("int") if rules.escalation else F.lit(0)
-    deaths = death_count(text)
+    incident = category.isNotNull() & F.col("reason").isNull()
+    x = x.withColumn("_deaths", F.when(incident, death_count(text)) if rules.deaths else F.lit(None).cast("int"))
+    deaths = F.col("_deaths")
     least = reduce(lambda w, s: w.when(deaths >= s[0], s[1]), rules.deaths[1:], F.when(deaths >= rules.deaths[0][0], rules.deaths[0][1])).otherwise(0) if rules.deaths else F.lit(0)
-    x = x.withColumn("severity", F.when(category.isNotNull() & F.col("reason").isNull(), F.least(F.lit(4), F.greatest(F.coalesce(base, F.lit(1)) + more, least))))
-    return x.withColumn("event", category.isNotNull() & F.col("reason").isNull() & F.col("context").isNull()).drop("_dead", "_strongest")
+    x = x.withColumn("severity", F.when(incident, F.least(F.lit(4), F.greatest(F.coalesce(base, F.lit(1)) + more, least))))
+    return x.withColumn("event", category.isNotNull() & F.col("reason").isNull() & F.col("context").isNull()).drop("_dead", "_strongest", "_hits", "_deaths")
 
 
 def code_noise(articles: DataFrame, lexicon: Lexicon, rules: Judgement, physical: tuple[str, ...], soft: tuple[str, ...], text: str = "headline") -> DataFrame:

@@ -161,3 +161,14 @@ def test_languages_are_guessed_in_few_passes(spark):
     assert [r.g for r in x.select(guess.alias("g")).collect()] == ["de", None, None, None, "en", "fr", "ru"]
     plan = x.select(guess.alias("g"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("split(") == 1 and plan.count("lower(") == 1
+
+
+def test_numbers_are_searched_for_only_if_asked(spark):
+    """Rules that name no number, and a caller that takes no toll: texts aren't searched for tolls and magnitudes."""
+    from cairn.plans import titles
+
+    x = spark.createDataFrame([("inoran erin 12 killed",), ("nothing",), (None,)], "title string")
+    out = headlines.judged(x, titles.LEXICON, titles.RULES)
+    plan = out.select("category", "severity")._jdf.queryExecution().optimizedPlan().toString()
+    assert "magnitud" not in plan and "injured" not in plan
+    assert [(r.category, r.severity, r.toll, "toll" in (r.hits or [])) for r in out.collect()] == [("earthquake", None, 12, True), (None, None, 0, False), (None, None, 0, False)]

@@ -266,3 +266,13 @@ def test_go_no_go(spark):
 @pytest.mark.parametrize("dead,level", [(5, 2), (10, 3), (50, 4)])
 def test_title_severity(spark, dead, level):
     assert one(spark, text.title_severity(F.lit(f"{dead} killed in raid")).alias("s")).s == level
+
+
+def test_ngrams_of_some_lengths(spark):
+    from cairn.operators import text
+
+    x = spark.createDataFrame([(1, " Ça va, bien? "), (2, "one"), (3, ""), (4, None), (5, "..."), (6, "a-b")], "id long, title string")
+    got = sorted(tuple(r) for r in text.ngrams(x, 2, 2).collect())
+    assert got == [(1, 0, 2, "ca va"), (1, 1, 2, "va bien"), (6, 0, 2, "a b")]
+    both = sorted(tuple(r) for r in text.ngrams(x, 2).collect())
+    assert both == sorted([*got, (1, 0, 1, "ca"), (1, 1, 1, "va"), (1, 2, 1, "bien"), (2, 0, 1, "one"), (6, 0, 1, "a"), (6, 1, 1, "b")])

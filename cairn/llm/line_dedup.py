@@ -70,7 +70,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = sets.where("full")
     # the first line of each name; all others of the name match it
     at = F.struct("doc_id", "text_key", "line_no")
-    firsts = saved(lines.groupBy("name", "check").agg(F.min(F.struct(at.alias("at"), "id")).alias("f"), F.count("*").alias("copies")).select("name", "check", "f.at", "f.id", "copies"), "firsts")
+    firsts = saved(lines.groupBy("name", "check").agg(F.min(F.struct(at.alias("at"), "id", "n")).alias("f"), F.count("*").alias("copies")).select("name", "check", "f.at", "f.id", "f.n", "copies"), "firsts")
     total = firsts.agg(F.sum("copies")).first()[0] or 0
     # less than HOT names
     hot = firsts.where(F.col("copies") * HOT > total).where("copies > 1").select(F.col("name").alias("hot"), F.col("check").alias("hot_check"), F.col("id").alias("first_id"))
@@ -83,16 +83,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     cool = lines.join(F.broadcast(hot), (F.col("name") == F.col("hot")) & (F.col("check") == F.col("hot_check")), "left").where("first_id IS NULL OR first_id = id")
     placed = cool.withColumn("rarity", rarity).select("name", "n", F.transform("toks", place).alias("places"))
     prefix = F.slice(F.sort_array("places"), F.lit(1), F.col("n") - F.ceil(F.col("n") * T_NUM / T_DEN).cast("int") + 1)
-    # size and position share a column: a line has fewer than 2**31 tokens
-    keys = placed.select("name", "n", prefix.alias("prefix")).select("name", "n", F.posexplode_outer("prefix").alias("pos", "key"))
-    # names of NAME_BITS: fewer bytes to shuffle; a set joins every first line of its short name, which verification tells apart
+    # names of NAME_BITS and no sizes: fewer bytes to shuffle; a set joins every first line of its short name, which verification tells apart
     short = F.shiftrightunsigned("name", 64 - NAME_BITS).alias("name")
-    keys = keys.select("key", short, F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos")).alias("n_pos"))
+    keys = placed.select(short, F.posexplode_outer(prefix).alias("pos", "key"))
     in_key = Window.partitionBy("key")
     # a key that one set has alone links nothing; of the others one row per set stays
-    shared = keys.withColumn("low", F.min("name").over(in_key)).withColumn("high", F.max("name").over(in_key)).where("low < high").select("key", "name", "n_pos").distinct()
-    parts = [F.shiftright("n_pos", 32).cast("int").alias("n"), F.col("n_pos").bitwiseAND(0x7FFFFFFF).cast("int").alias("pos")]
-    shared = saved(shared.join(firsts.select(short, "id", "at"), "name").select("key", "id", "at", *parts), "keys")
+    linking = keys.withColumn("low", F.min("name").over(in_key)).withColumn("high", F.max("name").over(in_key)).where("low < high").select("key", "name", "pos").distinct()
+    # written before the join, so that the first lines are not shuffled while the keys stand
+    linking = saved(linking, "keys")
+    shared = saved(linking.join(firsts.select(short, "id", "at", "n"), "name").select("key", "id", "at", "n", "pos"), "keys")
+    dropped(linking)
     named = saved(lines.select("doc_id", "text_key", "line_no", "name", "check"), "lines")
     tokens = saved(_of(lines, shared.select("id").distinct()), "tokens", HASHES)
     dropped(sets)

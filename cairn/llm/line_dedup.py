@@ -53,6 +53,12 @@ def _tokens(plain: Column) -> Column:
     return F.array_distinct(_bound(F.transform(F.split(plain, " "), lambda w: F.xxhash64(w)), _shingles))
 
 
+def _places() -> Column:
+    """Of each of ``toks`` the rank of its bucket in ``rarity``, then its other bits; none is null, and Spark sorts longs that can't be null as they are, others as objects."""
+    place = lambda t: F.shiftleft(F.get("rarity", t.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), TOKEN_BITS - 16).bitwiseOR(F.shiftrightunsigned(t, 16))
+    return F.transform("toks", lambda t: F.coalesce(place(t), F.lit(0).cast("long")))
+
+
 def token_sets(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, line_no, plain, name, toks of every line; name and check are a 128-bit name of a line's words.
 
@@ -79,9 +85,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     counts = dict(lines.select(F.explode_outer("toks").alias("t")).groupBy(bucket.alias("b")).count().collect())
     rank = {b: i for i, b in enumerate(sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b)))}
     rarity = spark.createDataFrame([([rank[b] for b in range(BUCKETS)],)], "c array<int>").scalar()
-    place = lambda t: F.shiftleft(F.get("rarity", t.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), TOKEN_BITS - 16).bitwiseOR(F.shiftrightunsigned(t, 16))
     cool = lines.join(F.broadcast(hot), (F.col("name") == F.col("hot")) & (F.col("check") == F.col("hot_check")), "left").where("first_id IS NULL OR first_id = id")
-    placed = cool.withColumn("rarity", rarity).select("name", "n", F.transform("toks", place).alias("places"))
+    placed = cool.withColumn("rarity", rarity).select("name", "n", _places().alias("places"))
     prefix = F.slice(F.sort_array("places"), F.lit(1), F.col("n") - F.ceil(F.col("n") * T_NUM / T_DEN).cast("int") + 1)
     # names of NAME_BITS and no sizes: fewer bytes to shuffle; a set joins every first line of its short name, which verification tells apart
     short = F.shiftrightunsigned("name", 64 - NAME_BITS).alias("name")

@@ -223,3 +223,18 @@ def test_attached_reports_of_many_copies(spark):
     got, made = joined(merging.attach_reports(merging.sensor_matches(e), e))
     assert sorted((r.official, r.reports, r.severity) for r in got) == [(0, 100, 2), (1, 100, 3)]
     assert made[0] <= 300
+
+
+def test_sensor_matches_send_no_side_whole(spark):
+    """Every row has its own time; some reports have a record at their place, some only further off, some none."""
+    kinds = [("USGS", 10.0), ("Press", 10.0), ("GDACS", 11.0), ("Press", 12.0), ("GDELT", 12.5), ("Press", 40.0), ("EMSC", 13.9)]
+    rows = [(i, "earthquake", *kinds[i % 7], 20.0 + i % 3 / 10, 1704067200 + i * 3001 % 1_000_000) for i in range(700)]
+    e = spark.createDataFrame(rows, "id long, category string, source string, lat double, lon double, s long").withColumn("date", F.timestamp_seconds("s"))
+    expected = {}
+    for i, _, source, lat, lon, s in rows:
+        hit = [(round(km(lat, lon, b, c), 6), j) for j, _, other, b, c, t in rows if other in ("USGS", "GDACS", "EMSC") and -6 * 3600 <= s - t <= 72 * 3600 and km(lat, lon, b, c) <= 300]
+        if source in ("Press", "GDELT") and hit:
+            expected[i] = (min(hit)[1], round(min(hit)[0], 3))
+    out = merging.sensor_matches(e)
+    assert len(expected) > 200 and {r.report: (r.official, r.km) for r in out.collect()} == expected
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()

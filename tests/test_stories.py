@@ -152,3 +152,29 @@ def test_place_words_are_no_evidence(spark):
     rows = [(1, "West Bank attack wounds 5 Israelis as Netanyahu cancels events", "PS", "West Bank", 31.9, 35.2, "country", at), (2, "West Bank Olive Harvest Under Attack as Israeli Settlers Target Palestinian Farmers", "PS", "West Bank", 31.9, 35.2, "country", at), (3, "One Killed, Eight Injured in Attack on Saudi Arabia's King Fahd Airport", "SA", "Dammam", 26.47, 49.80, "city", at), (4, "Indian among 2 killed in attack on Dammam airport, 2 other Indians injured", "SA", "Dammam, Ash Sharqiyah", 26.43, 50.10, "city", at - dt.timedelta(hours=13))]
     x = spark.createDataFrame([(*r, "attack") for r in rows], "id long, title string, country string, place string, lat double, lon double, precision string, date timestamp, category string")
     assert {(r.a, r.b) for r in merging.fact_links(x).collect()} == {(3, 4)}
+
+
+def test_similar_titles_shuffle_token_lists_twice(spark):
+    """Long lists with few links: what is exchanged is mostly the lists, once to find the first of each and once for the pairs."""
+    rnd = random.Random(9)
+    told = [" ".join(rnd.sample(WORDS, 14)) for _ in range(400)]
+    told += told[:40] + [" ".join(t.split()[:13]) for t in told[40:80]] + [" ".join([*t.split()[:8], *rnd.sample(WORDS, 4)]) for t in told[80:100]]
+    x = spark.createDataFrame(list(enumerate(told)), "id long, title string").repartition(4).localCheckpoint()
+    got = merging.similar_titles(x)
+    got.collect()
+    nodes, lists = [got._jdf.queryExecution().executedPlan()], set()
+    while nodes:
+        n = nodes.pop()
+        kind = n.getClass().getSimpleName()
+        if kind in ("AdaptiveSparkPlanExec",):
+            nodes.append(n.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            nodes.append(n.plan())
+            continue
+        if kind in ("ShuffleExchangeExec", "BroadcastExchangeExec") and "array<string>" in n.schema().simpleString():
+            lists.add((kind, n.id()) if kind == "ShuffleExchangeExec" and n.metrics().apply("shuffleRecordsWritten").value() >= 300 else (kind, 0))
+        nodes += [n.children().apply(i) for i in range(n.children().size())]
+    assert not any(k == "BroadcastExchangeExec" for k, _ in lists)
+    assert len([i for k, i in lists if i]) <= 1
+    assert {r.rule for r in got.collect()} == {"equal", "start", "jaccard"}

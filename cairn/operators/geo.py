@@ -80,7 +80,8 @@ def corridor_alerts(incidents: DataFrame, segments: DataFrame) -> DataFrame:
     """Least distance of incidents to corridors(name, a_lat, a_lon, b_lat, b_lon, buffer_km) within the buffer.
 
     A segment is put into the cells of points along it, no further apart than half its buffer. Distances are taken between different positions and segments, and the
-    least of a name once for all incidents that were seen at the same positions; the result's rows come by equality and aren't shuffled."""
+    least of a name once for all incidents that were seen at the same positions. Names and distances of such positions are bunched: an incident meets bunches,
+    and the result's rows are unfolded from them, neither joined nor shuffled one by one."""
     line = ["a_lat", "a_lon", "b_lat", "b_lon", "buffer_km"]
     x = incidents.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("lat", "lon")))).alias("at")).where("size(at) > 0")
     spots = x.select("at").distinct().select("at", F.explode("at").alias("p")).select("at", "p.lat", "p.lon", cell("p.lat", "p.lon").alias("_cell"))
@@ -91,7 +92,8 @@ def corridor_alerts(incidents: DataFrame, segments: DataFrame) -> DataFrame:
     cells = at.withColumn("_cell", F.explode(reach_cells("site_lat", "site_lon", "radius_km"))).select(*line, "_cell").distinct()
     near = spots.join(cells, "_cell").withColumn("km", segment_km("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon")).where("km <= buffer_km").groupBy("at", *line).agg(F.min("km").alias("km"))
     least = near.join(segments.select("name", *line), line).groupBy("at", "name").agg(F.round(F.min("km"), 3).alias("km"))
-    return x.join(least, "at").select("id", "name", "km")
+    named = [F.xxhash64("at").alias("h"), F.xxhash64(F.lit(1), "at").alias("g")]  # 128 bits stand for the positions: arrays are dear to sort by
+    return x.select("id", *named).join(bunched(least.select(*named, "name", "km"), ["h", "g"], "name").hint("merge"), ["h", "g"]).select("id", F.explode("rows").alias("r")).select("id", "r.name", "r.km")
 
 
 def edges(polygons: DataFrame) -> DataFrame:

@@ -238,3 +238,12 @@ def test_sensor_matches_send_no_side_whole(spark):
     out = merging.sensor_matches(e)
     assert len(expected) > 200 and {r.report: (r.official, r.km) for r in out.collect()} == expected
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_corridors_unfold_their_rows(spark):
+    e, s = geo_frames(spark)
+    lines = s.selectExpr("concat('r', site_id) AS name", "site_lat AS a_lat", "site_lon AS a_lon", "site_lat + 1 AS b_lat", "site_lon + 1 AS b_lon", "radius_km AS buffer_km")
+    flat = e.crossJoin(lines).withColumn("km", segment_km("lat", "lon", "a_lat", "a_lon", "b_lat", "b_lon")).where("km <= buffer_km").select("id", "name", F.round("km", 3).alias("km"))
+    rows, made = joined(geo.corridor_alerts(e, lines))
+    assert len(rows) > 5000 and sorted(rows) == sorted(flat.collect())
+    assert made[0] <= 2 * len(EVENTS)  # incidents meet bunches of names
